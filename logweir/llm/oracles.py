@@ -2,6 +2,21 @@
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+OP1 = rf"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents where doc_id is not null and text <> ''),
+w as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
+e as (select doc_id, line, k, coalesce(lead(k) over d - 1, 1000000000) as until, n, row_number() over d as e, sum(n) over d as upto from w where n > 0 window d as (partition by doc_id order by k)),
+x as (select a.doc_id, a.e as a, min(b.e) as b from e a join e b on a.doc_id = b.doc_id and b.e between a.e and a.e + 49 and b.upto - a.upto + a.n >= 50 group by 1, 2
+  union select b.doc_id, max(a.e), b.e from e a join e b on a.doc_id = b.doc_id and b.e between a.e and a.e + 49 and b.upto - a.upto + a.n >= 50 group by b.doc_id, b.e),
+r as (select x.doc_id, x.a, x.b, min(e.k) as start, max(e.until) as stop, string_agg(e.line, chr(10) order by e.e) as body from x join e on e.doc_id = x.doc_id and e.e between x.a and x.b group by 1, 2, 3),
+f as (select *, first_value(doc_id) over o as first_doc, first_value(stop) over o as first_stop from r window o as (partition by body order by doc_id, start)),
+g as (select distinct w.doc_id, w.k from w join f on w.doc_id = f.doc_id and w.k between f.start and f.stop where f.doc_id > f.first_doc or f.start > f.first_stop),
+t as (select w.doc_id, string_agg(w.line, chr(10) order by w.k) filter (where g.k is null) as text, count(g.k) as n_removed, string_agg(g.k::varchar, ',' order by g.k) as removed from w left join g on w.doc_id = g.doc_id and w.k = g.k group by 1)
+select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed,
+  sha256(case when n_removed > 0 then coalesce(t.text, '') else d.text end) as text_sha256
+from documents d left join t on d.doc_id = t.doc_id
+"""
+
 OP7 = rf"""
 with recursive d as (select doc_id, source, {WORDS}::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) - 1 as k from d group by source),
@@ -25,4 +40,4 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLES = {"op7_mixing": OP7, "op10_exact_dedup": OP10}
+ORACLES = {"op1_line_dedup": OP1, "op7_mixing": OP7, "op10_exact_dedup": OP10}
