@@ -11,6 +11,7 @@ bytes costs O(n log n) at worst, where scanning for the lowest pair costs n^2.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from .scratch import only
 
 LEAF = 256
-CACHE = 1 << 18
+CACHE = 1 << 19
 OWN = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -34,9 +35,14 @@ class RankBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        size = max(ranks.values()) + 1
+        self.bytes_of: list[bytes | None] = [None] * size
+        for t, i in ranks.items():
+            self.bytes_of[i] = t
+        self.text_of = [str(i) for i in range(size)]
+        self.bit = [1 << k for k in range(max(LEAF, size // LEAF + 1))]
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        self.shift = max(ranks.values()).bit_length()
+        self.shift = size.bit_length()
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -44,9 +50,9 @@ class RankBpe:
                 if left is not None and right is not None:
                     pairs[left << self.shift | right] = rank
         self.pairs = pairs
-        self.leaves = [0] * (max(ranks.values()) // LEAF + 1)
+        self.leaves = [0] * (size // LEAF + 1)
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -54,11 +60,11 @@ class RankBpe:
         if whole is not None:
             return (whole,)
         pairs, shift, leaves, top = self.pairs.get, self.shift, self.leaves, 0
-        byte_id = self.byte_id
+        bit, byte_id = self.bit, self.byte_id
         ids = [byte_id[b] for b in piece]
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
+        buckets: dict[int, int | list[int]] = {}  # a lone position, or a heap of them
         left = ids[0]
         for i in range(n - 1):
             right = ids[i + 1]
@@ -66,19 +72,26 @@ class RankBpe:
             left = right
             if rank is not None:
                 if rank in buckets:
-                    buckets[rank].append(i)  # ascending, so already a heap
+                    held = buckets[rank]
+                    if held.__class__ is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)  # ascending, so still a heap
                 else:
-                    buckets[rank] = [i]
-                    leaf = rank >> 8
-                    leaves[leaf] |= 1 << (rank & 255)
-                    top |= 1 << leaf
+                    buckets[rank] = i
+                    leaves[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
         while top:
             leaf = (top & -top).bit_length() - 1
             bits = leaves[leaf]
             rank = leaf << 8 | ((bits & -bits).bit_length() - 1)
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            held = buckets[rank]
+            if held.__class__ is int:
+                i = held
+                held = None
+            else:
+                i = heappop(held)
+            if not held:
                 del buckets[rank]
                 leaves[leaf] = bits = bits & (bits - 1)
                 if not bits:
@@ -88,36 +101,44 @@ class RankBpe:
                 continue
             k = nxt[j]
             ids[i], ids[j], nxt[i] = rank, -1, k
-            fresh = []
+            h, at = prv[i], i
             if k < n:
                 prv[k] = i
-                fresh.append((i, pairs(rank << shift | ids[k])))
-            h = prv[i]
-            if h >= 0:
-                fresh.append((h, pairs(ids[h] << shift | rank)))
-            for at, r in fresh:
-                if r is not None:
-                    if r in buckets:
-                        heappush(buckets[r], at)
+                fresh = pairs(rank << shift | ids[k])
+            else:
+                fresh = None
+            while True:  # the pair on the right, then the one on the left
+                if fresh is not None:
+                    if fresh in buckets:
+                        held = buckets[fresh]
+                        if held.__class__ is int:
+                            buckets[fresh] = [held, at] if held < at else [at, held]
+                        else:
+                            heappush(held, at)
                     else:
-                        buckets[r] = [at]
-                        leaf = r >> 8
-                        leaves[leaf] |= 1 << (r & 255)
-                        top |= 1 << leaf
+                        buckets[fresh] = at
+                        leaves[fresh >> 8] |= bit[fresh & 255]
+                        top |= bit[fresh >> 8]
+                if at == h or h < 0:
+                    break
+                at, fresh = h, pairs(ids[h] << shift | rank)
         return tuple([x for x in ids if x >= 0])
 
+    def _missed(self, word: str) -> tuple[int, ...]:
+        """A pre-token that the young half of the cache lacks. Half is dropped when it is full; words in use move on from the old one."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.merge(word.encode("utf-8"))
+        if len(word) <= 64:
+            if len(self.cache) >= CACHE:
+                self.old = dict(self.cache)
+                self.cache.clear()
+            self.cache[word] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
-        cache, found = self.cache, []
-        for word in self.split(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self.merge(word.encode("utf-8"))
-                if len(word) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        get, missed = self.cache.get, self._missed
+        return list(chain.from_iterable([get(w) or missed(w) for w in self.split(text)]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -156,6 +177,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     fields = [rows.schema[c] for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and each collection would walk the cache
         bpe = codec(held.value, pattern)
         number = bpe.text_of.__getitem__
         for batch in batches:
