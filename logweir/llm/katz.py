@@ -21,7 +21,6 @@ hash range. Two distinct n-grams would have to share a 64-bit hash to be confuse
 
 from __future__ import annotations
 
-import gc
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -324,12 +323,6 @@ def _scored(levels: Levels):
     return run
 
 
-def _release(scratch: Scratch) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now, not at some later garbage collection."""
-    gc.collect()
-    scratch.spark.sparkContext._jvm.System.gc()
-
-
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
     """Scores of every text under a model of the texts that aren't held out: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -347,7 +340,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = blocks.select("block", "ids", "held", "sizes", "tokens", "words").mapInArrow(_asked(parts), _ASKED)
     told = scratch.write(asked.groupBy("level", "part").applyInPandas(_told, _TOLD), "kind")
     del asked
-    _release(scratch)
+    scratch.release()
     read = docs.sparkSession.read
     model = read.schema(_TOLD).parquet(told).where("kind = 'model'")
     rows = model.groupBy("level").agg(*[F.sum(F.get("hist", F.lit(i))) for i in range(K + 1)], F.sum("total"), F.sum("types")).collect()
@@ -357,7 +350,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_summed(parts[0]), _SUMS)
     weights = scratch.write(sums.groupBy("part").applyInPandas(_weighed(levels), _WEIGHTS), "kind")
     del sums
-    _release(scratch)
+    scratch.release()
     contexts = read.schema(_WEIGHTS).parquet(weights).where("kind = 'reply'").select(F.lit(0).alias("level"), "part", "block", "keys", "divisor", "alpha")
     every = replies.unionByName(contexts, allowMissingColumns=True)
     scores = packed.groupBy("block").cogroup(every.groupBy("block")).applyInPandas(_scored(levels), _SCORES)

@@ -6,7 +6,9 @@ its running tasks only, and the optimiser sees the table's true size.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,13 @@ class Scratch:
         for t in tables:
             self.remove(t._scratch_path)
 
+    def release(self) -> None:
+        """Has Spark delete the shuffle files of finished jobs now, not at some later garbage collection."""
+        for _ in range(2):  # the first frees Python's hold on the plans, the second the plans
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+
     def remove(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
