@@ -17,6 +17,44 @@ select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, c
 from documents d left join t on d.doc_id = t.doc_id
 """
 
+_SECOND = "('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za')"
+_MEANS = "(a / (a + b))"
+
+
+def _level(table: str) -> str:
+    """a and b of each row's beta posterior, given n, k and the parent's mean m."""
+    return f"""(select *, (1 / rho - 1) * m + k as a, (1 / rho - 1) * (1 - m) + n - k as b from {table}, (
+  select case when coalesce(sum(n * m * (1 - m) * (n - 1)), 0) = 0 then 0.1
+    else least(0.9, greatest(0.001, sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * m * (1 - m) * (n - 1)))) end::double as rho from {table} where n > 0))"""
+
+
+OP4 = f"""
+with l as (select doc_id, count(*) as n, count(*) filter (where quality = 1 and coalesce(toxic, 0) = 0) as k from labels where quality is not null group by 1),
+u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+h as (select host, coalesce(sum(n), 0)::bigint as n, coalesce(sum(k), 0)::bigint as k from (select distinct page_id, host from u) left join l on page_id = doc_id group by 1),
+s as (select *, string_split(host, '.') as parts, case when regexp_matches(parts[-1], '^[0-9]*$') then '' when array_to_string(parts[-2:], '.') in {_SECOND} then array_to_string(parts[-2:], '.') else parts[-1] end as suffix from h),
+d as (select host, n, k, suffix, case when suffix = '' then host else array_to_string(parts[-(len(string_split(suffix, '.')) + 1):], '.') end as domain from s),
+g as (select (sum(k) + 0.5) / (sum(n) + 1) as m0 from d),
+ls as (select suffix, sum(n) as n, sum(k) as k, any_value(m0) as m from d, g group by 1),
+ls2 as {_level("ls")},
+ld as (select domain, sum(d.n) as n, sum(d.k) as k, any_value({_MEANS}) as m from d join ls2 using (suffix) group by domain, suffix),
+ld2 as {_level("ld")},
+lh as (select host, d.n, d.k, {_MEANS} as m from d join ld2 using (domain)),
+lh2 as {_level("lh")},
+b as (select host, n, k, {_MEANS} - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from lh2),
+r as (select page_id, u.host, path, n, k, bound,
+  case when (u.host = 'example.org' or u.host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (u.host = 'example.org' or u.host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (u.host = 'com' or u.host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (u.host = 'com' or u.host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (u.host = 'org' or u.host like '%.org') and starts_with(path, '/') then 'org/' end as rule
+  from u join b on u.host = b.host)
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when bound >= 0.5 then 'allow' else 'block' end as verdict,
+  n as labelled, k as good, round(bound, 6) as bound
+from r
+"""
+
 OP7 = rf"""
 with recursive d as (select doc_id, source, {WORDS}::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) - 1 as k from d group by source),
@@ -40,4 +78,4 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op7_mixing": OP7, "op10_exact_dedup": OP10}
+ORACLES = {"op1_line_dedup": OP1, "op4_url_filter": OP4, "op7_mixing": OP7, "op10_exact_dedup": OP10}

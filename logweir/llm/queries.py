@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, katz, line_dedup, mixing, simhash
+from . import bpe, exact_dedup, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,25 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(_table(spark, sf_dir, "documents"))
+    pages = _table(spark, sf_dir, "pages")
+    told = language_id.identify(pages, model, ["page_id"], "html", url=F.col("url"), declared=language_id.declared_in(F.col("html")), markup=True)
+    return told.withColumn("posterior", F.round("posterior", 6))
+
+
+#: Verdict and host/path of op4's rules.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where("quality is not null")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    outcomes = labels.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(good).alias("k"))
+    told = url_filter.url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    return told.select("page_id", "host", "path", "rule", "verdict", "labelled", "good", F.round("bound", 6).alias("bound"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,4 +60,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op6_simhash, op7_mixing, op9_byte_bpe, op10_exact_dedup)}
+def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotes(_table(spark, sf_dir, "conversations")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup)}
