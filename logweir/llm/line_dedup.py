@@ -118,7 +118,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = repeats(docs, scratch, id_col, text_col, min_words)
     kept = only(docs, *OWN)
     whole = docs.select(*kept, F.xxhash64(text_col).alias("version__"))
-    joined = whole.join(found.withColumnsRenamed({"id": "id__", "version": "v__"}), (F.col(id_col) == F.col("id__")) & (F.col("version__") == F.col("v__")), "left")
+    # merged at every size: broadcasting a few spans and shuffling texts for many would make the cost jump
+    joined = whole.join(found.withColumnsRenamed({"id": "id__", "version": "v__"}).hint("merge"), (F.col(id_col) == F.col("id__")) & (F.col("version__") == F.col("v__")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.stop)))))
     cut = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), F.col("gone__")), lambda i: F.get(F.col("lines__"), i)), "\n")
