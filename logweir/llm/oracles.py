@@ -17,6 +17,17 @@ select d.doc_id, case when d.text is null then 0 else len(string_split(d.text, c
 from documents d left join t on d.doc_id = t.doc_id
 """
 
+OP5 = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null
+  and list_sum(list_transform(embedding, lambda x: case when x is null or not isfinite(x) then 1 else 0 end)) = 0 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, p.b from r join p on r.b = p.a),
+c as (select a as vec_id, min(b) as component_id from r group by 1),
+n as (select a as vec_id, count(*) as n from p group by 1)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept from embeddings e join c using (vec_id) left join n using (vec_id)
+"""
+
 _SECOND = "('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za')"
 _MEANS = "(a / (a + b))"
 
@@ -78,4 +89,4 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_url_filter": OP4, "op7_mixing": OP7, "op10_exact_dedup": OP10}
+ORACLES = {"op1_line_dedup": OP1, "op4_url_filter": OP4, "op5_hnsw": OP5, "op7_mixing": OP7, "op10_exact_dedup": OP10}

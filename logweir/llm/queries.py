@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter
+from . import bpe, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "host", "path", "rule", "verdict", "labelled", "good", F.round("bound", 6).alias("bound"))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,4 +68,4 @@ def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link_quotes(_table(spark, sf_dir, "conversations")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup)}
