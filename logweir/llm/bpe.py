@@ -22,10 +22,10 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from .scratch import only
+from .scratch import only, small_batches
 
 LEAF = 256
-CACHE = 1 << 19
+CACHE = 1 << 18
 OWN = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -167,6 +167,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     null text is empty: no ids, and the hashes of nothing. Texts of any length
     are encoded whole. Input columns named like the added ones are replaced.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:  # the driver's copy; a vocabulary file has a fixed size
         held = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = only(docs, *OWN, "ids")
@@ -176,28 +177,35 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         kept = [c for c in kept if c != text_col]
     fields = [rows.schema[c] for c in kept]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here makes cycles, and each collection would walk the cache
-        bpe = codec(held.value, pattern)
+    def encoded(bpe: RankBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
         number = bpe.text_of.__getitem__
-        for batch in batches:
-            at = batch.schema.get_field_index("bpe_text__")
-            counts, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in batch.column(at):
-                ids = bpe.encode(text.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if keep_ids:
-                    all_ids.append(pa.array(ids, pa.int32()))
-            out = [c for i, c in enumerate(batch.columns) if i != at]
-            out += [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = [*(n for i, n in enumerate(batch.schema.names) if i != at), *OWN]
+        at = batch.schema.get_field_index("bpe_text__")
+        counts, ids_sha, text_sha, all_ids = [], [], [], []
+        for text in batch.column(at):
+            ids = bpe.encode(text.as_py() or "")
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             if keep_ids:
-                lengths = pa.array([0, *map(len, all_ids)], pa.int64())
-                out.append(pa.LargeListArray.from_arrays(pa.compute.cumulative_sum(lengths), pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())).cast(pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                all_ids.append(pa.array(ids, pa.int32()))
+        out = [c for i, c in enumerate(batch.columns) if i != at]
+        out += [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        names = [*(n for i, n in enumerate(batch.schema.names) if i != at), *OWN]
+        if keep_ids:
+            ends = pa.compute.cumulative_sum(pa.array([0, *counts], pa.int32()))
+            out.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(held.value, pattern)
+        gc.disable()  # nothing here makes cycles, and each collection would walk the cache
+        try:
+            for batch in batches:
+                yield encoded(bpe, batch)
+        finally:
+            gc.freeze()
+            gc.enable()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * keep_ids)
     return rows.mapInArrow(run, schema)

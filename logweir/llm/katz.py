@@ -32,7 +32,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 K = 5
 BLOCK_TOKENS = 1 << 20
@@ -332,6 +332,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are counted and scored each. Columns of docs other than id and text aren't
     carried along.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "katz")
     held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold).alias("held")
     blocks = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), held, F.col(text_col).alias("text")).mapInArrow(_packed_arrow, _BLOCKS))

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch, only
+from .scratch import Scratch, only, small_batches
 from .url_filter import domain_of, host_of, suffix_of
 
 BUCKETS = 1 << 15
@@ -129,6 +129,7 @@ def identify(
     declaration is a value of its own, so it weighs as little as it tells. Repeated
     rows get the same answer, and all rows of a table without labelled text are unknown.
     """
+    small_batches(rows.sparkSession)
     scratch = Scratch(rows.sparkSession, "language")
     names, logs = model
     names = [*names, UNKNOWN]

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, only
+from .scratch import Scratch, only, small_batches
 
 MIN_WORDS = 50
 OWN = ("n_lines", "n_removed", "removed")
@@ -114,6 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     returned as it is and cuts nothing; a null text stays null with no lines.
     Columns named like the added ones are replaced.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     found = repeats(docs, scratch, id_col, text_col, min_words)
     kept = only(docs, *OWN)

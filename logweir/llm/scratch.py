@@ -74,3 +74,10 @@ def only(df: DataFrame, *own: str) -> list[str]:
     """df's columns except those that the operator itself adds: an input column of such a name is replaced."""
     taken = {c.lower() for c in own}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Holds this session's Arrow batches to so many rows: a row here is a whole document, and a batch of them lies in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

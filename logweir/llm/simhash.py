@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, roots
-from .scratch import Scratch, only
+from .scratch import Scratch, only, small_batches
 
 MAX_BITS = 3
 BLOCKS = MAX_BITS + 1
@@ -159,6 +159,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest; a component without ids has a null component_id. Repeated rows get
     the same answer. Columns named like the added ones are replaced.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     kept = [c for c in only(docs, *OWN) if c != text_col]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "code__ long"])
