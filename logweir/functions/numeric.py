@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 # The units that are taken off values, and what reads as a number.
 UNIT = (
@@ -21,12 +21,14 @@ def remove_units(text: Column) -> Column:
 
 def try_numeric(text: Column) -> Column:
     """The text of the number that a text is, in plain form, or the text itself. Whole numbers of any length stay whole."""
-    bare = F.replace(F.replace(strip(text), F.lit(",")), F.lit("_"))
-    sign, digits = F.when(bare.startswith("-"), "-").otherwise(""), F.regexp_replace(bare, r"^[+-]?0*(?=\d)", "")
-    whole = F.when(digits == "0", "0").otherwise(F.concat(sign, F.regexp_replace(digits, r"^[+-]", "")))
-    given = F.replace(strip(text), F.lit(","))
-    real = F.regexp_replace(F.lower(bare), r"^\+", "").try_cast("double")
-    return F.when(given.rlike(WHOLE), whole).when(given.rlike(REAL), real.cast("string")).otherwise(text)
+
+    def number(given: Column) -> Column:
+        bare = F.replace(given, F.lit("_"))
+        digits = F.regexp_replace(bare, r"^[+-]?0*(?=\d)", "")
+        whole = F.when(bare.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+        return F.when(given.rlike(WHOLE), whole).when(given.rlike(REAL), F.regexp_replace(F.lower(bare), r"^\+", "").try_cast("double").cast("string")).otherwise(text)
+
+    return let(F.replace(strip(text), F.lit(",")), number)
 
 
 def coerce_value(text: Column, units: bool = True) -> Column:

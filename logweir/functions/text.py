@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,11 @@ DELIMITERS = r"[|;,\t]+"
 QUOTED_TEXT = r""""[^"]*"|'[^']*'"""
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def decode_bytes(content: Column) -> Column:
     """UTF-8 where the bytes are valid UTF-8, else ISO-8859-1, which fits any bytes."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

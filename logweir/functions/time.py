@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 # The shapes of timestamps that logs use.
 _CLOCK = r"(\d{1,2}):(\d{1,2}):(\d{1,2})"
@@ -55,12 +55,14 @@ def _canonical(s: Column, reference_year: Column) -> tuple[Column, Column]:
 
 def parse_timestamp(text: Column, reference_year: int | None = None) -> Column:
     """The instant that a whole text names, or null. A text without a year, or with 1900, gets reference_year (this year if None); Feb 29 without a year is no date."""
-    s = strip(text)
     year = F.year(F.current_date()) if reference_year is None else F.lit(reference_year)
-    first, second = _canonical(s, year.cast("string"))
-    leap = s.rlike(r"(?i)^feb\s+29\s+\d{1,2}:")
-    found = F.coalesce(F.when(~leap, first).try_cast("timestamp"), second.try_cast("timestamp"))
-    return F.when(F.year(found) == 1900, found + F.make_interval(years=year - 1900)).otherwise(found)
+
+    def instant(s: Column) -> Column:
+        first, second = _canonical(s, year.cast("string"))
+        return F.coalesce(F.when(~s.rlike(r"(?i)^feb\s+29\s+\d{1,2}:"), first).try_cast("timestamp"), second.try_cast("timestamp"))
+
+    shaped = lambda s: F.when(s.rlike(r"^(?:\d|[A-Za-z]{3}\s)"), let(instant(s), lambda t: F.when(F.year(t) == 1900, t + F.make_interval(years=year - 1900)).otherwise(t)))
+    return let(strip(text), shaped)
 
 
 def extract_timestamp(text: Column) -> Column:
@@ -86,16 +88,14 @@ def isoformat(instant: Column) -> Column:
 
 def standardise_timestamp(text: Column) -> tuple[Column, Column]:
     """ISO text and whether it was readable: ISO stays, epochs of ten digits or more, then the known shapes; what fails stays as it is."""
-    s = strip(text)
-    epoch = F.when(s.rlike(r"^\d{10,}$"), s.try_cast("double"))
-    seconds = F.when(epoch > 1e12, epoch / 1000).otherwise(epoch)
-    from_epoch = F.when(seconds < 253402300800, F.timestamp_micros((seconds * 1000000).cast("long")))
-    named = F.regexp_extract(F.lower(s), _MONTH, 1)
-    day_mon = F.replace(F.regexp_replace(s, "(?i)" + DAY_MON_YEAR, "$3-MON-$1 $4:$5:$6"), F.lit("MON"), _month(named))
-    slashed_day_first = F.when(s.rlike(DAY_SLASHED), F.regexp_replace(s, DAY_SLASHED, "$3-$2-$1 $4:$5:$6"))
-    no_year = F.when(s.rlike("(?i)" + MONTH_DAY), F.concat(F.lit("1900-"), F.replace(F.regexp_replace(s, "(?i)" + MONTH_DAY, "MON-$2 $3:$4:$5"), F.lit("MON"), _month(named))))
-    known = F.coalesce(
-        from_epoch, F.when(s.rlike("(?i)" + DAY_MON_YEAR), day_mon).try_cast("timestamp"), no_year.try_cast("timestamp"), F.when(~s.rlike("(?i)" + MONTH_DAY), parse_timestamp(s)), slashed_day_first.try_cast("timestamp")
-    )
-    told = F.when(text.rlike(ANY_ISO), text).otherwise(F.coalesce(isoformat(known), text))
-    return told, text.isNull() | text.rlike(ANY_ISO) | known.isNotNull()
+    def known(s: Column) -> Column:
+        epoch = F.when(s.rlike(r"^\d{10,}$"), s.try_cast("double"))
+        seconds = F.when(epoch > 1e12, epoch / 1000).otherwise(epoch)
+        named = _month(F.regexp_extract(F.lower(s), _MONTH, 1))
+        to = lambda shape, form: F.when(s.rlike("(?i)" + shape), F.replace(F.regexp_replace(s, "(?i)" + shape, form), F.lit("MON"), named)).try_cast("timestamp")
+        found = (F.when(seconds < 253402300800, F.timestamp_micros((seconds * 1000000).cast("long"))), to(DAY_MON_YEAR, "$3-MON-$1 $4:$5:$6"), to(MONTH_DAY, "1900-MON-$2 $3:$4:$5"), F.when(~s.rlike("(?i)" + MONTH_DAY), parse_timestamp(s)), to(DAY_SLASHED, "$3-$2-$1 $4:$5:$6"))
+        return F.coalesce(*found)
+
+    iso = text.rlike(ANY_ISO)
+    told = let(F.when(~iso, let(strip(text), known)), lambda t: F.struct(F.when(iso, text).otherwise(F.coalesce(isoformat(t), text)).alias("text"), (text.isNull() | iso | t.isNotNull()).alias("ok")))
+    return told["text"], told["ok"]

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Per measurement, each unit's factor and offset to the canonical unit, and the range that counts as physical.
 UNITS: dict[str, dict[str, tuple[str, float]]] = {
@@ -27,35 +27,45 @@ def _converted(kind: str, by: float, x: Column) -> Column:
 
 def general(x: Column) -> Column:
     """Four significant digits, for flags: plain between 1e-4 and 1e4, else with an exponent."""
-    power = F.floor(F.log10(F.abs(x))).cast("int")
-    scaled = F.round(x / F.pow(F.lit(10.0), power), 3)
-    carried = F.abs(scaled) >= 10
-    power, scaled = power + carried.cast("int"), F.when(carried, scaled / 10).otherwise(scaled)
-    digits = F.regexp_replace(F.format_string("%.3f", scaled), r"\.?0+$", "")
-    wide = F.concat(digits, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.7f", F.round(scaled * F.pow(F.lit(10.0), power), 7)), r"0+$", ""), r"\.$", "")
-    return F.when(x == 0, "0").when((power < -4) | (power >= 4), wide).otherwise(plain)
+
+    def shown(e: Column) -> Column:
+        digits, power = F.substring_index(e, "e", 1), F.substring_index(e, "e", -1)
+        bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+        return F.when(power.cast("int").between(-4, 3), bare(F.format_string("%.7f", e.cast("double")))).otherwise(F.concat(bare(digits), F.lit("e"), power))
+
+    return F.when(x == 0, "0").otherwise(let(F.format_string("%.3e", x), shown))
 
 
 def normalise_field(field: str, text: Column) -> tuple[Column, Column]:
     """The value in the canonical unit, and an array of flags. A unit is looked up as written, then without case; an unknown one leaves the number."""
-    s = strip(text)
-    ok = s.rlike(VALUE)
-    number, unit = F.regexp_extract(s, VALUE, 1).try_cast("double"), F.regexp_extract(s, VALUE, 2)
-    table = UNITS[field]
-    known, value = F.lit(False), number
-    for exact in (False, True):  # the exact names go outside, so they are asked first
-        for name, (kind, by) in reversed(table.items()):
-            fits = unit == name if exact else F.lower(unit) == name.lower()
-            value, known = F.when(fits, _converted(kind, by, number)).otherwise(value), known | fits
-    low, high = RANGES[field]
-    inside = value.between(low, high)
-    flags = [
-        F.when((s != "") & ~ok, F.concat(F.lit(f"unparseable_value:{field}:"), F.substring(s, 1, 30))),
-        F.when(ok & (unit != "") & ~known, F.concat(F.lit(f"unknown_unit:{field}:"), unit)),
-        F.when(ok & ~inside, F.concat(F.lit(f"out_of_range:{field}:"), general(value))),
-    ]
-    return F.when(ok & inside, value), F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*flags)))
+    table, (low, high) = UNITS[field], RANGES[field]
+
+    def converted(number: Column, unit: Column) -> tuple[Column, Column]:
+        known, value = F.lit(False), number
+        for exact in (False, True):  # the exact names go outside, so they are asked first
+            for name, (kind, by) in reversed(table.items()):
+                fits = unit == name if exact else F.lower(unit) == name.lower()
+                value, known = F.when(fits, _converted(kind, by, number)).otherwise(value), known | fits
+        return value, known
+
+    def parts(s: Column) -> Column:
+        return F.struct(s.alias("s"), s.rlike(VALUE).alias("ok"), F.regexp_extract(s, VALUE, 1).try_cast("double").alias("number"), F.regexp_extract(s, VALUE, 2).alias("unit"))
+
+    def measured(p: Column) -> Column:
+        value, known = converted(p["number"], p["unit"])
+        return F.struct(p["s"].alias("s"), p["ok"].alias("ok"), p["unit"].alias("unit"), value.alias("value"), known.alias("known"))
+
+    def told(p: Column) -> Column:
+        inside = p["value"].between(low, high)
+        flags = [
+            F.when((p["s"] != "") & ~p["ok"], F.concat(F.lit(f"unparseable_value:{field}:"), F.substring(p["s"], 1, 30))),
+            F.when(p["ok"] & (p["unit"] != "") & ~p["known"], F.concat(F.lit(f"unknown_unit:{field}:"), p["unit"])),
+            F.when(p["ok"] & ~inside, F.concat(F.lit(f"out_of_range:{field}:"), general(p["value"]))),
+        ]
+        return F.struct(F.when(p["ok"] & inside, p["value"]).alias("value"), F.array_compact(F.array(*flags)).alias("flags"))
+
+    x = let(let(let(strip(text), parts), measured), told)
+    return F.when(text.isNotNull(), x["value"]), F.when(text.isNotNull(), x["flags"]).otherwise(F.array().cast("array<string>"))
 
 
 def normalise_units(values: dict[str, Column]) -> tuple[dict[str, Column], Column]:

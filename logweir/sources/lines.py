@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.level import extract_level, syslog_level
-from ..functions.text import clean_text, last_wins, mask_quotes, normalize_whitespace, pairs, split_lines, strip
+from ..functions.text import clean_text, last_wins, let, mask_quotes, normalize_whitespace, pairs, split_lines, strip
 from ..functions.time import extract_timestamp
 
 # Line shapes.
@@ -69,29 +69,31 @@ def parse_logfmt(files: DataFrame) -> DataFrame:
 
 
 def _plain(line: Column) -> Column:
-    """A struct of timestamp_raw, level, message and fields for a cleaned line: syslog-like, access log, else generic."""
+    """A struct of timestamp_raw, level, message and entries for a cleaned line: syslog-like, access log, else generic."""
     part = lambda shape, i: F.regexp_extract(line, shape, i)
-    given = lambda shape, i: F.nullif(part(shape, i), F.lit(""))
-    syslog = F.struct(
-        F.concat_ws(" ", part(PLAIN_SYSLOG, 1), part(PLAIN_SYSLOG, 2), part(PLAIN_SYSLOG, 3)).alias("timestamp_raw"), extract_level(part(PLAIN_SYSLOG, 7)).alias("level"), part(PLAIN_SYSLOG, 7).alias("message"),
-        F.array(_entry("hostname", part(PLAIN_SYSLOG, 4)), _entry("process", part(PLAIN_SYSLOG, 5)), _entry("pid", given(PLAIN_SYSLOG, 6))).alias("entries"),
-    )
-    words = F.filter(F.split(part(ACCESS, 4), r"\s+"), lambda w: w != "")
-    status = part(ACCESS, 5).try_cast("int")
-    access = F.struct(
-        part(ACCESS, 3).alias("timestamp_raw"), F.when(status >= 500, "ERROR").when(status >= 400, "WARN").otherwise("INFO").alias("level"), part(ACCESS, 4).alias("message"),
-        F.array(_entry("client", part(ACCESS, 1)), _entry("user", part(ACCESS, 2)), _entry("method", F.coalesce(F.get(words, F.lit(0)), F.lit(""))), _entry("path", F.coalesce(F.get(words, F.lit(1)), F.lit(""))), _entry("status_code", status), _entry("bytes_sent", part(ACCESS, 6))).alias("entries"),
-    )
-    token = extract_timestamp(line)
-    at = F.instr(line, token)
-    cut = F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + F.length(token), F.length(line)))
-    rest = normalize_whitespace(F.when(token.isNull(), line).otherwise(cut))
-    level = extract_level(rest)
-    mark = F.concat(F.lit(r"(?i)\[?\b"), level, F.lit(r"\b\]?"))
-    hit, place = F.regexp_substr(rest, mark), F.regexp_instr(rest, mark)
-    bare = F.when(hit.isNull(), rest).otherwise(normalize_whitespace(F.concat(F.substring(rest, F.lit(1), place - 1), F.substring(rest, place + F.length(hit), F.length(rest)))))
-    generic = F.struct(token.alias("timestamp_raw"), level.alias("level"), bare.alias("message"), F.array().cast(_NONE).alias("entries"))
-    return F.when(line.rlike(PLAIN_SYSLOG), syslog).when(line.rlike(ACCESS), access).otherwise(generic)
+    syslog = let(part(PLAIN_SYSLOG, 7), lambda message: F.struct(
+        F.concat_ws(" ", part(PLAIN_SYSLOG, 1), part(PLAIN_SYSLOG, 2), part(PLAIN_SYSLOG, 3)).alias("timestamp_raw"), extract_level(message).alias("level"), message.alias("message"),
+        F.array(_entry("hostname", part(PLAIN_SYSLOG, 4)), _entry("process", part(PLAIN_SYSLOG, 5)), _entry("pid", F.nullif(part(PLAIN_SYSLOG, 6), F.lit("")))).alias("entries"),
+    ))
+
+    def access(request: Column) -> Column:
+        words, status = F.filter(F.split(request, r"\s+"), lambda w: w != ""), part(ACCESS, 5).try_cast("int")
+        word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+        entries = F.array(_entry("client", part(ACCESS, 1)), _entry("user", part(ACCESS, 2)), _entry("method", word(0)), _entry("path", word(1)), _entry("status_code", status), _entry("bytes_sent", part(ACCESS, 6)))
+        return F.struct(part(ACCESS, 3).alias("timestamp_raw"), F.when(status >= 500, "ERROR").when(status >= 400, "WARN").otherwise("INFO").alias("level"), request.alias("message"), entries.alias("entries"))
+
+    def without(text: Column, hit: Column, at: Column) -> Column:
+        cut = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(hit), F.length(text)))
+        return F.when(hit.isNull(), text).otherwise(normalize_whitespace(cut))
+
+    def levelled(p: Column) -> Column:
+        mark = lambda level: F.concat(F.lit(r"(?i)\[?\b"), level, F.lit(r"\b\]?"))
+        bare = let(mark(p["level"]), lambda m: without(p["rest"], F.regexp_substr(p["rest"], m), F.regexp_instr(p["rest"], m)))
+        return F.struct(p["token"].alias("timestamp_raw"), p["level"].alias("level"), F.when(p["level"].isNull(), p["rest"]).otherwise(bare).alias("message"), F.array().cast(_NONE).alias("entries"))
+
+    timed = let(extract_timestamp(line), lambda token: F.struct(token.alias("token"), normalize_whitespace(without(line, token, F.instr(line, token))).alias("rest")))
+    generic = let(let(timed, lambda p: F.struct(p["token"].alias("token"), p["rest"].alias("rest"), extract_level(p["rest"]).alias("level"))), levelled)
+    return F.when(line.rlike(PLAIN_SYSLOG), syslog).when(line.rlike(ACCESS), let(part(ACCESS, 4), access)).otherwise(generic)
 
 
 def _with_parts(lines: DataFrame, parts: Column, fault: Column) -> DataFrame:
@@ -105,7 +107,7 @@ def _with_parts(lines: DataFrame, parts: Column, fault: Column) -> DataFrame:
 
 def parse_plain_text(files: DataFrame) -> DataFrame:
     lines = explode_lines(files)
-    return _with_parts(lines, _plain(clean_text(F.col("raw"))), F.col("fault"))
+    return _with_parts(lines, let(clean_text(F.col("raw")), _plain), F.col("fault"))
 
 
 def parse_syslog(files: DataFrame) -> DataFrame:

@@ -108,7 +108,14 @@ def assign_roles(parsed: DataFrame, roles: Roles, reference_year: int | None = N
     if roles is ROLES["json"]:
         stack = F.get(F.filter(F.array(*[F.try_element_at("table", F.lit(k)) for k in STACK]), lambda v: v.isNotNull() & (v != "")), F.lit(0))
         kept = F.when(stack.isNotNull(), F.concat(kept, F.array(F.struct(F.lit("stack_trace").alias("k"), stack.alias("v"), F.lit(True).alias("text"))))).otherwise(kept)
-    return told.withColumn("kept", kept).select("source", "format", "line_number", "raw", "corrupted", "corruption_reason", F.col("time.raw").alias("timestamp_raw"), F.col("time.ts").alias("ts"), "level", "message", _coerced(F.col("kept"), roles.coerce_twice).alias("fields"))
+    told = told.withColumn("kept", kept)
+    own = [F.col(c) for c in ("source", "format", "line_number", "raw", "corrupted", "corruption_reason")]
+    return settled(told, *own, F.col("time.raw").alias("timestamp_raw"), F.col("time.ts").alias("ts"), F.col("level"), F.col("message"), _coerced(F.col("kept"), roles.coerce_twice).alias("fields"))
+
+
+def settled(df: DataFrame, *columns: Column) -> DataFrame:
+    """df's columns, each computed once: a filter on them stays above instead of repeating their expressions below."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
 
 
 def finish(records: DataFrame, normalise: bool, reference_year: int | None = None) -> DataFrame:
@@ -117,10 +124,11 @@ def finish(records: DataFrame, normalise: bool, reference_year: int | None = Non
     wanted = F.lit(normalise) & (~F.col("corrupted") | F.col("format").isin(*LINE_FORMATS))
     told = records.withColumn("token", F.when(wanted & F.col("ts").isNull(), extract_timestamp(where))).withColumn("found", parse_timestamp(F.col("token"), reference_year))
     level = F.when(wanted & F.col("level").isNull(), extract_level(where)).otherwise(F.col("level"))
-    return told.select(
-        F.substring(F.sha1(F.concat_ws(":", "source", F.col("line_number").cast("string"), "raw")), 1, 16).alias("record_id"), "source", "line_number", "format",
+    return settled(
+        told,
+        F.substring(F.sha1(F.concat_ws(":", "source", F.col("line_number").cast("string"), "raw")), 1, 16).alias("record_id"), F.col("source"), F.col("line_number"), F.col("format"),
         to_iso8601(F.coalesce("ts", "found")).alias("timestamp"), F.when(F.col("found").isNotNull(), F.col("token")).otherwise(F.col("timestamp_raw")).alias("timestamp_raw"),
-        level.alias("level"), (clean_text(F.col("message")) if normalise else F.col("message")).alias("message"), "fields", "corrupted", "corruption_reason", "raw",
+        level.alias("level"), (clean_text(F.col("message")) if normalise else F.col("message")).alias("message"), F.col("fields"), F.col("corrupted"), F.col("corruption_reason"), F.col("raw"),
     )
 
 
