@@ -106,13 +106,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.select(*only(docs, *OWN), sha.alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256"))
-    may_repeat = suspects(rows, docs.count(), max_filter_mb)
-    told = rows.withColumn("suspect", may_repeat("h"))
-    passed = told.where(~F.col("suspect")).select(
+    rows = docs.select(*only(docs, *OWN), sha.alias("text_sha256")).withColumn("hash__", F.xxhash64("text_sha256"))
+    may_repeat = suspects(rows.select(F.col("hash__").alias("h")), docs.count(), max_filter_mb)
+    told = rows.withColumn("suspect__", may_repeat("hash__"))
+    passed = told.where(~F.col("suspect__")).select(
         *only(docs, *OWN), F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    held = scratch.keep(told.where("suspect").drop("h", "suspect"))
+    held = scratch.keep(told.where("suspect__").drop("hash__", "suspect__"))
     groups = scratch.keep(held.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")))
     judged = held.join(groups, "text_sha256").select(
         *only(docs, *OWN), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"

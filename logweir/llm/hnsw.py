@@ -294,6 +294,6 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joined = nodes.select("node", "weight", "least").join(links, "node", "left").join(centre.withColumnsRenamed({"u": "node", "v": "centre"}), "node", "left")
     joined = scratch.keep(joined.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least", F.coalesce("centre", "node").alias("centre")))
     lowest = scratch.keep(joined.groupBy("centre").agg(F.min("least").alias("lowest")))
-    answer = scratch.keep(joined.join(lowest, "centre").select("node", "n_links", "lowest"))
-    out = told.join(answer, told.node__ == answer.node, "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("lowest")))
+    answer = scratch.keep(joined.join(lowest, "centre").select(F.col("node").alias("of__"), "n_links", F.col("lowest").alias("lowest__")))
+    out = told.join(answer, told.node__ == answer.of__, "left").withColumn("component_id", F.when(F.col("of__").isNull(), F.col(id_col)).otherwise(F.col("lowest__")))
     return out.select(*kept, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))

@@ -120,11 +120,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = only(docs, *OWN)
     whole = docs.select(*kept, F.xxhash64(text_col).alias("version__"))
     # merged at every size: broadcasting a few spans and shuffling texts for many would make the cost jump
-    joined = whole.join(found.withColumnsRenamed({"id": "id__", "version": "v__"}).hint("merge"), (F.col(id_col) == F.col("id__")) & (F.col("version__") == F.col("v__")), "left")
+    joined = whole.join(found.withColumnsRenamed({"id": "id__", "version": "v__", "spans": "spans__"}).hint("merge"), (F.col(id_col) == F.col("id__")) & (F.col("version__") == F.col("v__")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.stop)))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("spans__", lambda s: F.sequence(s.start, s.stop)))))
     cut = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), F.col("gone__")), lambda i: F.get(F.col("lines__"), i)), "\n")
-    told = joined.withColumn("lines__", lines).withColumn("gone__", F.when(F.col("spans").isNotNull(), gone))
+    told = joined.withColumn("lines__", lines).withColumn("gone__", F.when(F.col("spans__").isNotNull(), gone))
     return told.select(
         *[F.when(F.col("gone__").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in kept],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size("lines__")).cast("long").alias("n_lines"),

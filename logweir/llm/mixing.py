@@ -69,13 +69,13 @@ def mix(
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(*only(docs, *OWN), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sums = scratch.keep(rows.groupBy(F.col(source_col).alias("s_key")).agg(F.sum("size").alias("source_size")))
-    table = scratch.keep(targets(scratch, sums, "s_key", weights, share, cap))
+    sums = scratch.keep(rows.groupBy(F.col(source_col).alias("s_key__")).agg(F.sum("size").alias("source_size")))
+    table = scratch.keep(targets(scratch, sums, "s_key__", weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    copies = (F.floor("rate") + (draw(id_col, seed) < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
+    copies = (F.floor("rate__") + (draw(id_col, seed) < F.col("rate__") - F.floor("rate__")).cast("long")).alias("copies")
     return (
-        rows.join(table, rows[source_col].eqNullSafe(table["s_key"]))
-        .withColumn("rate", rate)
+        rows.join(table, rows[source_col].eqNullSafe(table["s_key__"]))
+        .withColumn("rate__", rate)
         .select(*only(docs, *OWN), "size", "source_size", "target", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
@@ -83,4 +83,4 @@ def mix(
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each row of mix() as many times as copies says, without the added columns."""
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*only(mixed, *OWN, "copy"))
+    return mixed.where("copies > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*only(mixed, *OWN, "copy__"))

@@ -44,14 +44,14 @@ def passages(messages: DataFrame) -> DataFrame:
 
 def numbered(scratch: Scratch, rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """rows with position, from 0, in each group. Rows are dealt out by ranges of group and order, so a large group is many tasks' work."""
-    dealt = scratch.keep(rows.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy(group, "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = scratch.keep(counts.select(F.col(group).alias("g__"), F.col("part").alias("part__"), before.alias("before")))
-    inside = dealt.withColumn("inside", F.row_number().over(W.partitionBy(group, "part").orderBy(*order)) - 1)
+    dealt = scratch.keep(rows.repartitionByRange(group, *order).withColumn("part__", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "part__").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy("part__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = scratch.keep(counts.select(F.col(group).alias("g__"), F.col("part__").alias("p__"), before.alias("before__")))
+    inside = dealt.withColumn("inside__", F.row_number().over(W.partitionBy(group, "part__").orderBy(*order)) - 1)
     inside = scratch.keep(inside)
-    met = inside.join(offsets, inside[group].eqNullSafe(offsets["g__"]) & (inside["part"] == offsets["part__"]))
-    return met.withColumn("position", F.col("inside") + F.col("before")).drop("inside", "before", "g__", "part__", "part")
+    met = inside.join(offsets, inside[group].eqNullSafe(offsets["g__"]) & (inside["part__"] == offsets["p__"]))
+    return met.withColumn("position", F.col("inside__") + F.col("before__")).drop("inside__", "before__", "g__", "p__", "part__")
 
 
 def thread_roots(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     scratch = Scratch(messages.sparkSession, "quotes")
     kept = only(messages, *OWN)
     mid = F.xxhash64(F.col(conv_col), F.col(turn_col), F.col(text_col))
-    rows = messages.select(*kept, mid.alias("mid"))
-    told = rows.select("mid", F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
+    rows = messages.select(*kept, mid.alias("key__"))
+    told = rows.select(F.col("key__").alias("mid"), F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
     quoting = told.where(F.col("text").rlike(QUOTED)).dropDuplicates(["mid"])
     pieces = scratch.keep(passages(quoting.select("mid", "text")))
     bodies = scratch.keep(
@@ -112,11 +112,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     replies = scratch.keep(origin.groupBy("mid").agg(F.count("*").alias("n_linked"), F.min_by("found", F.struct("level", "passage")).alias("to")))
 
     links = quoting.select("mid", "conv").join(replies, "mid").where("to.c < conv").groupBy("conv").agg(F.min("to.c").alias("up"))
-    roots = scratch.keep(thread_roots(scratch, links).select(F.col("conv").alias("conv__"), "root"))
-    marked = scratch.keep(bodies.join(replies, "mid", "left").withColumnRenamed("mid", "mid__"))
-    joined = rows.join(marked, rows.mid == marked.mid__, "left").join(roots, F.col(conv_col) == F.col("conv__"), "left")
+    roots = scratch.keep(thread_roots(scratch, links).select(F.col("conv").alias("conv__"), F.col("root").alias("root__")))
+    marked = scratch.keep(bodies.join(replies, "mid", "left").withColumnsRenamed({"mid": "mid__", "to": "to__"}))
+    joined = rows.join(marked, rows.key__ == marked.mid__, "left").join(roots, F.col(conv_col) == F.col("conv__"), "left")
     out = joined.select(
-        *kept, "mid", F.coalesce("root", F.col(conv_col)).alias("thread_id"), F.col("to.c").alias("reply_conv"), F.col("to.t").alias("reply_turn"),
+        *kept, "key__", F.coalesce("root__", F.col(conv_col)).alias("thread_id"), F.col("to__.c").alias("reply_conv"), F.col("to__.t").alias("reply_turn"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked", "deepest")], F.when(F.col("mid__").isNull(), F.col(text_col)).otherwise(F.col("body")).alias("body"),
     )
-    return numbered(scratch, out, "thread_id", [conv_col, turn_col, "mid"]).drop("mid")
+    return numbered(scratch, out, "thread_id", [conv_col, turn_col, "key__"]).drop("key__")

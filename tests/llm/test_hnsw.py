@@ -53,7 +53,7 @@ def test_rows(spark):
     rows = [(i * 3, [float(x) for x in v.astype(np.float32)], int(rng.integers(3))) for i, v in enumerate(clustered(rng, 260))]
     rows += [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [None] * 24, 1), (5003, [float("nan")] * 24, 1), (5004, [float("inf")] * 24, 1), (5005, rows[0][1], None), (5006, [], 1), (5007, [1.0, 2.0], 1), (5008, [2.0, 4.0], 1)]
     rows += [(7000 + i, rows[4][1], rows[4][2]) for i in range(30)] + [rows[7], (None, rows[8][1], rows[8][2])]
-    frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, kept string").repartition(5)
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "vec_id long, embedding array<float>, label int, kept string, node string, lowest string").repartition(5)
     want = sorted(map(str, slow(rows)))
     for shards, width in ((4, 50_000), (2, 20)):
         got = hnsw.near_duplicates(frame, shards=shards, shard_rows=width).collect()

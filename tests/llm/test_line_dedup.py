@@ -54,7 +54,7 @@ def test_against_brute_force(spark, seed):
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long + "\nfirst"), (2, "own\n" + long + "\n\nend"), (2, "own\n" + long + "\n\nend"), (None, long), (3, None), (4, ""), (5, "\n".join([long, "x", long])), (6, "\n".join(["x"] * 70))]
-    docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, removed string")
+    docs = spark.createDataFrame([(*r, "e", "f") for r in rows], "doc_id long, text string, removed string, spans string")
     got = line_dedup.line_dedup(docs).collect()
     by = {}
     for r in got:

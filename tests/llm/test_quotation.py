@@ -93,7 +93,7 @@ def corpus(seed):
 def test_against_plain_version(spark):
     for seed in (1, 2):
         rows = corpus(seed)
-        frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, text string, body string")
+        frame = spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], "conv_id long, turn long, text string, body string, mid string, part string, root string")
         got = quotation.link_quotes(frame).collect()
         mine = sorted(([r.conv_id, r.turn, r.text, r.reply_conv, r.reply_turn, r.n_quotes, r.n_linked, r.deepest, r.body, r.thread_id] for r in got), key=key)
         want = sorted(slow(rows), key=key)
