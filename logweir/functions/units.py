@@ -26,7 +26,7 @@ def _converted(kind: str, by: float, x: Column) -> Column:
 
 
 def general(x: Column) -> Column:
-    """Four significant digits, for flags: plain between 1e-4 and 1e4, else with an exponent."""
+    """Four significant digits, for flags: plain between 1e-4 and 1e4, else with an exponent. Rounded half up from the shortest decimal form."""
 
     def shown(e: Column) -> Column:
         digits, power = F.substring_index(e, "e", 1), F.substring_index(e, "e", -1)

@@ -101,7 +101,7 @@ select substr(sha256('user <NUM> did ' || event_type), 1, 16) as signature, coun
 
 ORACLES["fn_units"] = f"""
 with {FACTS},
-x as (select event_id, event_id % 6 as k, cents % 2000 as n, event_id // 6 as j from f),
+x as (select event_id, event_id % 6 as k, ((cents % 2000) || '.21')::double as n, event_id // 6 as j from f),
 y as (select *, case k when 0 then ['C', 'F', 'k', ''][j % 4 + 1] when 1 then ['Pa', 'mTorr', 'PSI', 'bar'][j % 4 + 1] when 2 then ['W', 'kW'][j % 2 + 1] when 3 then ['sccm', 'slm', 'x'][j % 3 + 1] when 4 then ['V', 'kV'][j % 2 + 1] else ['mA', 'uA'][j % 2 + 1] end as u from x),
 z as (select *, case u when 'F' then (n - 32) * 5 / 9.0::double when 'k' then n - 273.15::double when 'mTorr' then n * 0.133322::double when 'PSI' then n * 6894.76::double when 'bar' then n * 100000 when 'kW' then n * 1000 when 'slm' then n * 1000 when 'kV' then n * 1000 when 'mA' then n / 1000.0 when 'uA' then n / 1000000.0 else n end::double as v from y),
 r as (select *, case k when 0 then v between -200 and 1500 when 1 then v between 0 and 1e8 when 2 then v between 0 and 1e6 when 3 then v between 0 and 1e5 else v between -1e4 and 1e4 end as ok,

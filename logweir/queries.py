@@ -165,7 +165,7 @@ def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fn_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts(spark, sf_dir)
-    kind, n = F.col("event_id") % 6, (F.col("cents") % 2000).cast("string")
+    kind, n = F.col("event_id") % 6, F.concat((F.col("cents") % 2000).cast("string"), F.lit(".21"))
     unit = lambda *u: F.get(F.array(*map(F.lit, u)), (F.col("event_id") / 6 % len(u)).cast("int"))
     fields = {"temperature": ("C", "F", "k", ""), "pressure": ("Pa", "mTorr", "PSI", "bar"), "rf_power": ("W", "kW"), "flow_rate": ("sccm", "slm", "x"), "voltage": ("V", "kV"), "current": ("mA", "uA")}
     values, flags = un.normalise_units({f: F.when(kind == i, F.concat(n, unit(*u))) for i, (f, u) in enumerate(fields.items())})
