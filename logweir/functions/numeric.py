@@ -16,19 +16,20 @@ REAL = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-
 
 
 def remove_units(text: Column) -> Column:
-    return strip(F.regexp_replace(text, UNIT, "$1"))
+    return let(text, lambda t: F.when(t.rlike(r"\d"), strip(F.regexp_replace(t, UNIT, "$1"))).otherwise(strip(t)))
 
 
 def try_numeric(text: Column) -> Column:
     """The text of the number that a text is, in plain form, or the text itself. Whole numbers of any length stay whole."""
 
-    def number(given: Column) -> Column:
+    def number(text: Column, given: Column) -> Column:
         bare = F.replace(given, F.lit("_"))
         digits = F.regexp_replace(bare, r"^[+-]?0*(?=\d)", "")
         whole = F.when(bare.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
         return F.when(given.rlike(WHOLE), whole).when(given.rlike(REAL), F.regexp_replace(F.lower(bare), r"^\+", "").try_cast("double").cast("string")).otherwise(text)
 
-    return let(F.replace(strip(text), F.lit(",")), number)
+    likely = r"(?i)^[^a-z]*\d|^\s*[+-]?\.?\d|^\s*[+-]?(?:inf|nan)"  # all else is no number
+    return let(text, lambda t: F.when(t.rlike(likely), let(F.replace(strip(t), F.lit(",")), lambda given: number(t, given))).otherwise(t))
 
 
 def coerce_value(text: Column, units: bool = True) -> Column:

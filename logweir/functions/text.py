@@ -60,15 +60,23 @@ def mask_quotes(line: Column) -> Column:
 
 def pairs(text: Column, pattern: str, groups: int = 3) -> Column:
     """(k, v) structs of all matches of a pattern with a key and alternative value groups; the first group that isn't empty is the value."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, groups + 2)]
     value = lambda x: reduce(lambda a, b: F.when(a != "", a).otherwise(b), [x[str(i)] for i in range(1, groups + 1)])
-    return F.transform(F.arrays_zip(*[f.alias(str(i)) for i, f in enumerate(found)]), lambda x: F.struct(x["0"].alias("k"), value(x).alias("v")))
+
+    def zipped(line: Column) -> Column:
+        found = [F.regexp_extract_all(line, F.lit(pattern), F.lit(i)) for i in range(1, groups + 2)]
+        return F.transform(F.arrays_zip(*[f.alias(str(i)) for i, f in enumerate(found)]), lambda x: F.struct(x["0"].alias("k"), value(x).alias("v")))
+
+    return let(text, zipped)
 
 
 def last_wins(entries: Column) -> Column:
     """(k, v) structs with each key once, at its first place with its last value."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
+
+    def kept(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, lambda e: e["k"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(all_, lambda e: e["k"] == k), -1)["v"].alias("v")))
+
+    return let(entries, kept)
 
 
 def parse_kv_pairs(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.numeric import parse_numeric
 
@@ -29,6 +29,21 @@ def list_tables(spark: SparkSession) -> list[tuple[str, int]]:
     return [(t.name, spark.table(t.name).count()) for t in sorted(spark.catalog.listTables(), key=lambda t: t.name)]
 
 
+def register(spark: SparkSession, name: str, df: DataFrame) -> None:
+    """A view under a name of letters, digits and _; others are replaced by _."""
+    df.createOrReplaceTempView("".join(c if c.isalnum() else "_" for c in name))
+
+
+def unregister(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.dropTempView(name)
+
+
+def with_share(charted: DataFrame) -> DataFrame:
+    """(label, value) with each value's percentage of all, for a chart's few rows."""
+    total = F.sum("value").over(W.partitionBy(F.lit(0)))
+    return charted.withColumn("share_pct", F.when(total != 0, F.round(100 * F.col("value") / total, 1)).otherwise(0.0))
+
+
 def describe(df: DataFrame) -> list[dict]:
     return [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable, "numeric": isinstance(f.dataType, T.NumericType)} for f in df.schema]
 

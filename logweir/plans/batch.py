@@ -12,7 +12,7 @@ from ..operators.staging import stage
 from ..operators.templates import as_table, discover_templates
 from ..schema import PARSE_FAILURES, PARSED_LOGS, REGISTRY, TEMPLATES
 from ..sources.readers import ingest, read_files
-from ..sources.sinks import insert_or_ignore, new_rows, read_table, replace_table
+from ..sources.sinks import insert_or_ignore, new_rows, read_ndjson, read_table, replace_table
 from ..tables import cut
 from .semantic import MappingProvider, failures, from_log_records, learn, map_records
 
@@ -82,6 +82,17 @@ def run_path(store: Store, path: str, provider: MappingProvider | None = None, p
     return run_files(store, read_files(store.spark, path, pattern), provider)
 
 
+def run_staged(store: Store, path: str, provider: MappingProvider | None = None) -> Result:
+    """Staged NDJSON of log records through run_records; lines that don't parse go to parse_failures."""
+    staged = cut(read_ndjson(store.spark, path, "record_id string, source string, line_number int, format string, timestamp string, level string, message string, fields map<string,string>, corrupted boolean, corruption_reason string"))
+    bad = staged.where("bad_line is not null").select(F.col("bad_line").alias("raw_line"), F.lit("staging").alias("log_source"), F.lit("invalid_json").alias("error"), F.lit(_now()).alias("failed_at"))
+    bad.write.mode("append").parquet(store.at("parse_failures"))
+    good = staged.where("bad_line is null").withColumn("corrupted", F.coalesce("corrupted", F.lit(False))).withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    result = run_records(store, from_log_records(good), provider)
+    result.failed = bad.count()
+    return result
+
+
 def learn_templates(store: Store, lines: DataFrame) -> int:
     """Templates of past lines (line, at) into the template table; how many are new."""
     before = store.table("templates", TEMPLATES)

@@ -142,6 +142,13 @@ def learn(registry: DataFrame, signed: DataFrame, made: DataFrame, now: str) ->
     return upsert(hit, fresh, "signature", keep=("hit_count", "created_at"))
 
 
+def learn_name(learned: dict[str, str], vendor: str, name: str) -> dict[str, str]:
+    """learned with one more vendor name; ValueError if what it stands for isn't canonical."""
+    if name not in CANONICAL:
+        raise ValueError(f"{name} is no canonical field")
+    return {**learned, vendor.lower().strip(): name}
+
+
 def canonical_name(key: Column, learned: dict[str, str] | None = None) -> Column:
     """The canonical field for a vendor's, or null: canonical names as they are, others by the synonym table, without case."""
     table = {**VENDOR_NAMES, **(learned or {})}  # a vocabulary of the driver's

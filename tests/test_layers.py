@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from logweir.functions import generate_signature, mask_variables, parse_timestamp, standardise_timestamp, to_iso8601, try_numeric
 from logweir.functions.units import normalise_field
-from logweir.operators import anomaly, detect, similar, staging, templates
-from logweir.plans import batch, semantic
+from logweir.operators import analyze, anomaly, detect, similar, staging, templates
+from logweir.plans import batch, provider, semantic
 from logweir.schema import PARSED_LOGS, REGISTRY, VENDOR_NAMES
 from logweir.sources import raw_records, readers, sinks
 from logweir.streaming import ingest as stream
@@ -171,3 +171,48 @@ def test_clusters(spark):
     idf, _ = similar.fit(frame)
     near = similar.nearest(frame.where("id in (2, 5)"), frame, idf, 2).collect()
     assert sorted((r.id, r["rank"], r.candidate) for r in near) == [(2, 1, 2), (2, 2, 3), (5, 1, 0), (5, 2, 1)]
+
+
+def test_provider():
+    waits = []
+
+    def fails(prompt):
+        raise RuntimeError("busy")
+
+    def quota(prompt):
+        raise RuntimeError("Error 429: insufficient_quota")
+
+    model = provider.TextModel(fails, wait=waits.append)
+    assert model.generate(["a"], ["s"]) == [{"fields": {}, "confidence": 0.0, "parse_flags": ["llm_failed"]}] and waits == [1.0, 2.0, 4.0, 8.0]
+    waits.clear()
+    assert provider.TextModel(quota, wait=waits.append).generate(["a"], ["s"])[0]["parse_flags"] == ["llm_quota_exceeded"] and not waits
+    answer = 'Sure:\n```json\n[{"fields": {"tool_id": "T=(\\\\w+)"}, "confidence": 0.5}, {}, {}]\n```'
+    told = provider.TextModel(lambda prompt: answer).generate(["T=1", "x"], ["s1", "s2"])
+    assert [t["signature"] for t in told] == ["s1", "s2"] and told[0]["fields"] == {"tool_id": r"T=(\w+)"}
+    assert provider.parse_response("nonsense", ["s"])[0]["fields"] == {}
+    assert "temperature" in provider.build_prompt(["l"], ["s"], ["e"])
+
+
+def test_names_views_and_shares(spark):
+    assert semantic.learn_name({}, " Chuck ", "tool_id") == {"chuck": "tool_id"}
+    with pytest.raises(ValueError):
+        semantic.learn_name({}, "x", "bogus")
+    frame = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    analyze.register(spark, "my-view", frame)
+    assert ("my_view", 4) in analyze.list_tables(spark)
+    assert analyze.unregister(spark, "my_view")
+    assert {r.label: r.share_pct for r in analyze.with_share(analyze.chart(frame, "k")).collect()} == {"a": 50.0, "b": 25.0, None: 25.0}
+    with pytest.raises(ValueError):
+        analyze.chart(frame, "nope")
+
+
+def test_staged_records(spark, tmp_path):
+    records = readers.ingest(readers.from_bytes(spark, [("s", b"ts=2024-01-15T10:23:01Z level=info tool=T9 temp=5C\n")]), "logfmt")
+    sinks.write_ndjson(records, f"{tmp_path}/in")
+    with open(tmp_path / "in" / "extra.json", "w") as f:
+        f.write("{broken\n")
+    store = batch.Store(spark, f"file://{tmp_path}/store")
+    result = batch.run_staged(store, f"{tmp_path}/in")
+    assert (result.inserted, result.failed) == (1, 1)
+    (row,) = store.table("parsed_logs", PARSED_LOGS).collect()
+    assert (row.tool_id, row.temperature) == ("T9", 5.0)
