@@ -23,10 +23,10 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from .scratch import only, small_batches
+from .scratch import only, small_batches, trim
 
 LEAF = 256
-CACHE = 1 << 19
+CACHE = 3 << 17
 OWN = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -202,6 +202,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         return pa.RecordBatch.from_arrays(out, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         bpe = codec(held.value, pattern)
         gc.disable()  # nothing here makes cycles, and each collection would walk the cache
         try:
