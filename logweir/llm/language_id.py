@@ -49,13 +49,17 @@ def plain(text: str, markup: bool) -> str:
     return _MARKUP.sub(" ", text) if markup else text
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each bucket, fitted on the ``rows`` labelled documents with the least hashes of their text.
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities of each bucket, fitted on the ``rows`` labelled documents with the least hashes of their id.
 
-    Languages with fewer than LEAST_ROWS of these rows aren't learnt.
+    Languages with fewer than LEAST_ROWS of these rows aren't learnt. A bound on the
+    hash, from the number of rows, leaves little more than the sample to be sorted,
+    so no task gets more of the texts than that, whatever the size of the table.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = labelled.withColumn("h", F.xxhash64("text", "lang")).orderBy("h", "lang").limit(rows).drop("h")
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    share = min(1.0, 1.2 * rows / max(1, labelled.count()))
+    bound = int(-(2**63) + share * (2**64 - 1))
+    sample = labelled.where(F.col("h") <= min(bound, 2**63 - 1)).orderBy("h", "lang").limit(rows).drop("h")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, np.int64)
@@ -163,10 +167,10 @@ def declared_in(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
 
 
-def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The documents in a known language: lang_col is what they declare, source_col their host. All columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "known")
-    model = train(docs, lang_col, text_col)
+    model = train(docs, lang_col, text_col, id_col=id_col)
     key = F.xxhash64(F.col(text_col), F.col(lang_col), F.col(source_col))
     told = identify(docs.select(key.alias("key__"), text_col, lang_col, source_col), model, ["key__"], text_col, host=F.col(source_col), declared=F.col(lang_col))
     gone = scratch.keep(told.where("not accepted").select("key__").distinct())

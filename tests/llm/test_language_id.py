@@ -17,7 +17,7 @@ def text(rng, lang, n=40):
 def test_held_out_accuracy_and_evidence(spark):
     rng = random.Random(2)
     docs = [(text(rng, lang), lang) for lang in SYLLABLES for _ in range(60)] + [("", "aa"), (None, "bb"), ("rare", "zz")]
-    names, logs = model = language_id.train(spark.createDataFrame(docs, "text string, lang string"))
+    names, logs = model = language_id.train(spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string"))
     assert names == list(SYLLABLES) and np.allclose(np.exp(logs).sum(axis=1), 1)
     rows = []
     for i in range(150):
@@ -48,3 +48,11 @@ def test_no_labelled_rows_and_columns_kept(spark):
 def test_markup():
     assert language_id.plain("<html lang='en'><script>x</script><p>a&amp;b<!-- c --></p>", True).split() == ["a", "b"]
     assert len(language_id.trigrams("Ab")) == 2 and len(language_id.trigrams(" 1 ")) == 0
+
+
+def test_sample_is_bounded(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, text(rng, "aa", 4), "aa") for i in range(3000)], "doc_id long, text string, lang string").repartition(6)
+    (few,), table = language_id.train(docs, rows=100)
+    again = language_id.train(docs.repartition(3), rows=100)
+    assert few == "aa" and np.array_equal(table, again[1])
