@@ -62,3 +62,20 @@ def test_stage_finds_copies_beyond_three_bits(spark):
     assert any((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i + 1])).bit_count() > 3 for i in range(0, len(texts), 3))
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components(texts)))
+
+
+def test_stage_decides_by_row(spark):
+    rng = random.Random(9)
+    a, b, c, d, e, f = (family(rng, 60, 1, 1) for _ in range(6))
+    rows = [
+        (1, a[0]), (None, a[1]),  # the null id goes, the next two don't
+        (None, b[0]), (None, c[0]),
+        (2, d[0]), (3, d[1]), (3, e[0]),  # one of two texts under one id is a copy
+        (4, f[0]), (4, f[0]), (4, f[1]),  # copies with one id
+        (None, e[1] + " of"), (None, "alone and twice here"), (None, "alone and twice here"),
+    ]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA).repartition(4)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted((i for i, _ in kept), key=str) == [1, 2, 3, 4, None, None, None]
+    assert {t for i, t in kept if i is None} == {b[0], c[0], "alone and twice here"}
+    assert (3, e[0]) in kept
