@@ -342,7 +342,7 @@ def nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = similar.cluster(_texts(spark, sf_dir).where("id <= 2000"))
+    labels = similar.cluster(_texts(spark, sf_dir))
     return labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
