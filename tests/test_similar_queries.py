@@ -16,3 +16,21 @@ def test_cluster_lines_takes_all_ids(spark, tmp_path):
     terms = parts(spark, tmp_path, [*range(1, 40), *range(5001, 5040)])
     got = QUERIES["cluster_lines"](spark, str(tmp_path)).collect()
     assert sum(r.n for r in got) == len(terms)
+
+
+def test_nearest_lines_searches_all_rows(spark, tmp_path):
+    terms = parts(spark, tmp_path, range(1, 301))
+    df = Counter(t for c in terms.values() for t in c)
+    n = len(terms)
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items() if d <= 0.95 * n}
+    vectors = {}
+    for i, c in terms.items():
+        x = {t: (1 + math.log(k)) * idf[t] for t, k in c.items() if t in idf}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vectors[i] = {t: v / norm for t, v in x.items()}
+    want = []
+    for q in (100, 200, 300):
+        told = sorted((sum(w * v.get(t, 0.0) for t, w in vectors[q].items()) for v in vectors.values()), reverse=True)
+        want += [(q, k + 1, round(told[k], 6)) for k in range(3)]
+    got = sorted((r.id, r.rank, r.cosine) for r in QUERIES["nearest_lines"](spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
