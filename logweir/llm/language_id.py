@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import Scratch, only, small_batches
 from .url_filter import domain_of, host_of, suffix_of
@@ -50,16 +50,18 @@ def plain(text: str, markup: bool) -> str:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities of each bucket, fitted on the ``rows`` labelled documents with the least hashes of their id.
+    """Languages and their log probabilities of each bucket, fitted on the ``rows`` labelled documents of each language with the least hashes of their id and text.
 
-    Languages with fewer than LEAST_ROWS of these rows aren't learnt. A bound on the
-    hash, from the number of rows, leaves little more than the sample to be sorted,
-    so no task gets more of the texts than that, whatever the size of the table.
+    Every language with LEAST_ROWS labelled rows in the whole table is learnt, however
+    large the table. A bound on the hash, from the language's number of rows, leaves little
+    more than the sample to be sorted, so no task gets more of the texts than that.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    share = min(1.0, 1.2 * rows / max(1, labelled.count()))
-    bound = int(-(2**63) + share * (2**64 - 1))
-    sample = labelled.where(F.col("h") <= min(bound, 2**63 - 1)).orderBy("h", "lang").limit(rows).drop("h")
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = labelled.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()  # one row a language
+    bounds = [(r.lang, min(2**63 - 1, int(-(2**63) + min(1.0, 1.2 * rows / r["count"]) * (2**64 - 1)))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = labelled.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound"))
+    sample = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= rows).select("lang", "text")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS, np.int64)

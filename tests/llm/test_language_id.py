@@ -56,3 +56,10 @@ def test_sample_is_bounded(spark):
     (few,), table = language_id.train(docs, rows=100)
     again = language_id.train(docs.repartition(3), rows=100)
     assert few == "aa" and np.array_equal(table, again[1])
+
+
+def test_rare_language_is_learnt_at_any_size(spark):
+    rng = random.Random(12)
+    rows = [(i, text(rng, "aa", 4), "aa") for i in range(4000)] + [(10_000 + i, text(rng, "bb", 4), "bb") for i in range(15)] + [(None, text(rng, "cc", 4), "cc") for _ in range(200)] + [(20_000 + i, text(rng, "cc", 4), "dd") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    assert language_id.train(docs, rows=100)[0] == ["aa", "bb", "cc"]
