@@ -78,6 +78,19 @@ def only(df: DataFrame, *own: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression: names may hold dots and other marks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for an inner column that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Holds this session's Arrow batches to so many rows: a row here is a whole document, and a batch of them lies in the JVM and in Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
