@@ -1,22 +1,24 @@
-"""Bigram Katz backoff: Good-Turing discounts, exactly normalised backoff weights, scores of whole texts.
+"""Katz backoff: Good-Turing discounts, exactly normalised backoff weights, scores of whole texts.
 
 Documents are packed into blocks of about a million tokens. A block asks for what its own texts hold, once
 per distinct n-gram: it sends its sorted 64-bit n-gram hashes with their training
 counts to the part of the model that covers their hash range, and gets back, in
 the same order and so without the hashes, the corpus counts. What one part or
-block has to hold is bounded by design, and a word or pair that fills a third of the corpus
+block has to hold is bounded by design, and an n-gram that fills a third of the corpus
 is one entry a block. One block is named the owner of each n-gram; owners
 add up, per context, how many continuations have each count, in integers. From
-these sums the context's part gets the backoff weight:
+these sums the context's part gets the backoff weight, one order after the other:
 
     P(w)     = d(c(w)) c(w) / N, scaled so that unknown words keep the rest
-    P(w | h) = d(c(hw)) c(hw) / c(h)  if hw was seen, else  a(h) P(w)
-    a(h)     = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over seen w)
+    P(w | h) = d(c(hw)) c(hw) / c(h)  if hw was seen, else  a(h) P(w | h')
+    a(h)     = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over seen w)
 
-d(r) is the Good-Turing discount of counts up to K. A context whose counts
+h' is h without its first word; texts begin with start marks. d(r) is the Good-Turing
+discount of counts up to K, from counts of counts smoothed by log-linear regression (Gale and Sampson 1995),
+so it lies between zero and one at any size of the corpus. A context whose counts
 are all above K would keep nothing for the rest; its divisor is then c(h) + 1.
-The counts and weights are written as tables partitioned by kind and
-hash range. Two distinct n-grams would have to share a 64-bit hash to be confused.
+The counts and weights are written as tables partitioned by kind, order and one of
+RANGES hash ranges. Two distinct n-grams would have to share a 64-bit hash to be confused.
 """
 
 from __future__ import annotations
@@ -32,17 +34,20 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, quoted, small_batches
 
 K = 5
+COUNTS = 64
+FLATTEST = -1.1
+RANGES = 8
 BLOCK_TOKENS = 1 << 20
 PART_ENTRIES = 1 << 20
 END, START = b" end", b" start"  # no word holds a space
 _BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<long>, tokens binary, words binary, n_tokens long, n_words long"
 _ASKED = "level int, part int, block long, entries long, keys binary, counts binary"
-_TOLD = "kind string, level int, part int, block long, keys binary, counts binary, own binary, hist array<long>, total long, types long"
-_SUMS = "part int, block long, keys binary, sums binary, need binary"
-_WEIGHTS = "kind string, part int, block long, keys binary, divisor binary, alpha binary"
+_TOLD = "kind string, level int, span int, part int, block long, keys binary, counts binary, own binary, hist array<long>, total long, types long"
+_SUMS = "part int, block long, keys binary, sums binary, lower binary, need binary"
+_WEIGHTS = "kind string, level int, span int, part int, block long, keys binary, divisor binary, alpha binary"
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -78,30 +83,44 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Block:
-    """Texts as places in a sorted list of word hashes, and their distinct bigrams by hash."""
+    """Texts as places in a sorted list of word hashes, and their distinct n-grams by hash.
 
-    def __init__(self, row):
+    Of each order k: keys[k] sorted, at[k] each token's n-gram. From order two on also context[k] and lower[k],
+    of each n-gram its place in contexts[k] (sorted keys, of all that stand before a token) and its n-gram without the first word in keys[k - 1].
+    """
+
+    def __init__(self, row, order: int):
         self.ids, self.held, self.sizes = row["ids"], np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        self.tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
-        self.words = unpack_sorted(row["words"])
-        self.train = np.repeat(~self.held, self.sizes)
+        tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+        words = unpack_sorted(row["words"])
+        self.order, self.train = order, np.repeat(~self.held, self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.words))
-
-    def bigrams(self) -> None:
-        """keys, and for each its context, word and training count; at: each token's bigram."""
-        start = int(np.searchsorted(self.words, np.uint64(xxhash.xxh3_64_intdigest(START))))
-        before = np.concatenate(([start], self.tokens[:-1]))
-        before[self.starts] = start
-        pairs, at = np.unique(before << 32 | self.tokens, return_inverse=True)
-        context, word = pairs >> 32, pairs & 0xFFFFFFFF
-        keys = mix(self.words[context], self.words[word])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.keys, self.context, self.word, self.at = keys[order], context[order], word[order], place[at]
+        self.keys, self.at, self.contexts, self.context, self.lower, self.shorter = {1: words}, {1: tokens}, {}, {}, {}, {}
+        mark = word = np.uint64(xxhash.xxh3_64_intdigest(START))
+        stood = None  # each token's place in the contexts of the order before
+        for k in range(2, order + 1):
+            before = np.concatenate(([0], self.at[k - 1][:-1]))
+            before[self.starts] = len(self.keys[k - 1])
+            pairs, at = np.unique(before << 32 | tokens, return_inverse=True)
+            every = np.append(self.keys[k - 1], mark)
+            keys = mix(every[pairs >> 32], words[pairs & 0xFFFFFFFF])
+            sort = np.argsort(keys, kind="stable")
+            place = np.empty(len(sort), np.int64)
+            place[sort] = np.arange(len(sort))
+            self.keys[k], self.at[k] = keys[sort], place[at]
+            self.contexts[k], self.context[k] = np.unique(every[pairs[sort] >> 32], return_inverse=True)
+            self.lower[k] = np.empty(len(keys), np.int64)
+            self.lower[k][self.at[k]] = self.at[k - 1]
+            stands = self.context[k][self.at[k]]
+            if stood is not None:
+                #: of each context the one without its first word
+                self.shorter[k] = np.empty(len(self.contexts[k]), np.int64)
+                self.shorter[k][stands] = stood
+            stood, mark = stands, mix(np.array([mark]), np.array([word]))[0]
+
+    def counts(self, k: int) -> np.ndarray:
+        """How often training texts of this block have each n-gram."""
+        return np.bincount(self.at[k][self.train], minlength=len(self.keys[k]))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -112,7 +131,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
     ids, held, sizes, tokens = [], [], [], []
 
     def flush() -> pd.DataFrame:
-        vocabulary[START]
         digest = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
         words, place = np.unique(digest, return_inverse=True)
         flat = place[np.concatenate(tokens)].astype(np.uint32)
@@ -144,189 +162,197 @@ def _packed_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(frame.to_dict("records"), kinds)
 
 
-def _asked(parts: tuple[int, int]):
-    """Each block's distinct words and bigrams with their training counts, cut by hash range."""
+def _asked(parts: list[int]):
+    """Each block's distinct n-grams with their training counts, cut by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
-            block = Block(row)
-            block.bigrams()
-            rows = []
-            for level, keys, n in ((1, block.words, block.word_counts()), (2, block.keys, np.bincount(block.at[block.train], minlength=len(block.keys)))):
-                edges = cuts(keys, parts[level - 1])
-                for p, (a, b) in enumerate(zip(edges, edges[1:])):
-                    if a < b:
-                        rows.append((level, p, row["block"], int(b - a), pack_sorted(keys[a:b]), pack(n[a:b])))
-            names = ["level", "part", "block", "entries", "keys", "counts"]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            block = Block(row, len(parts))
+            for level, n_parts in enumerate(parts, 1):
+                keys, n = block.keys[level], block.counts(level)
+                edges = cuts(keys, n_parts)
+                rows = [(level, p, row["block"], int(b - a), pack_sorted(keys[a:b]), pack(n[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+                names = ["level", "part", "block", "entries", "keys", "counts"]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
-def _told(rows: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: corpus counts for every block that asked, the model's part, and how many n-grams have each count."""
-    rows = rows.sort_values("block")
-    keys, counts = [unpack_sorted(b) for b in rows["keys"]], [unpack(b) for b in rows["counts"]]
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.concatenate(counts)
-    total = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
-    owner = np.zeros(len(at), bool)
-    trained = np.flatnonzero(n)
-    owner[trained[np.unique(at[trained], return_index=True)[1]]] = True
-    level, part = int(rows["level"].iloc[0]), int(rows["part"].iloc[0])
-    out, a = [], 0
-    for block, held in zip(rows["block"], keys):
-        b = a + len(held)
-        out.append(("reply", level, part, block, None, pack(total[at[a:b]]), np.packbits(owner[a:b]).tobytes(), None, None, None))
-        a = b
-    seen = total > 0
-    hist = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)[1 : K + 2]
-    out.append(("model", level, part, None, pack_sorted(found[seen]), pack(total[seen]), None, list(map(int, hist)), int(total.sum()), int(seen.sum())))
-    return pd.DataFrame(out, columns=["kind", "level", "part", "block", "keys", "counts", "own", "hist", "total", "types"]).astype({"block": "Int64", "total": "Int64", "types": "Int64"})
+def _told(parts: list[int]):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """One hash range: corpus counts for every block that asked, the model's part, and how many n-grams have each count."""
+        rows = rows.sort_values("block")
+        keys, counts = [unpack_sorted(b) for b in rows["keys"]], [unpack(b) for b in rows["counts"]]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate(counts)
+        total = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+        owner = np.zeros(len(at), bool)
+        trained = np.flatnonzero(n)
+        owner[trained[np.unique(at[trained], return_index=True)[1]]] = True
+        level, part = int(rows["level"].iloc[0]), int(rows["part"].iloc[0])
+        span = part * RANGES // parts[level - 1]
+        out, a = [], 0
+        for block, held in zip(rows["block"], keys):
+            b = a + len(held)
+            out.append(("reply", level, span, part, block, None, pack(total[at[a:b]]), np.packbits(owner[a:b]).tobytes(), None, None, None))
+            a = b
+        seen = total > 0
+        hist = np.bincount(np.minimum(total[seen], COUNTS + 1), minlength=COUNTS + 2)[1 : COUNTS + 1]
+        out.append(("model", level, span, part, None, pack_sorted(found[seen]), pack(total[seen]), None, list(map(int, hist)), int(total.sum()), int(seen.sum())))
+        return pd.DataFrame(out, columns=["kind", "level", "span", "part", "block", "keys", "counts", "own", "hist", "total", "types"]).astype({"block": "Int64", "total": "Int64", "types": "Int64"})
+
+    return run
+
+
+def slope(n: list[int]) -> float:
+    """The exponent b of n(r) = a r ** b over counts of counts n(1), n(2) ...: each is spread over the gap to its neighbours that aren't zero, then log n is fitted by least squares. FLATTEST at most, as r n(r) has to fall for Good-Turing; -2 (Zipf's law) where fewer than two counts occur."""
+    r = np.array([i for i, x in enumerate(n, 1) if x], float)
+    if len(r) < 2:
+        return -2.0
+    before, after = np.concatenate(([0.0], r[:-1])), np.append(r[1:], 2 * r[-1] - r[-2])
+    z = np.array([x for x in n if x], float) / ((after - before) / 2)
+    return min(FLATTEST, float(np.polyfit(np.log(r), np.log(z), 1)[0]))
 
 
 def discounts(n: list[int]) -> list[float]:
-    """d(1) to d(K) from n(1) to n(K+1), how many n-grams have each count; by absolute discounting where Good-Turing gives no d in (0, 1]."""
-    n1, n2 = n[0], n[1]
-    if all(n):
-        rest = (K + 1) * n[K] / n1
-        d = [((r + 1) * n[r] / n[r - 1] / r - rest) / (1 - rest) if rest != 1 else 0.0 for r in range(1, K + 1)]
-        if all(0 < x <= 1 for x in d):
-            return d
-    cut = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    return [(r - cut) / r for r in range(1, K + 1)]
+    """d(1) to d(K) from the counts of counts: Katz's, of the smoothed Good-Turing counts r* = (r + 1) n(r + 1) / n(r)."""
+    b = slope(n)
+    rest = (K + 1) ** (b + 1)  # (K + 1) n(K + 1) / n(1)
+    return [(((r + 1) / r) ** (b + 1) - rest) / (1 - rest) for r in range(1, K + 1)]
 
 
 class Levels:
-    """What all parts share: totals, discounts and the unigram distribution."""
+    """What all parts share: totals, the discounts of each order and the unigram distribution."""
 
-    def __init__(self, stats: dict[int, tuple[list[int], int, int]]):
-        (n1, self.tokens, self.types), (n2, _, _) = (stats.get(k, ([0] * (K + 1), 0, 0)) for k in (1, 2))
-        self.first, self.second = discounts(n1), discounts(n2)
-        kept = self.tokens - sum((1 - d) * r * n for r, (d, n) in enumerate(zip(self.first, n1), 1))
+    def __init__(self, stats: dict[int, tuple[list[int], int, int]], order: int):
+        every = {k: stats.get(k, ([0] * COUNTS, 0, 0)) for k in range(1, order + 1)}
+        n1, self.tokens, self.types = every[1]
+        self.d = {k: np.array(discounts(n)) for k, (n, _, _) in every.items()}
+        kept = self.tokens - sum((1 - d) * r * n for r, (d, n) in enumerate(zip(self.d[1], n1), 1))
         rest = 1 - kept / self.tokens if self.tokens else 1.0
         self.unknown = min(1.0, max(rest, 0.5 / (self.tokens + 1)))
         self.scale = (1 - self.unknown) / kept if kept else 0.0
 
-    def mass(self, counts: np.ndarray, d: list[float]) -> np.ndarray:
+    def mass(self, counts: np.ndarray, k: int) -> np.ndarray:
         """d(r) r."""
-        return np.concatenate(([0.0], d, [1.0]))[np.minimum(counts, K + 1)] * counts
+        return np.concatenate(([0.0], self.d[k], [1.0]))[np.minimum(counts, K + 1)] * counts
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, self.mass(counts, self.first) * self.scale, self.unknown)
+        return np.where(counts > 0, self.mass(counts, 1) * self.scale, self.unknown)
 
-    def context(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Divisor and backoff weight from sums, a row a context: continuations by count 1..K, the sum of the larger counts, and the same of their unigram counts."""
+    def context(self, sums: np.ndarray, k: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Divisor and backoff weight from sums, a row a context: continuations by count 1..K, the sum of the larger counts, and the same of their counts without the first word; lower is the divisor of the shorter context."""
         r = np.arange(1, K + 1)
         seen = sums[:, :K] @ r + sums[:, K]
-        kept = sums[:, :K] @ (r * self.second) + sums[:, K]
-        lower = (sums[:, K + 1 : 2 * K + 1] @ (r * self.first) + sums[:, 2 * K + 1]) * self.scale
+        kept = sums[:, :K] @ (r * self.d[k]) + sums[:, K]
+        less = sums[:, K + 1 : 2 * K + 1] @ (r * self.d[k - 1]) + sums[:, 2 * K + 1]
+        less = less * self.scale if k == 2 else less / np.maximum(lower, 1)
         divisor = seen + ((kept >= seen) & (seen > 0))
         with np.errstate(invalid="ignore", divide="ignore"):
-            alpha = np.where(seen > 0, (1 - kept / divisor) / np.maximum(1 - lower, self.unknown), 1.0)
+            alpha = np.where(seen > 0, (1 - kept / divisor) / np.maximum(1 - less, self.unknown if k == 2 else 1e-12), 1.0)
         return divisor.astype(np.int64), alpha
 
 
-def _counts(block: Block, replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Corpus counts of the block's words and bigrams, and which bigrams it owns."""
-    out = {}
-    for level, n in ((1, len(block.words)), (2, len(block.keys))):
-        own = replies[replies["level"] == level].sort_values("part")
-        counts = [unpack(b) for b in own["counts"]]
-        out[level] = np.concatenate(counts)
-        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(c)) for b, c in zip(own["own"], counts)]
-        assert len(out[level]) == n
-    return out[1], out[2], np.concatenate(bits).astype(bool)
+def _counts(block: Block, replies: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of the block's n-grams of order k, and which of them it owns."""
+    own = replies[(replies["level"] == k) & replies["counts"].notna()].sort_values("part")
+    counts = [unpack(b) for b in own["counts"]]
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(c)) for b, c in zip(own["own"], counts)]
+    assert sum(map(len, counts)) == len(block.keys[k])
+    return np.concatenate(counts), np.concatenate(bits).astype(bool)
+
+
+def _weights(block: Block, replies: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Divisor and backoff weight of the block's contexts of order k; the weight is one where it isn't needed."""
+    own = replies[(replies["level"] == k) & replies["alpha"].notna()].sort_values("part")
+    divisor = np.concatenate([unpack(d) for d in own["divisor"]])
+    sizes = [len(unpack(d)) for d in own["divisor"]]
+    need = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(own["keys"], sizes)]).astype(bool)
+    alpha = np.ones(len(divisor))
+    alpha[need] = np.concatenate([unpack(a, np.float64) for a in own["alpha"]])
+    assert len(divisor) == len(block.contexts[k])
+    return divisor, alpha
 
 
-def _summed(parts: int):
+def _summed(parts: int, k: int):
     """Per context that the block holds: sums over the continuations it owns."""
 
     def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        block = Block(blocks.iloc[0])
-        block.bigrams()
-        c1, c2, own = _counts(block, replies)
-        width = len(block.words)
-        context, c, cw = block.context[own], c2[own], c1[block.word[own]]
-        sums = np.zeros((width, 2 * K + 2), np.int64)
-        for first, n in ((0, c), (K + 1, cw)):
+        block = Block(blocks.iloc[0], k)
+        (less, _), (n, own) = (_counts(block, replies, j) for j in (k - 1, k))
+        keys = block.contexts[k]
+        sums = np.zeros((len(keys), 2 * K + 2), np.int64)
+        context = block.context[k][own]
+        for first, c in ((0, n[own]), (K + 1, less[block.lower[k][own]])):
             for r in range(1, K + 1):
-                sums[:, first + r - 1] = np.bincount(context[n == r], minlength=width)
-            sums[:, first + K] = np.bincount(context[n > K], weights=n[n > K], minlength=width).astype(np.int64)
-        need = np.zeros(width, bool)
-        need[block.context[c2 == 0]] = True
-        used = np.zeros(width, bool)
-        used[block.context] = True
-        keys, sums, need = block.words[used], sums[used], need[used]
+                sums[:, first + r - 1] = np.bincount(context[c == r], minlength=len(keys))
+            sums[:, first + K] = np.bincount(context[c > K], weights=c[c > K], minlength=len(keys)).astype(np.int64)
+        need = np.zeros(len(keys), bool)
+        need[block.context[k][n == 0]] = True
+        lower = _weights(block, replies, k - 1)[0][block.shorter[k]] if k > 2 else np.zeros(len(keys), np.int64)
         edges = cuts(keys, parts)
-        rows = [(p, blocks["block"].iloc[0], pack_sorted(keys[a:b]), pack(sums[a:b].T.reshape(-1)), np.packbits(need[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-        return pd.DataFrame(rows, columns=["part", "block", "keys", "sums", "need"])
+        rows = [(p, blocks["block"].iloc[0], pack_sorted(keys[a:b]), pack(sums[a:b].T.reshape(-1)), pack(lower[a:b]), np.packbits(need[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        return pd.DataFrame(rows, columns=["part", "block", "keys", "sums", "lower", "need"])
 
     return run
 
 
-def _weighed(levels: Levels):
+def _weighed(levels: Levels, parts: int, k: int):
     """One hash range of contexts: divisor and weight of each, and for every block those it asked for."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
         keys = [unpack_sorted(b) for b in rows["keys"]]
         found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.zeros((len(found), 2 * K + 2), np.int64)
+        sums, lower = np.zeros((len(found), 2 * K + 2), np.int64), np.zeros(len(found), np.int64)
         a = 0
-        for held, packed in zip(keys, rows["sums"]):
-            sums[at[a : a + len(held)]] += unpack(packed).reshape(2 * K + 2, -1).T
+        for held, packed, low in zip(keys, rows["sums"], rows["lower"]):
+            own = at[a : a + len(held)]
+            sums[own] += unpack(packed).reshape(2 * K + 2, -1).T
+            lower[own] = unpack(low)
             a += len(held)
-        divisor, alpha = levels.context(sums)
+        divisor, alpha = levels.context(sums, k, lower)
         out, a, part = [], 0, int(rows["part"].iloc[0])
+        span = part * RANGES // parts
         for block, held, need in zip(rows["block"], keys, rows["need"]):
             own = at[a : a + len(held)]
             asked = np.unpackbits(np.frombuffer(need, np.uint8), count=len(held)).astype(bool)
-            out.append(("reply", part, block, need, pack(divisor[own]), pack(alpha[own[asked]])))
+            out.append(("reply", k, span, part, block, need, pack(divisor[own]), pack(alpha[own[asked]])))
             a += len(held)
         seen = divisor > 0
-        out.append(("model", part, None, pack_sorted(found[seen]), pack(divisor[seen]), pack(alpha[seen])))
-        return pd.DataFrame(out, columns=["kind", "part", "block", "keys", "divisor", "alpha"]).astype({"block": "Int64"})
+        out.append(("model", k, span, part, None, pack_sorted(found[seen]), pack(divisor[seen]), pack(alpha[seen])))
+        return pd.DataFrame(out, columns=["kind", "level", "span", "part", "block", "keys", "divisor", "alpha"]).astype({"block": "Int64"})
 
     return run
 
 
-def _scored(levels: Levels):
+def _scored(levels: Levels, order: int):
     def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        block = Block(blocks.iloc[0])
-        block.bigrams()
-        c1, c2, _ = _counts(block, replies[replies["level"] > 0])
-        told = replies[replies["level"] == 0].sort_values("part")
-        used = np.zeros(len(block.words), bool)
-        used[block.context] = True
-        divisor, alpha = np.zeros(len(block.words), np.int64), np.ones(len(block.words))
-        divisors, alphas, needs = [], [], []
-        for d, a, need in zip(told["divisor"], told["alpha"], told["keys"]):
-            divisors.append(unpack(d))
-            alphas.append(unpack(a, np.float64))
-            needs.append(np.unpackbits(np.frombuffer(need, np.uint8), count=len(divisors[-1])).astype(bool))
-        places = np.flatnonzero(used)
-        divisor[places] = np.concatenate(divisors)
-        alpha[places[np.concatenate(needs)]] = np.concatenate(alphas)
-        low = np.log10(levels.unigram(c1))
-        seen = c2 > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            high = np.where(seen, np.log10(levels.mass(c2, levels.second) / divisor[block.context]), np.log10(alpha[block.context]) + low[block.word])
+        block = Block(blocks.iloc[0], order)
+        c1, _ = _counts(block, replies, 1)
+        high = np.log10(levels.unigram(c1))
+        for k in range(2, order + 1):
+            n, _ = _counts(block, replies, k)
+            divisor, alpha = _weights(block, replies, k)
+            context = block.context[k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                high = np.where(n > 0, np.log10(levels.mass(n, k) / divisor[context]), np.log10(alpha[context]) + high[block.lower[k]])
+        tokens = block.at[1]
         base = np.log10((c1 + 0.5) / (levels.tokens + 0.5 * (levels.types + 1)))
         add = lambda x: np.add.reduceat(x, block.starts)
         return pd.DataFrame({
             "id": pd.array([None if x is None or x != x else int(x) for x in block.ids], "Int64"), "held_out": block.held, "n_tokens": block.sizes,
-            "n_known": add((c1[block.tokens] > 0).astype(np.int64)), "base_score": add(base[block.tokens]), "score": add(high[block.at]),
+            "n_known": add((c1[tokens] > 0).astype(np.int64)), "base_score": add(base[tokens]), "score": add(high[block.at[order]]),
         })
 
     return run
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1) -> DataFrame:
-    """Scores of every text under a model of the texts that aren't held out: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = 2) -> DataFrame:
+    """Scores of every text under a model of n-grams up to order of the texts that aren't held out: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A text is held out if crc32 of its id as text leaves held_fold modulo
+    The id is a whole number. A text is held out if crc32 of its id as text leaves held_fold modulo
     folds; a null id counts as empty text. A null or empty text is one end token. With no
     training text every token is unknown and has probability one. Repeated rows
     are counted and scored each. Columns of docs other than id and text aren't
@@ -334,25 +360,28 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "katz")
-    held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_fold).alias("held")
-    blocks = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), held, F.col(text_col).alias("text")).mapInArrow(_packed_arrow, _BLOCKS))
+    key = F.col(quoted(id_col))
+    held = (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == held_fold).alias("held")
+    blocks = scratch.keep(docs.select(key.cast("long").alias("id"), held, F.col(quoted(text_col)).alias("text")).mapInArrow(_packed_arrow, _BLOCKS))
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
-    parts = tuple(int((n or 0) // PART_ENTRIES + 1) for n in (size.words, size.tokens))
-    asked = blocks.select("block", "ids", "held", "sizes", "tokens", "words").mapInArrow(_asked(parts), _ASKED)
-    told = scratch.write(asked.groupBy("level", "part").applyInPandas(_told, _TOLD), "kind")
+    parts = [int((n or 0) // PART_ENTRIES + 1) for n in (size.words, *[size.tokens] * (order - 1))]
+    packed = blocks.select("block", "ids", "held", "sizes", "tokens", "words")
+    asked = packed.mapInArrow(_asked(parts), _ASKED)
+    told = scratch.write(asked.groupBy("level", "part").applyInPandas(_told(parts), _TOLD), "kind", "level", "span")
     del asked
     scratch.release()
     read = docs.sparkSession.read
     model = read.schema(_TOLD).parquet(told).where("kind = 'model'")
-    rows = model.groupBy("level").agg(*[F.sum(F.get("hist", F.lit(i))) for i in range(K + 1)], F.sum("total"), F.sum("types")).collect()
-    levels = Levels({r[0]: (list(r[1 : K + 2]), r[K + 2], r[K + 3]) for r in rows})
-    replies = read.schema(_TOLD).parquet(told).where("kind = 'reply'").select("level", "part", "block", "counts", "own")
-    packed = blocks.select("block", "ids", "held", "sizes", "tokens", "words")
-    sums = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_summed(parts[0]), _SUMS)
-    weights = scratch.write(sums.groupBy("part").applyInPandas(_weighed(levels), _WEIGHTS), "kind")
-    del sums
-    scratch.release()
-    contexts = read.schema(_WEIGHTS).parquet(weights).where("kind = 'reply'").select(F.lit(0).alias("level"), "part", "block", "keys", "divisor", "alpha")
-    every = replies.unionByName(contexts, allowMissingColumns=True)
-    scores = packed.groupBy("block").cogroup(every.groupBy("block")).applyInPandas(_scored(levels), _SCORES)
+    rows = model.groupBy("level").agg(*[F.sum(F.get("hist", F.lit(i))) for i in range(COUNTS)], F.sum("total"), F.sum("types")).collect()
+    levels = Levels({r[0]: (list(r[1 : COUNTS + 1]), r[COUNTS + 1], r[COUNTS + 2]) for r in rows}, order)
+    replies = read.schema(_TOLD).parquet(told).where("kind = 'reply'").select("level", "part", "block", "keys", "counts", "own", *(F.lit(None).cast("binary").alias(c) for c in ("divisor", "alpha")))
+    for k in range(2, order + 1):
+        needed = replies.where(F.col("level").between(k - 1, k))
+        sums = packed.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(_summed(parts[max(0, k - 2)], k), _SUMS)
+        weights = scratch.write(sums.groupBy("part").applyInPandas(_weighed(levels, parts[max(0, k - 2)], k), _WEIGHTS), "kind", "level", "span")
+        del sums
+        scratch.release()
+        told_weights = read.schema(_WEIGHTS).parquet(weights).where("kind = 'reply'").select("level", "part", "block", "keys", "divisor", "alpha")
+        replies = replies.unionByName(told_weights, allowMissingColumns=True)
+    scores = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scored(levels, order), _SCORES)
     return scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(levels.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -21,39 +21,65 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) + [katz.END]
 
 
+def plain_discounts(counter, k=5):
+    """Katz's discounts from counts of counts on a fitted line, by sums."""
+    n = Counter(c for c in counter.values() if c <= 64)
+    rs = sorted(n)
+    if len(rs) < 2:
+        b = -2.0
+    else:
+        points = []
+        for j, r in enumerate(rs):
+            before = rs[j - 1] if j else 0
+            after = rs[j + 1] if j + 1 < len(rs) else 2 * r - before
+            points.append((math.log(r), math.log(2 * n[r] / (after - before))))
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        b = min(-1.1, sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points))
+    fit = lambda r: r**b
+    rest = (k + 1) * fit(k + 1) / fit(1)
+    return {r: ((r + 1) * fit(r + 1) / fit(r) / r - rest) / (1 - rest) for r in range(1, k + 1)}
+
+
 class Plain:
-    def __init__(self, docs):
-        self.c1, self.c2 = Counter(), Counter()
+    """Counts by tuples of words, of every order; start marks fill up the first contexts."""
+
+    def __init__(self, docs, order=2):
+        self.order, self.c = order, {k: Counter() for k in range(1, order + 1)}
         for i, t in docs:
             if not held(i):
-                ts = tokens(t)
-                self.c1.update(ts)
-                self.c2.update(zip([katz.START, *ts], ts))
-        self.n, self.v = sum(self.c1.values()), len(self.c1)
-        self.d1, self.d2 = (katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for c in (self.c1, self.c2))
-        kept = sum(self.cut(c, self.d1) for c in self.c1.values())
+                padded = [katz.START] * (order - 1) + tokens(t)
+                for at in range(order - 1, len(padded)):
+                    for k in self.c:
+                        self.c[k][tuple(padded[at - k + 1 : at + 1])] += 1
+        self.n, self.v = sum(self.c[1].values()), len(self.c[1])
+        self.d = {k: plain_discounts(c) for k, c in self.c.items()}
+        kept = sum(self.cut(c, 1) for c in self.c[1].values())
         self.unknown = max(1 - kept / self.n, 0.5 / (self.n + 1)) if self.n else 1.0
-        self.p1 = {w: self.cut(c, self.d1) / kept * (1 - self.unknown) for w, c in self.c1.items()}
-        after = defaultdict(dict)
-        for (h, w), c in self.c2.items():
-            after[h][w] = c
-        self.after, self.alpha, self.div = after, {}, {}
-        for h, ws in after.items():
-            total, used = sum(ws.values()), sum(self.cut(c, self.d2) for c in ws.values())
-            self.div[h] = total + (used >= total)
-            self.alpha[h] = (1 - used / self.div[h]) / (1 - sum(self.p1[w] for w in ws))
-
-    def cut(self, c, d):
-        return c * (d[c - 1] if c <= katz.K else 1.0)
+        self.p1 = {w: self.cut(c, 1) / kept * (1 - self.unknown) for (w,), c in self.c[1].items()}
+        self.after = defaultdict(dict)
+        for k in range(2, order + 1):
+            for g, c in self.c[k].items():
+                self.after[g[:-1]][g[-1]] = c
+
+    def cut(self, c, k):
+        return c * self.d[k].get(c, 1.0)
 
     def p(self, w, h):
-        if w in self.after.get(h, {}):
-            return self.cut(self.after[h][w], self.d2) / self.div[h]
-        return self.alpha.get(h, 1.0) * self.p1.get(w, self.unknown)
+        if not h:
+            return self.p1.get(w, self.unknown)
+        seen, k = self.after.get(h, {}), len(h) + 1
+        if not seen:
+            return self.p(w, h[1:])
+        total, used = sum(seen.values()), sum(self.cut(c, k) for c in seen.values())
+        total += used >= total
+        if w in seen:
+            return self.cut(seen[w], k) / total
+        return (1 - used / total) / (1 - sum(self.p(x, h[1:]) for x in seen)) * self.p(w, h[1:])
 
     def score(self, text):
-        ts = tokens(text)
-        return sum(math.log10(self.p(w, h)) for h, w in zip([katz.START, *ts], ts)), sum(math.log10((self.c1[w] + 0.5) / (self.n + 0.5 * (self.v + 1))) for w in ts)
+        padded = [katz.START] * (self.order - 1) + tokens(text)
+        high = sum(math.log10(self.p(padded[at], tuple(padded[at - self.order + 1 : at]))) for at in range(self.order - 1, len(padded)))
+        return high, sum(math.log10((self.c[1][(w,)] + 0.5) / (self.n + 0.5 * (self.v + 1))) for w in tokens(text))
 
 
 def corpus(seed, n=150):
@@ -63,29 +89,41 @@ def corpus(seed, n=150):
     return docs + [(9001, None), (9002, ""), (9003, "never\x0bSEEN Never\x1cseen"), (None, "w1 w2"), (7, docs[7][1]), (9004, "hot cold " * 300), (9005, "hot odd hot w1")]
 
 
-@pytest.mark.parametrize("block,part", [(1 << 20, 1 << 20), (300, 40)])
-def test_against_plain_model(spark, monkeypatch, block, part):
+@pytest.mark.parametrize("order,part", [(2, 1 << 20), (2, 40), (3, 40), (1, 1 << 20), (4, 1 << 20)])
+def test_against_plain_model(spark, monkeypatch, order, part):
     docs = corpus(5)
     monkeypatch.setattr(katz, "PART_ENTRIES", part)
-    if block < 1000:  # many small blocks: one for each row
-        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(23)
-    else:
-        frame = spark.createDataFrame(docs, "doc_id long, text string")
-    model = Plain(docs)
-    got = katz.katz_scores(frame).collect()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    if part < 1000:  # many small blocks
+        frame = frame.repartition(23)
+    model = Plain(docs, order)
+    got = katz.katz_scores(frame, order=order).collect()
     assert len(got) == len(docs)
-    want = sorted(((str(i), held(i), len(tokens(t)), sum(model.c1[w] > 0 for w in tokens(t)), *model.score(t)) for i, t in docs), key=lambda x: (x[0], x[2], x[4]))
+    want = sorted(((str(i), held(i), len(tokens(t)), sum(model.c[1][(w,)] > 0 for w in tokens(t)), *model.score(t)) for i, t in docs), key=lambda x: (x[0], x[2], x[4]))
     for r, w in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens, r.score)), want):
         assert (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (*w[:4], model.n)
-        assert r.score == pytest.approx(w[4], abs=1e-8) and r.base_score == pytest.approx(w[5], abs=1e-8)
+        assert r.score == pytest.approx(w[4], abs=1e-7) and r.base_score == pytest.approx(w[5], abs=1e-8)
 
 
-def test_distribution_sums_to_one():
-    model = Plain(corpus(6))
-    words = list(model.c1)
-    assert sum(model.p1.values()) + model.unknown == pytest.approx(1, abs=1e-12)
-    for h in [katz.START, *words[:30], "hot", "never"]:
-        assert sum(model.p(w, h) for w in words) + model.p("?", h) == pytest.approx(1, abs=1e-12)
+def test_operator_sums_to_one(spark):
+    docs = corpus(6)
+    model = Plain(docs)
+    free = (i for i in range(20_000, 10**6) if held(i))
+    words = [w for (w,) in model.c[1] if w != katz.END]
+    asked = [(next(free), h, w) for h in ("w1", "hot", "w59", "neverseen") for w in [*words, "otherword"]]
+    frame = spark.createDataFrame(docs + [(i, f"{h} {w}") for i, h, w in asked], "doc_id long, text string")
+    told = {r.doc_id: r.score for r in katz.katz_scores(frame).collect()}
+    total = Counter()
+    for i, h, w in asked:  # the text is P(h | start) P(w | h) P(end | w)
+        total[h] += 10 ** told[i] / model.p(h, (katz.START,)) / model.p(katz.END, (w,))
+    for h, x in total.items():
+        assert x + model.p(katz.END, (h,)) == pytest.approx(1, abs=1e-6)
+
+
+def test_discounts_are_good_turing_at_any_size():
+    for n in ([1000, 300, 150, 90, 60, 40, 30], [5, 9, 2, 0, 7, 1], [3], [0] * 64, [10, 10, 10, 10], [7, 0, 0, 0, 9]):
+        d = katz.discounts(n)
+        assert all(0 < x < 1 for x in d) and d == sorted(d)
 
 
 def test_empty_and_untrained(spark):
