@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .scratch import only, small_batches, trim
+from .scratch import Sealed, small_batches, trim
 
 LEAF = 256
 CACHE = 3 << 17
@@ -173,18 +173,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:  # the driver's copy; a vocabulary file has a fixed size
         held = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = only(docs, *OWN, "ids")
-    rows = docs.select(*kept, docs[text_col].alias("bpe_text__")) if text_col in kept else docs
-    if not keep_ids:
-        rows = rows.drop(text_col)
-        kept = [c for c in kept if c != text_col]
-    fields = [rows.schema[c] for c in kept]
+    sealed = Sealed(docs, *OWN, "ids")
+    text = sealed[text_col]
+    kept = [c for c in sealed.kept if keep_ids or c != text]
+    rows = sealed.rows.select(*kept, F.col(text).alias("text"))
 
     def encoded(bpe: RankBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
         number = bpe.text_of.__getitem__
-        at = batch.schema.get_field_index("bpe_text__")
         counts, ids_sha, text_sha, all_ids = [], [], [], []
-        for text in batch.column(at):
+        for text in batch.columns[-1]:
             packed = bpe.encode(text.as_py() or "")
             ids = packed.tolist()
             counts.append(len(ids))
@@ -192,9 +189,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
             text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             if keep_ids:
                 all_ids.append(pa.array(packed.astype(np.int32)))
-        out = [c for i, c in enumerate(batch.columns) if i != at]
+        out = batch.columns[:-1]
         out += [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-        names = [*(n for i, n in enumerate(batch.schema.names) if i != at), *OWN]
+        names = [*kept, *OWN]
         if keep_ids:
             ends = pa.compute.cumulative_sum(pa.array([0, *counts], pa.int32()))
             out.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())))
@@ -212,5 +209,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
             gc.freeze()
             gc.enable()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * keep_ids)
-    return rows.mapInArrow(run, schema)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if keep_ids:
+        added.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    told = rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added]))
+    sealed.kept = kept
+    return told.select(*sealed.restored(), *(f.name for f in added))

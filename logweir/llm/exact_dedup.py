@@ -10,91 +10,14 @@ size of what the driver gathers and broadcasts, at any input size.
 
 from __future__ import annotations
 
-import math
-import zlib
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from . import bloom
+from .scratch import Scratch, Sealed
 
-from .scratch import Scratch, only
-
-BLOCK_BITS = 16
-CELLS_PER_ROW = 16
-PROBES = 4
 OWN = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(32)) % np.uint64(blocks)
-
-
-def _cells(sub: np.ndarray) -> np.ndarray:
-    """PROBES cells of a block for each 32-bit rest of a hash, by double hashing."""
-    a, b = sub & np.uint32(0xFFFF), (sub >> np.uint32(16)) | np.uint32(1)
-    steps = np.arange(PROBES, dtype=np.uint32)
-    return (a[:, None] + steps * b[:, None]) & np.uint32(0xFFFF)
-
-
-def _counted(blocks: int):
-    """Per task: the distinct hashes of each block, with those the task itself saw twice."""
-
-    def flush(parts: list[np.ndarray]) -> pd.DataFrame:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        block, sub = _block_of(h, blocks).astype(np.int32), h.view(np.uint64).astype(np.uint32)
-        order = np.argsort(block, kind="stable")
-        block, sub, n = block[order], sub[order], n[order]
-        ids, starts = np.unique(block, return_index=True)
-        ends = np.append(starts[1:], len(block))
-        cut = [(sub[s:e], n[s:e]) for s, e in zip(starts, ends)]
-        return pd.DataFrame({"block": ids, "once": [s[c == 1].tobytes() for s, c in cut], "twice": [s[c > 1].tobytes() for s, c in cut]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held = [], 0
-        for batch in batches:
-            parts.append(batch["h"].to_numpy(np.int64))
-            held += len(batch)
-            if held >= 1 << 20:
-                yield flush(parts)
-                parts, held = [], 0
-        if held:
-            yield flush(parts)
-
-    return run
-
-
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: a bit per cell that was counted twice or more."""
-    count = np.zeros(1 << BLOCK_BITS, np.uint32)
-    for once, twice in zip(rows["once"], rows["twice"]):
-        count += np.bincount(_cells(np.frombuffer(once, np.uint32)).ravel(), minlength=len(count)).astype(np.uint32)
-        count[_cells(np.frombuffer(twice, np.uint32)).ravel()] += 2
-    bits = np.packbits(count >= 2, bitorder="little")
-    return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "bits": [zlib.compress(bits.tobytes(), 1)]})
-
-
-def suspects(keys: DataFrame, rows: int, max_filter_mb: int):
-    """A pandas UDF over column h of keys: whether the hash may occur twice in keys."""
-    spark = keys.sparkSession
-    blocks = max(1, min(math.ceil(rows * CELLS_PER_ROW / (1 << BLOCK_BITS)), (max_filter_mb << 23) >> BLOCK_BITS))
-    counted = keys.select("h").mapInPandas(_counted(blocks), "block int, once binary, twice binary")
-    found = counted.groupBy("block").applyInPandas(_merged, "block int, bits binary").collect()
-    table = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in found:
-        table[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    held = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.BooleanType())
-    def may_repeat(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(np.int64)
-        block, cells = _block_of(x, blocks).astype(np.int64), _cells(x.view(np.uint64).astype(np.uint32))
-        byte = held.value[block[:, None], cells >> np.uint32(3)]
-        return pd.Series(((byte >> (cells & np.uint32(7)).astype(np.uint8)) & 1).all(axis=1))
-
-    return may_repeat
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_mb: int = 64) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256; dropped rows are returned too, with kept false.
 
@@ -104,17 +27,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in group_size and all carry the same kept. An empty table gives an
     empty one. Input columns named like the added ones are replaced.
     """
-    scratch = Scratch(docs.sparkSession, "exact")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.select(*only(docs, *OWN), sha.alias("text_sha256")).withColumn("hash__", F.xxhash64("text_sha256"))
-    may_repeat = suspects(rows.select(F.col("hash__").alias("h")), docs.count(), max_filter_mb)
-    told = rows.withColumn("suspect__", may_repeat("hash__"))
-    passed = told.where(~F.col("suspect__")).select(
-        *only(docs, *OWN), F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
-    held = scratch.keep(told.where("suspect__").drop("hash__", "suspect__"))
-    groups = scratch.keep(held.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")))
-    judged = held.join(groups, "text_sha256").select(
-        *only(docs, *OWN), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
-    return passed.unionByName(judged)
+    scratch, sealed = Scratch(docs.sparkSession, "exact"), Sealed(docs, *OWN)
+    key = F.col(sealed[id_col])
+    rows = sealed.rows.withColumn("sha", F.sha2(F.coalesce(F.col(sealed[text_col]), F.lit("")), 256)).withColumn("h", F.xxhash64("sha"))
+    may_repeat = bloom.seen(rows.select("h"), docs.count(), max_filter_mb, 2)
+    told = rows.withColumn("suspect", may_repeat("h")).drop("h")
+    added = [F.col("keep_id"), F.col("group_size"), F.col("kept"), F.col("sha").alias("text_sha256")]
+    passed = told.where(~F.col("suspect")).withColumns({"keep_id": key, "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    # ids and digests of the suspects decide; their other columns meet the answer once
+    groups = scratch.keep(told.where("suspect").select("sha", key.alias("id")).groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
+    judged = told.where("suspect").join(groups, "sha").withColumn("kept", key.eqNullSafe(F.col("keep_id")))
+    return passed.select(*sealed.restored(), *added).unionByName(judged.select(*sealed.restored(), *added))

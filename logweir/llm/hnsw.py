@@ -5,8 +5,8 @@ vector queries every shard of its label with a beam on the lowest layer. The bea
 starts at the width that the shard's recall audit settled on: probes at just the threshold's cosine
 from vectors of the shard must find what brute force finds, or the width doubles. A
 query whose whole beam lies above the threshold is repeated with a wider one, so
-no vector has a cap on its links. What is found is verified in double precision. A unit of
-work, a block of queries against a shard, returns a count for each query and a
+no vector has a cap on its links. What is found is verified in double precision. A graph is sent
+once to a slice of its label's queries, which stream past it; a block of them returns a count for each query and a
 spanning forest, not pairs. Equal vectors are one node with a weight.
 
 Searches and insertions run in lockstep for a batch of vectors: each step is a few numpy calls.
@@ -15,25 +15,28 @@ Searches and insertions run in lockstep for a batch of vectors: each step is a f
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components, roots
-from .scratch import Scratch, only
+from .scratch import Scratch, Sealed
 
 THRESHOLD = 0.98
 DEGREE = 12
 BUILD_BEAM = 48
-FIRST_BEAM = 32
+FIRST_BEAM = 16
 PROBES = 256
 MARGIN = 1e-4
-SHARDS = 4
+SHARDS = 2
 SHARD_ROWS = 50_000
 BLOCK_ROWS = 4096
+SLICE_ROWS = 1 << 17
+MOST_PARTS = 4096
 OWN = ("n_links", "component_id", "kept")
-_GRAPH = "label int, dim int, shard int, nodes binary, weights binary, vectors binary, sizes array<int>, adjacency array<binary>, beam int"
+_GRAPH = "label {}, dim int, shard int, nodes binary, weights binary, vectors binary, sizes array<int>, adjacency array<binary>, beam int"
 _FOUND = "u long, v long, n long"
 
 
@@ -224,36 +227,56 @@ def _built(threshold: float):
         nodes, raw = nodes[order], raw[order]
         graph = Graph.build(unit(raw).astype(np.float32), top[order])
         beam = graph.audited(nodes, threshold - MARGIN)
-        row = [*map(int, key), nodes.tobytes(), rows["weight"].to_numpy(np.int64)[order].tobytes(), raw.tobytes(), graph.sizes, [a.tobytes() for a in graph.adjacency], beam]
+        row = [*key, nodes.tobytes(), rows["weight"].to_numpy(np.int64)[order].tobytes(), raw.tobytes(), graph.sizes, [a.tobytes() for a in graph.adjacency], beam]
         return pd.DataFrame([row], columns=["label", "dim", "shard", "nodes", "weights", "vectors", "sizes", "adjacency", "beam"])
 
     return run
 
 
-def _searched(threshold: float):
-    def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(graphs) or not len(queries):
-            return pd.DataFrame({"u": [], "v": [], "n": []}).astype("Int64")
-        g = graphs.iloc[0]
-        nodes, weights = np.frombuffer(g["nodes"], np.int64), np.frombuffer(g["weights"], np.int64)
-        exact = unit(np.frombuffer(g["vectors"], np.float64).reshape(len(nodes), -1))
-        sizes = list(g["sizes"])
-        graph = Graph(exact.astype(np.float32), sizes, [np.frombuffer(a, np.int32).reshape(n, -1) for a, n in zip(g["adjacency"], sizes)])
-        mine = queries["node"].to_numpy(np.int64)
-        q = unit(np.stack(queries["vector"].to_numpy()).astype(np.float64))
-        links, label = np.zeros(len(mine), np.int64), np.arange(len(mine) + len(nodes))
-        for some in np.array_split(np.arange(len(mine)), math.ceil(len(mine) / 512)):
-            row, node = graph.within(q[some].astype(np.float32), threshold - MARGIN, int(g["beam"]))
+class Shard:
+    """A stored graph, ready for blocks of queries."""
+
+    def __init__(self, row):
+        self.nodes, self.weights = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["weights"], np.int64)
+        self.exact = unit(np.frombuffer(row["vectors"], np.float64).reshape(len(self.nodes), -1))
+        sizes = list(row["sizes"])
+        self.graph = Graph(self.exact.astype(np.float32), sizes, [np.frombuffer(a, np.int32).reshape(n, -1) for a, n in zip(row["adjacency"], sizes)])
+        self.beam = int(row["beam"])
+
+    def links(self, mine: np.ndarray, vectors: np.ndarray, threshold: float) -> pd.DataFrame:
+        """Of a block of queries: a count for each that has links, and a spanning forest of them."""
+        q = unit(vectors)
+        nodes, n = self.nodes, len(mine)
+        links, label = np.zeros(n, np.int64), np.arange(n + len(nodes))
+        for some in np.array_split(np.arange(n), math.ceil(n / 512)):
+            row, node = self.graph.within(q[some].astype(np.float32), threshold - MARGIN, self.beam)
             row = some[row]
-            ok = (mine[row] != nodes[node]) & (np.einsum("ij,ij->i", q[row], exact[node]) >= threshold)
+            ok = (mine[row] != nodes[node]) & (np.einsum("ij,ij->i", q[row], self.exact[node]) >= threshold)
             row, node = row[ok], node[ok]
-            np.add.at(links, row, weights[node])
-            label = roots(label[row], label[len(mine) + node], len(label))[label]
+            np.add.at(links, row, self.weights[node])
+            label = roots(label[row], label[n + node], len(label))[label]
         keys = np.concatenate([mine, nodes])
         own = np.flatnonzero(label != np.arange(len(label)))
         told = np.flatnonzero(links)
         return pd.DataFrame({"u": np.r_[mine[told], keys[own]], "v": pd.array([None] * len(told) + list(keys[label[own]]), "Int64"), "n": np.r_[links[told], np.zeros(len(own), np.int64)]})
 
+
+def _searched(threshold: float):
+    """Sorted rows of a partition: each graph once, then the queries for it, in blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = place = None
+        for frame in batches:
+            begins = np.append(np.flatnonzero(frame["nodes"].notna().to_numpy()), len(frame))
+            for start, stop in zip(np.append(0, begins[:-1]) if begins[0] else begins[:-1], begins if begins[0] else begins[1:]):
+                part = frame.iloc[start:stop]
+                if part["nodes"].notna().iloc[0]:
+                    shard, place, part = Shard(part.iloc[0]), part["place"].iloc[0], part.iloc[1:]
+                part = part[part["place"] == place]  # queries for a shard without vectors have no graph
+                for at in range(0, len(part), BLOCK_ROWS):
+                    some = part.iloc[at : at + BLOCK_ROWS]
+                    yield shard.links(some["node"].to_numpy(np.int64), np.stack(some["vector"].to_numpy()).astype(np.float64), threshold)
+
     return run
 
 
@@ -273,27 +296,31 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reachable, null if there is none; kept tells whether it is the row's own. Columns named
     like the added ones are replaced.
     """
-    scratch = Scratch(rows.sparkSession, "hnsw")
-    kept = only(rows, *OWN)
-    vector = F.col(vector_col).cast("array<double>")
-    good = usable(vector) & F.col(label_col).isNotNull()
-    told = rows.select(*kept, F.when(good, F.xxhash64(label_col, vector)).alias("node__"))
+    scratch, sealed = Scratch(rows.sparkSession, "hnsw"), Sealed(rows, *OWN)
+    key, vector, label = F.col(sealed[id_col]), F.col(sealed[vector_col]).cast("array<double>"), F.col(sealed[label_col])
+    good = usable(vector) & label.isNotNull()
+    told = sealed.rows.withColumn("key", F.when(good, F.xxhash64(label, vector)))
     nodes = scratch.keep(
-        rows.where(good).groupBy(F.col(label_col).cast("int").alias("label"), F.xxhash64(label_col, vector).alias("node")).agg(F.any_value(vector).alias("vector"), F.count("*").alias("weight"), F.min(id_col).alias("least")).withColumn("dim", F.size("vector"))
+        sealed.rows.where(good).groupBy(label.alias("label"), F.xxhash64(label, vector).alias("node")).agg(F.any_value(vector).alias("vector"), F.count("*").alias("weight"), F.min(key).alias("least")).withColumn("dim", F.size("vector"))
     )
-    sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.greatest(F.lit(shards), F.ceil(F.col("n") / shard_rows)).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
-    placed = scratch.keep(nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
-    graphs = scratch.keep(placed.select("label", "dim", "shard", "node", "vector", "weight").groupBy("label", "dim", "shard").applyInPandas(_built(threshold), _GRAPH))
+    sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.greatest(F.lit(shards), F.ceil(F.col("n") / shard_rows)).cast("int").alias("shards"), F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices")))
+    placed = scratch.keep(nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")))
+    graphs = placed.select("label", "dim", "shard", "node", "vector", "weight").groupBy("label", "dim", "shard").applyInPandas(_built(threshold), _GRAPH.format(nodes.schema["label"].dataType.simpleString()))
+    graphs = scratch.keep(graphs)
     each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    queries = placed.select("label", "dim", each.alias("shard"), "block", "node", "vector")
-    wanted = graphs.join(sizes, ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("shards", "blocks")
-    keys = ["label", "dim", "shard", "block"]
-    found = scratch.keep(wanted.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_searched(threshold), _FOUND))
+    place = ["label", "dim", "shard", "slice"]
+    queries = placed.select("label", "dim", each.alias("shard"), "slice", "node", "vector")
+    # a graph goes to each slice of a label's queries, a slice is large and streams past it
+    sent = graphs.join(sizes, ["label", "dim"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("shards", "slices")
+    stream = sent.unionByName(queries, allowMissingColumns=True)
+    parts = max(sizes.agg(F.sum(F.col("shards") * F.col("slices"))).first()[0] or 1, rows.sparkSession.sparkContext.defaultParallelism)
+    stream = stream.repartition(int(min(parts, MOST_PARTS)), *place).sortWithinPartitions(*place, F.col("nodes").isNull())
+    found = scratch.keep(stream.select(F.xxhash64(*place).alias("place"), "nodes", "weights", "vectors", "sizes", "adjacency", "beam", "node", "vector").mapInPandas(_searched(threshold), _FOUND))
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     centre = components(found.where("v is not null").select("u", "v"), scratch)
     joined = nodes.select("node", "weight", "least").join(links, "node", "left").join(centre.withColumnsRenamed({"u": "node", "v": "centre"}), "node", "left")
     joined = scratch.keep(joined.select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least", F.coalesce("centre", "node").alias("centre")))
     lowest = scratch.keep(joined.groupBy("centre").agg(F.min("least").alias("lowest")))
-    answer = scratch.keep(joined.join(lowest, "centre").select(F.col("node").alias("of__"), "n_links", F.col("lowest").alias("lowest__")))
-    out = told.join(answer, told.node__ == answer.of__, "left").withColumn("component_id", F.when(F.col("of__").isNull(), F.col(id_col)).otherwise(F.col("lowest__")))
-    return out.select(*kept, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    answer = scratch.keep(joined.join(lowest, "centre").select(F.col("node").alias("of"), "n_links", "lowest"))
+    out = told.join(answer, F.col("key") == F.col("of"), "left").withColumn("component_id", F.when(F.col("of").isNull(), key).otherwise(F.col("lowest")))
+    return out.select(*sealed.restored(), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", key.eqNullSafe(F.col("component_id")).alias("kept"))

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .scratch import Scratch, only, small_batches
+from .scratch import Scratch, Sealed, quoted, small_batches
 from .url_filter import domain_of, host_of, suffix_of
 
 BUCKETS = 1 << 15
@@ -56,7 +56,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows:
     large the table. A bound on the hash, from the language's number of rows, leaves little
     more than the sample to be sorted, so no task gets more of the texts than that.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sealed = Sealed(docs)
+    lang, text = F.col(sealed[lang_col]), F.col(sealed[text_col])
+    labelled = sealed.rows.where(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), text.alias("text"), F.xxhash64(sealed[id_col], text).alias("h"))
     sizes = labelled.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()  # one row a language
     bounds = [(r.lang, min(2**63 - 1, int(-(2**63) + min(1.0, 1.2 * rows / r["count"]) * (2**64 - 1)))) for r in sizes]
     bounds = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
@@ -143,9 +145,14 @@ def identify(
     held = rows.sparkSession.sparkContext.broadcast(table)  # BUCKETS numbers a language
     host = host if host is not None else host_of(url) if url is not None else F.lit("")
     declared = F.lower(F.trim(declared)) if declared is not None else F.lit("")
-    facts = rows.select(*id_cols, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix_of(host_of(url)) if url is not None else F.lit(""), F.lit("")).alias("suffix"), F.coalesce(declared, F.lit("")).alias("declared"), F.col(text_col).alias("text__"))
+    ids = [f"id{i}" for i in range(len(id_cols))]
+    facts = rows.select(
+        *(F.col(quoted(c)).alias(i) for c, i in zip(id_cols, ids)), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix_of(host_of(url)) if url is not None else F.lit(""), F.lit("")).alias("suffix"),
+        F.coalesce(declared, F.lit("")).alias("declared"), F.col(quoted(text_col)).alias("text__"),
+    )
     ll, share = [f"ll{k}__" for k in range(len(names))], [f"p{k}__" for k in range(len(names))]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema if f.name != "text__"), "grams__ double", *(f"{c} double" for c in [*ll, *share])])
+    given = T.StructType([f for f in facts.schema if f.name != "text__"])
+    schema = T.StructType([*given, *(T.StructField(c, T.DoubleType()) for c in ["grams__", *ll, *share])])
     scored = scratch.keep(facts.mapInArrow(_likelihoods(held, markup), schema))
     first = scored.withColumn("domain__", domain_of(F.col("host")))
 
@@ -160,8 +167,9 @@ def identify(
     placed = scratch.keep(hosts.join(domains, "domain__").drop("domain__"))
     joined = first.drop("domain__").join(placed, "host").join(by_declared, "declared").join(by_suffix, "suffix")
     totals = np.array([float(whole[k] or 0) for k in range(len(names))])
-    schema = ", ".join([*(f"`{c}` {facts.schema[c].dataType.simpleString()}" for c in id_cols), "host string, suffix string, declared string, language string, posterior double, accepted boolean"])
-    return joined.mapInPandas(_fused(names, id_cols, totals, n_all, (n_declared, n_suffix), accept), schema)
+    schema = T.StructType([*given, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    told = joined.mapInPandas(_fused(names, ids, totals, n_all, (n_declared, n_suffix), accept), schema)
+    return told.select(*(F.col(i).alias(c) for c, i in zip(id_cols, ids)), "host", "suffix", "declared", "language", "posterior", "accepted")
 
 
 def declared_in(html: Column) -> Column:
@@ -170,10 +178,15 @@ def declared_in(html: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The documents in a known language: lang_col is what they declare, source_col their host. All columns stay as they are."""
-    scratch = Scratch(docs.sparkSession, "known")
+    """The documents in a known language: lang_col is what they declare, source_col their host. All columns stay as they are.
+
+    A language is known if LEAST_ROWS rows of the table declare it. Rows of one text, lang and source are judged alike.
+    """
+    scratch, sealed = Scratch(docs.sparkSession, "known"), Sealed(docs)
     model = train(docs, lang_col, text_col, id_col=id_col)
-    key = F.xxhash64(F.col(text_col), F.col(lang_col), F.col(source_col))
-    told = identify(docs.select(key.alias("key__"), text_col, lang_col, source_col), model, ["key__"], text_col, host=F.col(source_col), declared=F.col(lang_col))
-    gone = scratch.keep(told.where("not accepted").select("key__").distinct())
-    return docs.withColumn("key__", key).join(gone, "key__", "left_anti").select(*docs.columns)
+    text, lang, source = (F.col(sealed[c]) for c in (text_col, lang_col, source_col))
+    told_apart = [x for c in (text, lang, source) for x in (c, c.isNull())]  # hashes skip nulls
+    keyed = sealed.rows.withColumns({"a": F.xxhash64(*told_apart), "b": F.xxhash64(F.lit(1), *told_apart)})
+    told = identify(keyed.select("a", "b", text.alias("text"), lang.alias("lang"), source.alias("source")), model, ["a", "b"], "text", host=F.col("source"), declared=F.col("lang"))
+    gone = scratch.keep(told.where("not accepted").select("a", "b").distinct())
+    return keyed.join(gone, ["a", "b"], "left_anti").select(*sealed.restored())

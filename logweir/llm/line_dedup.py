@@ -19,11 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, only, small_batches
+from . import bloom
+from .scratch import Scratch, Sealed, small_batches
 
 MIN_WORDS = 50
 OWN = ("n_lines", "n_removed", "removed")
-_FOUND = "fp long, id long, version long, line int, windows array<struct<win:binary,start:int,stop:int>>"
+FILTER_MB = 32
+_FOUND = "fp long, id {}, version long, line int, windows array<struct<win:binary,start:int,stop:int>>"
 _WINDOWS = pa.list_(pa.struct([("win", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -78,7 +80,7 @@ def _positions(least: int):
                 for (line, fp), wins in fingerprints(text, least).items():
                     for to, x in zip(out, (fp, i, version, line, [{"win": w, "start": a, "stop": b} for w, a, b in wins])):
                         to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), _WINDOWS)
+            kinds = (pa.int64(), batch.schema.types[0], pa.int64(), pa.int32(), _WINDOWS)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["fp", "id", "version", "line", "windows"])
 
     return run
@@ -86,8 +88,8 @@ def _positions(least: int):
 
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, version, spans): for each document with later repeats, their windows' first and last lines, counted from 0."""
-    keyed = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    places = scratch.keep(keyed.mapInArrow(_positions(min_words), _FOUND))
+    keyed = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    places = scratch.keep(keyed.mapInArrow(_positions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())))
     shared = scratch.keep(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     extended = scratch.keep(places.join(shared, "fp", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*"))
     scratch.drop(places, shared)
@@ -112,22 +114,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document told twice and are cut alike; of different texts under one id
     the one with the smaller hash counts as earlier. A row without id is
     returned as it is and cuts nothing; a null text stays null with no lines.
-    Columns named like the added ones are replaced.
+    Columns named like the added ones are replaced. Ids may be of any type that has an order.
     """
     small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "lines")
-    found = repeats(docs, scratch, id_col, text_col, min_words)
-    kept = only(docs, *OWN)
-    whole = docs.select(*kept, F.xxhash64(text_col).alias("version__"))
-    # merged at every size: broadcasting a few spans and shuffling texts for many would make the cost jump
-    joined = whole.join(found.withColumnsRenamed({"id": "id__", "version": "v__", "spans": "spans__"}).hint("merge"), (F.col(id_col) == F.col("id__")) & (F.col("version__") == F.col("v__")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("spans__", lambda s: F.sequence(s.start, s.stop)))))
-    cut = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines__") - 1), F.col("gone__")), lambda i: F.get(F.col("lines__"), i)), "\n")
-    told = joined.withColumn("lines__", lines).withColumn("gone__", F.when(F.col("spans__").isNotNull(), gone))
-    return told.select(
-        *[F.when(F.col("gone__").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in kept],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("lines__")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("gone__", F.array().cast("array<int>")).alias("removed"),
-    )
+    scratch, sealed = Scratch(docs.sparkSession, "lines"), Sealed(docs, *OWN)
+    key, text = F.col(sealed[id_col]), F.col(sealed[text_col])
+    found = repeats(sealed.rows, scratch, sealed[id_col], sealed[text_col], min_words)
+    hashed = F.xxhash64("id", "version")
+    # a filter of what is cut lets most rows pass where they are; only the rest meet the spans
+    cut_here = bloom.seen(found.select(hashed.alias("h")), found.count(), FILTER_MB, 1)
+    rows = sealed.rows.withColumn("version", F.xxhash64(text)).withColumn("suspect", cut_here(F.xxhash64(key, "version")))
+    lines = F.split(text, "\n", -1)
+    count = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    none = F.array().cast("array<int>")
+    passed = rows.where(~F.col("suspect")).select(*sealed.restored(), count, F.lit(0).cast("long").alias("n_removed"), none.alias("removed"))
+    joined = rows.where("suspect").join(found.withColumnsRenamed({"version": "v"}), (key == F.col("id")) & (F.col("version") == F.col("v")), "left")
+    joined = joined.withColumn("lines", lines).withColumn("gone", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.stop))))))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get(F.col("lines"), i)), "\n")
+    cut = {sealed[text_col]: F.when(F.col("gone").isNull(), text).otherwise(left)}
+    told = joined.select(*sealed.restored(**cut), count, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("gone", none).alias("removed"))
+    return passed.unionByName(told)

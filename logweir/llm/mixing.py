@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .scratch import Scratch, only
+from .scratch import Scratch, Sealed
 
 WORD = r"[^\x20\x09-\x0D]+"
 OWN = ("size", "source_size", "target", "copies", "taken")
@@ -67,20 +67,19 @@ def mix(
     ``cap`` times its own. A source without words has rate 0. Rows repeated with
     the same id draw alike. Input columns named like the added ones are replaced.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(*only(docs, *OWN), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sums = scratch.keep(rows.groupBy(F.col(source_col).alias("s_key__")).agg(F.sum("size").alias("source_size")))
-    table = scratch.keep(targets(scratch, sums, "s_key__", weights, share, cap))
+    scratch, sealed = Scratch(docs.sparkSession, "mix"), Sealed(docs, *OWN)
+    rows = sealed.rows.withColumn("size", F.coalesce(F.regexp_count(F.col(sealed[text_col]), F.lit(WORD)), F.lit(0)).cast("long"))
+    source = F.col(sealed[source_col])
+    sums = scratch.keep(rows.groupBy(source.alias("key")).agg(F.sum("size").alias("source_size")))
+    table = scratch.keep(targets(scratch, sums, "key", weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    copies = (F.floor("rate__") + (draw(id_col, seed) < F.col("rate__") - F.floor("rate__")).cast("long")).alias("copies")
-    return (
-        rows.join(table, rows[source_col].eqNullSafe(table["s_key__"]))
-        .withColumn("rate__", rate)
-        .select(*only(docs, *OWN), "size", "source_size", "target", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    copies = F.floor("rate") + (draw(sealed[id_col], seed) < F.col("rate") - F.floor("rate")).cast("long")
+    told = rows.join(table, source.eqNullSafe(F.col("key"))).withColumn("rate", rate).withColumn("copies", copies)
+    return told.select(*sealed.restored(), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each row of mix() as many times as copies says, without the added columns."""
-    return mixed.where("copies > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*only(mixed, *OWN, "copy__"))
+    sealed = Sealed(mixed, *OWN)
+    copies = F.col(sealed["copies"])
+    return sealed.rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*sealed.restored())

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .scratch import Scratch, only
+from .scratch import Scratch, Sealed
 
 QUOTED = r"(?m)^[ \t]*>"
 BREAK = r"\r\n|\r|\n"
@@ -71,7 +71,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     A quoted passage comes from the earliest message before it, in its own
     conversation, that said it outside quotes, whole or as a line; else, if it has
     least_words words, from the earliest message of a smaller (conv, turn) anywhere.
-    If it isn't found whole, its lines of least_words words are looked for. The message replies to
+    If it isn't found whole, its lines are looked for alike. A message is found by its whole text outside quotes, its own
+    passages, paragraphs and lines; some neighbouring lines out of a paragraph are found line by line, a sentence out of a line isn't. The message replies to
     the origin of its first linked passage of the lowest level; null without one. A
     thread is a conversation with those that quote it, by the smallest conv id;
     position follows (conv, turn), so every message stands after what it replies to.
@@ -81,10 +82,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     comes first. Columns named like the added ones are replaced.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
-    kept = only(messages, *OWN)
-    mid = F.xxhash64(F.col(conv_col), F.col(turn_col), F.col(text_col))
-    rows = messages.select(*kept, mid.alias("key__"))
-    told = rows.select(F.col("key__").alias("mid"), F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
+    sealed = Sealed(messages, *OWN)
+    conv_in, turn_in, text_in = (sealed[c] for c in (conv_col, turn_col, text_col))
+    mid = F.xxhash64(*(x for c in (conv_in, turn_in, text_in) for x in (F.col(c), F.col(c).isNull())))  # hashes skip nulls
+    rows = sealed.rows.withColumn("key__", mid)
+    told = rows.select(F.col("key__").alias("mid"), F.col(conv_in).alias("conv"), F.col(turn_in).alias("turn"), F.col(text_in).alias("text"))
     quoting = told.where(F.col("text").rlike(QUOTED)).dropDuplicates(["mid"])
     pieces = scratch.keep(passages(quoting.select("mid", "text")))
     bodies = scratch.keep(
@@ -93,14 +95,15 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         ).select("mid", F.regexp_replace(F.array_join(F.transform("own", lambda x: x.text), "\n"), r"^\s+|\s+$", "").alias("body"), "n_quotes", "deepest")
     )
 
-    quotes = pieces.where("level > 0").join(quoting.select("mid", "conv", "turn"), "mid")
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.size(F.split(normalised(x), " ")) >= least_words), lambda x: F.struct(F.lit(1).alias("rank"), x.alias("said")))
+    quotes = pieces.where("level > 0").join(quoting.where("conv is not null and turn is not null").select("mid", "conv", "turn"), "mid")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(1).alias("rank"), x.alias("said")))
     units = quotes.withColumn("u", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.col("text").alias("said"))), lines))).where(normalised(F.col("u.said")) != "")
     units = scratch.keep(units.select("mid", "passage", "level", "conv", "turn", "u.rank", _hash(F.col("u.said")).alias("h"), (F.size(F.split(normalised(F.col("u.said")), " ")) >= least_words).alias("long")))
 
     asked = units.select("h").distinct()
     said = told.where(F.col("conv").isNotNull() & F.col("turn").isNotNull() & ~F.col("text").rlike(QUOTED)).select("conv", "turn", "text")
-    said = said.unionByName(quoting.join(bodies.select("mid", "body"), "mid").select("conv", "turn", F.col("body").alias("text")))
+    own = pieces.where("level = 0").select("mid", "text").unionByName(bodies.select("mid", F.col("body").alias("text")))
+    said = said.unionByName(quoting.where("conv is not null and turn is not null").select("mid", "conv", "turn").join(own, "mid").select("conv", "turn", "text"))
     whole_and_lines = F.array_distinct(F.concat(F.array(F.col("text")), F.split("text", BREAK), F.split("text", r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")))
     source = said.select("conv", "turn", F.explode(whole_and_lines).alias("s")).select("conv", "turn", _hash(F.col("s")).alias("h")).join(asked, "h", "left_semi")
     nearby = scratch.keep(source.groupBy("h", "conv").agg(F.min("turn").alias("from_turn")))
@@ -114,9 +117,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = quoting.select("mid", "conv").join(replies, "mid").where("to.c < conv").groupBy("conv").agg(F.min("to.c").alias("up"))
     roots = scratch.keep(thread_roots(scratch, links).select(F.col("conv").alias("conv__"), F.col("root").alias("root__")))
     marked = scratch.keep(bodies.join(replies, "mid", "left").withColumnsRenamed({"mid": "mid__", "to": "to__"}))
-    joined = rows.join(marked, rows.key__ == marked.mid__, "left").join(roots, F.col(conv_col) == F.col("conv__"), "left")
+    joined = rows.join(marked, rows.key__ == marked.mid__, "left").join(roots, F.col(conv_in) == F.col("conv__"), "left")
     out = joined.select(
-        *kept, "key__", F.coalesce("root__", F.col(conv_col)).alias("thread_id"), F.col("to__.c").alias("reply_conv"), F.col("to__.t").alias("reply_turn"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked", "deepest")], F.when(F.col("mid__").isNull(), F.col(text_col)).otherwise(F.col("body")).alias("body"),
+        *sealed.kept, "key__", F.coalesce("root__", F.col(conv_in)).alias("thread_id"), F.col("to__.c").alias("reply_conv"), F.col("to__.t").alias("reply_turn"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked", "deepest")], F.when(F.col("mid__").isNull(), F.col(text_in)).otherwise(F.col("body")).alias("body"),
     )
-    return numbered(scratch, out, "thread_id", [conv_col, turn_col, "key__"]).drop("key__")
+    told = numbered(scratch, out, "thread_id", [conv_in, turn_in, "key__"])
+    return told.select(*sealed.restored(), *OWN)

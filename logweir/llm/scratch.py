@@ -13,7 +13,7 @@ import time
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -72,12 +72,6 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def only(df: DataFrame, *own: str) -> list[str]:
-    """df's columns except those that the operator itself adds: an input column of such a name is replaced."""
-    taken = {c.lower() for c in own}
-    return [c for c in df.columns if c.lower() not in taken]
-
-
 def quoted(name: str) -> str:
     """A column's name as an expression: names may hold dots and other marks."""
     return "`" + name.replace("`", "``") + "`"
@@ -91,6 +85,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+class Sealed:
+    """A table under numbered column names, so that no name of the input's can clash with an inner one or break an expression.
+
+    ``sealed[name]`` is a column's number name; ``kept`` are the number names of all but the operator's own columns; ``restored`` gives them their names back.
+    """
+
+    def __init__(self, df: DataFrame, *own: str):
+        taken = {c.lower() for c in own}
+        self.names = df.columns
+        self.rows = df.toDF(*(f"in{i}" for i in range(len(self.names))))
+        self.kept = [f"in{i}" for i, c in enumerate(self.names) if c.lower() not in taken]
+
+    def __getitem__(self, name: str) -> str:
+        return f"in{[c.lower() for c in self.names].index(name.lower())}"
+
+    def restored(self, **changed: Column) -> list[Column]:
+        return [changed.get(c, F.col(c)).alias(self.names[int(c[2:])]) for c in self.kept]
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Holds this session's Arrow batches to so many rows: a row here is a whole document, and a batch of them lies in the JVM and in Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

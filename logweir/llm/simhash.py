@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components, roots
-from .scratch import Scratch, fresh, only, quoted, small_batches
+from .scratch import Scratch, Sealed, small_batches
 
 MAX_BITS = 3
 FAN_OUT = 8
@@ -165,13 +165,13 @@ class GrayIndex:
         return self._runs
 
 
-def _fingerprints(width: int, name: str):
+def _fingerprints(width: int):
     """The last column, a text, to its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.array([fingerprint(t.as_py() or "", width) for t in batch.columns[-1]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(codes, pa.int64())], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(codes, pa.int64())], names=[*batch.schema.names[:-1], "code"])
 
     return run
 
@@ -233,16 +233,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
-    kept = [c for c in only(docs, *OWN) if c != text_col]
-    inner = fresh(docs, "code")
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(inner, T.LongType())])
-    coded = scratch.keep(docs.select(*map(quoted, kept), F.col(quoted(text_col)).alias(fresh(docs, "text"))).mapInArrow(_fingerprints(width, inner), schema))
-    codes = scratch.keep(coded.groupBy(F.col(inner).alias("code")).agg(F.min(quoted(id_col)).alias("least")))
+    sealed = Sealed(docs, *OWN)
+    key, text = sealed[id_col], sealed[text_col]
+    sealed.kept = [c for c in sealed.kept if c != text]
+    inner = [*sealed.kept, *({key} - set(sealed.kept))]
+    schema = T.StructType([*(sealed.rows.schema[c] for c in inner), T.StructField("code", T.LongType())])
+    coded = scratch.keep(sealed.rows.select(*inner, text).mapInArrow(_fingerprints(width), schema))
+    codes = scratch.keep(coded.groupBy("code").agg(F.min(key).alias("least")))
     routed = _routed(codes, most, scratch)
     parts = codes.count() * (most + 1) // ROUTES + docs.sparkSession.sparkContext.defaultParallelism
     edges = routed.repartition(parts, "route").mapInPandas(_links(most), "u long, v long")
     centre = components(edges, scratch)
     placed = scratch.keep(codes.join(centre.withColumnsRenamed({"u": "code", "v": "centre"}), "code", "left").select("code", "least", F.coalesce("centre", "code").alias("centre")))
     lowest = scratch.keep(placed.groupBy("centre").agg(F.min("least").alias("component_id")))
-    answer = scratch.keep(placed.join(lowest, "centre").select(F.col("code").alias(inner), "component_id"))
-    return coded.join(answer, inner).select(*map(quoted, kept), F.lower(F.lpad(F.hex(inner), 16, "0")).alias("fingerprint"), "component_id")
+    answer = scratch.keep(placed.join(lowest, "centre").select("code", "component_id"))
+    return coded.join(answer, "code").select(*sealed.restored(), F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")

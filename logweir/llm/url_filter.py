@@ -16,9 +16,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import Scratch, only
+from .scratch import Scratch, Sealed
 
-#: Two-label suffixes under which names are registered; a parameter, not a full list.
+#: Two-label suffixes under which names are registered; a parameter, not a full list: read_suffixes takes one from a file.
 SECOND_LEVEL = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 THRESHOLD, Z = 0.5, 1.645
 LEAST_RHO, MOST_RHO, ASSUMED_RHO = 0.001, 0.9, 0.1
@@ -38,6 +38,13 @@ def path_of(url: Column) -> Column:
     return _after_scheme(url, 2)
 
 
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """The two-label suffixes of a file in the public suffix list's format: one rule a line, // begins a remark, wildcards and exceptions are left out."""
+    with open(path, encoding="utf-8") as f:
+        rules = [line.strip() for line in f]
+    return tuple(sorted({r for r in rules if r.count(".") == 1 and r[0] not in "*!/"}))
+
+
 def suffix_of(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
     """The last label, or the last two where they are a listed suffix; an address of digits has none."""
     two, one = F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
@@ -105,15 +112,18 @@ def url_filter(
     matches no outcome. Hosts without outcomes are judged by their domain, suffix
     or the overall rate. Columns named like the added ones are replaced.
     """
-    scratch = Scratch(pages.sparkSession, "urls")
-    keyed = pages.select(F.col(id_col).alias("id__"), host_of(F.col(url_col)).alias("host"))
-    labelled = outcomes.where("n > 0").groupBy(F.col("id").alias("id__")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    found = keyed.distinct().join(labelled, "id__", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    scratch, sealed = Scratch(pages.sparkSession, "urls"), Sealed(pages, *OWN)
+    url = F.col(sealed[url_col])
+    keyed = sealed.rows.select(F.col(sealed[id_col]).alias("id"), host_of(url).alias("host"))
+    labelled = outcomes.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # the few labels meet their pages first; of the others only the hosts are told apart
+    known = keyed.join(labelled, "id").distinct().groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    found = keyed.select("host").distinct().join(known, "host", "left").select("host", *(F.coalesce(c, F.lit(0)).alias(c) for c in "nk"))
     told = reputations(found, scratch, second_level, z)
-    told = told.select(F.col("host").alias("host__"), F.col("n").alias("labelled"), F.col("k").alias("good"), "bound")
-    rows = pages.select(*only(pages, *OWN), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    told = told.select(F.col("host").alias("key"), F.col("n").alias("labelled"), F.col("k").alias("good"), "bound")
+    rows = sealed.rows.withColumns({"host": host_of(url), "path": path_of(url)})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     by_bound = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
-    return rows.join(told, rows.host == told.host__).select(
-        *only(pages, *OWN), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_bound).alias("verdict"), "labelled", "good", "bound"
+    return rows.join(told, F.col("host") == F.col("key")).select(
+        *sealed.restored(), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_bound).alias("verdict"), "labelled", "good", "bound"
     )
