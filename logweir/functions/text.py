@@ -12,7 +12,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SPACE = r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-KEY_VALUE = r"""([\w.\-/]+)\s*[:=]\s*(?:"([^"]*?)"|'([^']*?)'|(\S+))"""
+KEY_VALUE = r"""(?<![\w.\-/])([\w.\-/]++)\s*+[:=]\s*+(?:"([^"]*?)"|'([^']*?)'|(\S+))"""
 DELIMITERS = r"[|;,\t]+"
 QUOTED_TEXT = r""""[^"]*"|'[^']*'"""
 

@@ -22,11 +22,12 @@ ENDINGS = {
     "json": "json", "jsonl": "json", "ndjson": "json", "xml": "xml", "yaml": "yaml", "yml": "yaml", "bin": "binary", "dat": "binary", "syslog": "syslog",
     "logfmt": "logfmt", "csv": "csv", "tsv": "tsv", "txt": "plain_text", "log": "plain_text", "out": "plain_text",
 }
-KEY_VALUE = re.compile(r'[\w.\-/]+\s*[:=]\s*(?:"[^"]*"|\S+)')
-LOGFMT = re.compile(r'[\w.\-/@]+\s*=\s*(?:"[^"]*"|\'[^\']*\'|\S+)')
+# A key starts where its run of characters does and gives none of them back: time is linear in the line.
+KEY_VALUE = re.compile(r'(?<![\w.\-/])[\w.\-/]++\s*+[:=]\s*+(?:"[^"]*"|\S+)')
+LOGFMT = re.compile(r'(?<![\w.\-/@])[\w.\-/@]++\s*+=\s*+(?:"[^"]*"|\'[^\']*\'|\S+)')
 SYSLOG = re.compile(r"^(?:<\d{1,3}>)?(?:[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})")
 XML = re.compile(r"^\s*<[^>]+>")
-YAML = re.compile(r"^\s*(?:---|-?\s*[\w.-]+\s*:\s*.+)$")
+YAML = re.compile(r"^\s*+(?:---|-?\s*+[\w.-]+\s*:\s*.+)$")
 
 
 def _tiered(ratio: float, high: float = 0.7, low: float = 0.3) -> float:
@@ -36,7 +37,7 @@ def _tiered(ratio: float, high: float = 0.7, low: float = 0.3) -> float:
 def _is_json(text: str, kind=object) -> bool:
     try:
         return isinstance(json.loads(text), kind)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -126,8 +127,8 @@ def detect_format(content: Column, name: Column) -> Column:
 # Shapes of the cascade.
 _TAG = r"^\s*<[A-Za-z_][\w:.-]*[\s>]"
 _YAML_KEY = r"^\s*\w[\w\s]*:\s+\S"
-_LOGFMT_PAIRS = r'(?:\w+=(?:"[^"]*"|\S+)\s*){2,}'
-_PAIR = r"\w+\s*[=:]\s*\S+"
+_LOGFMT_PAIRS = r'\w=(?:\S+\w=\S|(?:"[^"]*"|\S++)\s++\w++=\S|"[^"]*"\w++=\S)'  # two pairs in a row
+_PAIR = r"(?<!\w)\w++\s*+[=:]\s*+\S+"
 
 
 def route_text(content: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 FACTS = r"""
+files as (select greatest(10, count(*) // 50000) as n from events),
 f as (select event_id, ts, event_type, props, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as iso,
   case event_type when 'error' then 'ERROR' when 'signup' then 'WARN' when 'purchase' then 'NOTICE' else 'INFO' end as level,
   'user ' || user_id || ' did ' || event_type as message, user_id as "user", floor(value * 100)::bigint as cents from events)"""
@@ -20,7 +21,7 @@ _LINES = {
     "syslog": """'<' || case level when 'ERROR' then 11 when 'WARN' then 12 when 'NOTICE' then 13 else 14 end || '>1 ' || iso || ' host' || "user" || ' app ' || cents || ' ID' || event_id || ' - ' || message""",
 }
 #: An element's raw text goes on to the next element.
-_TAIL = {"xml": " || case when lead(event_id) over (partition by event_id % 10 order by event_id) is null then '' else chr(10) end"}
+_TAIL = {"xml": " || case when lead(event_id) over (partition by event_id % (select n from files) order by event_id) is null then '' else chr(10) end"}
 _START = {"csv": 1, "tsv": 1}
 
 
@@ -29,7 +30,7 @@ def _parsed(fmt: str) -> str:
     cents = {"plain_text": "null"}.get(fmt, "cents")
     return f"""
 with {FACTS},
-l as (select *, {_LINES[fmt]}{_TAIL.get(fmt, '')} as line, 'f' || (event_id % 10) as source, row_number() over (partition by event_id % 10 order by event_id) + {_START.get(fmt, 0)} as line_number from f)
+l as (select *, {_LINES[fmt]}{_TAIL.get(fmt, '')} as line, 'f' || (event_id % (select n from files)) as source, row_number() over (partition by event_id % (select n from files) order by event_id) + {_START.get(fmt, 0)} as line_number from f)
 select source, line_number::int as line_number, substr(sha1(source || ':' || line_number || ':' || line), 1, 16) as record_id, iso as timestamp, level, message, {user}::varchar as "user", {cents}::varchar as cents, false as corrupted from l
 """
 
@@ -38,7 +39,7 @@ ORACLES: dict[str, str] = {f"parse_{fmt}": _parsed(fmt) for fmt in _LINES}
 
 ORACLES["parse_binary"] = f"""
 with {FACTS},
-b as (select 'f' || (event_id % 10) as source, string_agg(hex(encode(level || ' ' || "user" || ' ' || cents || chr(1))), '' order by event_id) as h from f group by 1),
+b as (select 'f' || (event_id % (select n from files)) as source, string_agg(hex(encode(level || ' ' || "user" || ' ' || cents || chr(1))), '' order by event_id) as h from f group by 1),
 c as (select source, lower(h) as h, unnest(range(0, (len(h) / 2)::bigint, 16)) as p from b)
 select source, (p // 16 + 1)::int as line_number, substr(sha1(source || ':' || (p // 16 + 1) || ':' || substr(h, p * 2 + 1, 32)), 1, 16) as record_id, substr(h, p * 2 + 1, 32) as hex, p::varchar as "at" from c
 """
@@ -125,9 +126,9 @@ select l_orderkey, l_linenumber, l_partkey, l_shipdate, n - 1 as duplicates from
 
 _STAGED = f"""
 {FACTS},
-a as (select 'f' || (event_id % 10) as source, row_number() over (partition by event_id % 10 order by event_id) as line_number, level from f),
+a as (select 'f' || (event_id % (select n from files)) as source, row_number() over (partition by event_id % (select n from files) order by event_id) as line_number, level from f),
 s as (select source, line_number, level, false as corrupted, '' as reason, case when line_number <= 5 then 1 else 0 end as duplicates from a
-  union all select source, line_number, null, true, 'insufficient_kv_pairs (found 1, need 2)', 0 from a where source in ('f1', 'f2'))
+  union all select source, line_number, null, true, 'insufficient_kv_pairs (found 1, need 2)', 0 from a)
 """
 
 ORACLES["stage_totals"] = f"""
@@ -149,7 +150,7 @@ select source, 'key_value' as format, count(*) as total, count(*) filter (where
 
 _LOGFMT = f"""
 {FACTS},
-l as (select *, {_LINES["logfmt"]} as line, 'f' || (event_id % 10) as source, row_number() over (partition by event_id % 10 order by event_id) as line_number from f),
+l as (select *, {_LINES["logfmt"]} as line, 'f' || (event_id % (select n from files)) as source, row_number() over (partition by event_id % (select n from files) order by event_id) as line_number from f),
 r as (select *, substr(sha1(source || ':' || line_number || ':' || line), 1, 16) as record_id from l)
 """
 
@@ -176,7 +177,7 @@ ORACLES["chart_top_customers"] = "select o_custkey as label, count(*) as value f
 
 ORACLES["profile_customer"] = " union all ".join(
     f"select '{c}' as \"column\", count(*) as rows, count({c}) as non_null, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\", min({c})::varchar as min, max({c})::varchar as max, round(100.0 * count({c}) / count(*), 1) as fill_pct, round(100.0 * count(distinct {c}) / count({c}), 1) as distinct_pct from customer"
-    for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 )
 
 ORACLES["search_parts"] = """
@@ -254,7 +255,7 @@ v as (select id, term, x / sqrt(sum(x * x) over (partition by id)) as w from x)
 ORACLES["tfidf_vectors"] = f"with {_TERMS} select id, term, round(w, 6) as w from v"
 ORACLES["nearest_lines"] = f"""
 with {_TERMS},
-c as (select a.id as q, b.id as c, sum(a.w * b.w) as cosine from v a join v b using (term) where a.id % 100 = 0 and b.id % 7 = 1 group by 1, 2),
+c as (select a.id as q, b.id as c, sum(a.w * b.w) as cosine from v a join v b using (term) where a.id % 100 = 0 group by 1, 2),
 r as (select q, cosine, row_number() over (partition by q order by cosine desc, c) as rank from c)
 select q as id, rank::int as rank, round(cosine, 6) as cosine from r where rank <= 3
 """
@@ -273,4 +274,29 @@ select distinct substr(sha256('user <NUM> did ' || event_type), 1, 16) as signat
 """
 
 ORACLES["event_windows"] = "select date_trunc('hour', ts) as start, event_type as key, count(*) as n from events group by 1, 2"
-ORACLES["generated_logs"] = "select unnest(['key_value', 'logfmt', 'json', 'yaml']) as format, 200::bigint as n, 200::bigint as equal"
+
+#: What the votes are worth: the head of a long XML file has no closing tag, and single odd bytes don't make a file binary.
+_DETECTED = {"json": "json", "xml": "key_value", "yaml": "yaml", "binary": "plain_text", "syslog": "plain_text", "logfmt": "logfmt", "csv": "csv", "tsv": "tsv", "key_value": "logfmt", "delimiter": "yaml", "plain_text": "yaml"}
+ORACLES["detect_formats"] = f"""
+with {FACTS}
+select unnest({list(_DETECTED)}) as rendered, unnest({list(_DETECTED.values())}) as detected, (select n from files)::bigint as n
+"""
+
+#: By format: records a row, and whether its time and lot are read back. A delimiter row alone is a header; the syslog rows have no version, so they are faulty lines; XML attributes are no timestamp.
+_READ_BACK = {"json": (1, 0, 1, 1), "xml": (1, 0, 0, 1), "yaml": (1, 0, 1, 1), "binary": (6, 0, 0, 0), "syslog": (1, 1, 1, 0), "logfmt": (1, 0, 1, 1), "csv": (1, 0, 1, 1), "tsv": (1, 0, 1, 1), "key_value": (1, 0, 1, 1), "delimiter": (0, 0, 0, 0), "plain_text": (1, 0, 1, 0)}
+ORACLES["generated_logs"] = f"""
+with k as (select unnest(range({len(_READ_BACK)})) as i, unnest({list(_READ_BACK)}) as format, unnest({[list(x) for x in _READ_BACK.values()]}) as t),
+n as (select i, format, t, (select count(*) from range(5000) r(x) where x % {len(_READ_BACK)} = i) as files from k)
+select format, files, files * t[1] as records, files * t[2] as corrupted, files * t[3] as timed, files * t[4] as lots from n
+"""
+
+#: Labels pass from line to line until the least has reached a whole cluster; the clusters of these lines are few steps wide.
+ORACLES["cluster_lines"] = f"""
+with recursive {_TERMS.strip()},
+e as (select a.id as a, b.id as b from v a join v b using (term) group by 1, 2 having sum(a.w * b.w) >= 0.7 or a.id = b.id),
+r as (select id, id as root, 0 as i from (select distinct id from v) union all select e.a, min(r.root), r.i + 1 from r join e on r.id = e.b where r.i < 12 group by e.a, r.i),
+g as (select root, count(*) as n, min(id) as first from r where i = 12 group by root),
+c as (select *, row_number() over (order by root) - 1 as label from g where n > 1)
+select label::int as label, n, first from c
+union all select -1, lone.n, lone.first from (select (select count(*) from part) - coalesce(sum(n), 0) as n, (select min(p_partkey) from part where p_partkey not in (select id from r join c using (root) where i = 12)) as first from c) lone where lone.n > 0
+"""

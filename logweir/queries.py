@@ -12,10 +12,11 @@ from .plans import semantic
 from .schema import FORMATS, REGISTRY
 from .sources import generator, raw_records, readers, sinks
 from .streaming.ingest import windowed_counts
+from .tables import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-FILES = 10
+FILES, FILE_EVENTS = 10, 50_000
 
 
 def query(f: Query) -> Query:
@@ -27,11 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where a small file makes fewer: what follows costs more than moving them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as what a log line says: iso, level, message, user, cents."""
     e = table(spark, sf_dir, "events")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").when(F.col("event_type") == "purchase", "NOTICE").otherwise("INFO")
-    return e.select(
+    return spread(e).select(
         "event_id", "ts", "event_type", "props", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), level.alias("level"), F.format_string("user %s did %s", F.col("user_id").cast("string"), "event_type").alias("message"),
         F.col("user_id").alias("user"), F.floor(F.col("value") * 100).cast("long").alias("cents"),
     )
@@ -53,12 +60,14 @@ def _line(fmt: str) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    """Events in FILES files of a format, in order; the tables have a header."""
-    lines = facts(spark, sf_dir).select((F.col("event_id") % FILES).alias("file"), F.struct("event_id", _line(fmt).alias("line")).alias("x"))
+    """Events in FILES files of a format, more where a file had over FILE_EVENTS, in order; the tables have a header."""
+    e = facts(spark, sf_dir)
+    n = max(FILES, table(spark, sf_dir, "events").count() // FILE_EVENTS)
+    lines = e.select((F.col("event_id") % n).alias("file"), F.struct("event_id", _line(fmt).alias("line")).alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "" if fmt == "binary" else "\n")
     head = {"csv": "timestamp,level,user,cents,message\n", "tsv": "timestamp\tlevel\tuser\tcents\tmessage\n", "delimiter": "timestamp|level|user|cents|message\n"}.get(fmt, "")
     text = F.concat(F.lit("<log>"), body, F.lit("</log>")) if fmt == "xml" else F.concat(F.lit(head), body)
-    return lines.groupBy("file").agg(text.alias("text")).select(F.concat(F.lit("f"), F.col("file").cast("string")).alias("source"), F.encode("text", "UTF-8").alias("content"))
+    return lines.groupBy("file").agg(text.alias("text")).repartition(n).select(F.concat(F.lit("f"), F.col("file").cast("string")).alias("source"), F.encode("text", "UTF-8").alias("content"))
 
 
 def _parsed(fmt: str, user: str, cents: str) -> Query:
@@ -190,8 +199,8 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = files(spark, sf_dir, "key_value"), files(spark, sf_dir, "plain_text").where("source in ('f1', 'f2')")
-    kv = readers.ingest(good, "key_value")
+    good, bad = files(spark, sf_dir, "key_value"), files(spark, sf_dir, "plain_text")
+    kv = cut(readers.ingest(good, "key_value"))
     return staging.stage([kv, readers.ingest(bad, "key_value"), kv.where("line_number <= 5")])
 
 
@@ -243,7 +252,7 @@ def chart_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.profile(table(spark, sf_dir, "customer").drop("c_acctbal"))
+    return analyze.profile(table(spark, sf_dir, "customer"))
 
 
 @query
@@ -392,14 +401,16 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def generated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generator's rows of each format, parsed back and compared with their facts."""
-    logs = generator.tool_logs(spark, 2200)
+    """The generator's rows of each format, parsed back one by one and compared with their facts. Binary rows are chunks of 16 bytes; a lone delimiter line reads as a header."""
+    content = F.coalesce("raw_payload", F.encode("raw_log", "UTF-8")).alias("content")
+    logs = cut(spread(generator.tool_logs(spark)).select("format_type", F.col("signature").alias("source"), content, "event_ts", "lot_id"), "format_type")
     out = []
-    for fmt in ("key_value", "logfmt", "json", "yaml"):
-        own = logs.where(F.col("format_type") == fmt).select(F.col("signature").alias("source"), F.encode("raw_log", "UTF-8").alias("content"), "event_ts", "lot_id")
+    for fmt in FORMATS:
+        own = logs.where(F.col("format_type") == fmt)
         records = readers.ingest(own.select("source", "content"), fmt)
-        told = records.join(own.select("source", "event_ts", "lot_id"), "source")
-        out.append(told.agg(F.lit(fmt).alias("format"), F.count("*").alias("n"), F.count_if((F.col("timestamp") == F.col("event_ts")) & (F.try_element_at("fields", F.lit("lot")) == F.col("lot_id"))).alias("equal")))
+        told = own.select("source", "event_ts", "lot_id").join(records, "source", "left")
+        lot = F.coalesce(*[F.try_element_at("fields", F.lit(k)) for k in ("lot", "@lot", "col_3")])
+        out.append(told.agg(F.lit(fmt).alias("format"), F.count_distinct("source").alias("files"), F.count("record_id").alias("records"), F.count_if("corrupted").alias("corrupted"), F.count_if(F.col("timestamp") == F.col("event_ts")).alias("timed"), F.count_if(lot == F.col("lot_id")).alias("lots")))
     every = out[0]
     for o in out[1:]:
         every = every.unionByName(o)

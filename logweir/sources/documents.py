@@ -17,6 +17,7 @@ from ..schema import PARSED
 # The record tags of XML logs, and how long a JSON record's raw text may be.
 RECORD_TAGS = {"log", "entry", "event", "record", "alarm", "message"}
 RAW_LIMIT = 512
+CELL_LIMIT = (1 << 31) - 1
 _YAML_PAIR = re.compile(r"^([^:#][^:]*?):(?:\s+(.*))?$")
 
 Record = tuple[int, str, str, dict, str | None]  # line number, raw, fault, entries, fallback message
@@ -50,6 +51,7 @@ def header_like(cells: list[str]) -> bool:
 
 
 def read_csv(text: str, has_header: bool | None = None) -> Iterator[Record]:
+    csv.field_size_limit(CELL_LIMIT)
     header: list[str] | None = None
     for number, row in enumerate(csv.reader(io.StringIO(text)), 1):
         raw = ",".join(row)
@@ -84,8 +86,10 @@ def load(text: str):
     """The JSON value, also of a text with trailing commas; ValueError if there is none."""
     try:
         return json.loads(text)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
     except ValueError:
-        return json.loads(re.sub(r",\s*([}\]])", r"\1", text))
+        return json.loads(re.sub(r",\s*+([}\]])", r"\1", text))
 
 
 def read_json(text: str, depth: int = 5) -> Iterator[Record]:
@@ -94,7 +98,7 @@ def read_json(text: str, depth: int = 5) -> Iterator[Record]:
     if whole.startswith("[") or whole.startswith("{") and "\n{" not in whole:
         try:
             one = json.loads(whole)
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
     if isinstance(one, list):
         for number, item in enumerate(one, 1):
@@ -215,14 +219,26 @@ _PARSED = pa.schema([("source", pa.string()), ("format", pa.string()), ("line_nu
 _CHUNK = 2000
 
 
+def read_safely(read: Callable[[], Iterator[Record]]) -> Iterator[Record]:
+    """The records, and where the file can't be read on, one of line 0 that says why."""
+    try:
+        yield from read()
+    except (csv.Error, ET.ParseError, RecursionError, ValueError) as e:
+        yield 0, "", f"file_error: {type(e).__name__}: {e}", {}, None
+
+
 def parse_documents(files: DataFrame, **options) -> DataFrame:
-    """Files whose format is csv, json, xml or yaml, with source, format and text; options go to the readers by format name."""
+    """Files whose format is csv, json, xml or yaml, with source, format and text; options go to the readers by format name.
+
+    A file that can't be read to its end gives what came before and a corrupted record of line 0 with the error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 out: list[dict] = []
-                for number, raw, fault, found, fallback in READERS[row["format"]](row["text"] or "", **options.get(row["format"], {})):
+                reader, given = READERS[row["format"]], options.get(row["format"], {})
+                for number, raw, fault, found, fallback in read_safely(lambda: reader(row["text"] or "", **given)):  # noqa: B023
                     entries = [{"k": k, "v": v, "text": t} for k, (v, t) in ((k, shown(v)) for k, v in found.items())]
                     out.append({"source": row["source"], "format": row["format"], "line_number": number, "raw": raw, "corrupted": bool(fault), "corruption_reason": fault, "entries": entries, "fallback": fallback})
                     if len(out) >= _CHUNK:

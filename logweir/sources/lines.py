@@ -15,8 +15,9 @@ ACCESS = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]+)"\s+(\d{3})\s+(\S+)'
 RFC3164 = rf"^(?:<(\d{{1,3}})>)?{_MONTHS}\s+(\d{{1,2}})\s+(\d{{2}}:\d{{2}}:\d{{2}})\s+(\S+)\s+([^\s:]+?)(?:\[(\d+)\])?:\s*(.+)$"
 RFC5424 = r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:-|\[[^\]]*\](?:\[[^\]]*\])*))\s*(.*)$"
 _VALUE = r"""(?:"([^"\\]*(?:\\.[^"\\]*)*)"|'([^'\\]*(?:\\.[^'\\]*)*)'|([^\s,;]+))"""
-KEY_VALUE = r"([\w.\-/@]+)\s*(?:=|:)\s*" + _VALUE
-LOGFMT = r"([\w.\-/@]+)\s*=\s*" + _VALUE
+_KEY = r"(?<![\w.\-/@])([\w.\-/@]++)"  # from the start of a run of its characters, so time is linear in the line
+KEY_VALUE = _KEY + r"\s*+(?:=|:)\s*+" + _VALUE
+LOGFMT = _KEY + r"\s*+=\s*+" + _VALUE
 CANDIDATES = ("|", ";", ":", "\t", ",")
 WORD_CELL = r"^(?:\p{L}|[_-])*\p{L}(?:\p{L}|[_-])*$"
 NUMBER_CELL = r"^[.-]*\d[\d.-]*$"
@@ -44,7 +45,9 @@ def _entries(found: Column) -> Column:
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
-    """One row for each line that isn't blank, with its number from 1 and fault."""
+    """One row for each line that isn't blank, with its number from 1 and fault; lines that readers.read_lines numbered stay as they are."""
+    if "line_number" in files.columns:
+        return files.select("source", "format", "line_number", "raw", line_fault(F.col("raw")).alias("fault"))
     lines = files.select("source", "format", F.posexplode(split_lines(F.col("text"))).alias("at", "raw"))
     return lines.select("source", "format", (F.col("at") + 1).alias("line_number"), "raw", line_fault(F.col("raw")).alias("fault"))
 

@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="logweir-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
