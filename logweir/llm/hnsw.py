@@ -28,6 +28,7 @@ THRESHOLD = 0.98
 DEGREE = 12
 BUILD_BEAM = 48
 FIRST_BEAM = 16
+ENTRY_BEAM = 16
 PROBES = 256
 MARGIN = 1e-4
 SHARDS = 2
@@ -73,12 +74,12 @@ class Graph:
 
     def _insert(self, start: int, stop: int) -> None:
         batch = np.arange(start, stop)
-        entry = np.zeros(len(batch), np.int64)
+        entry = np.zeros((len(batch), 1), np.int64)
         for level in range(len(self.sizes) - 1, -1, -1):
             here = batch[batch < self.sizes[level]]
             if start:
-                ids, sims = self._beam(self.x[batch], entry, BUILD_BEAM if len(here) else 1, level, min(start, self.sizes[level]))
-                entry = ids[np.arange(len(batch)), sims.argmax(axis=1)]
+                ids, sims = self._beam(self.x[batch], entry, BUILD_BEAM if len(here) else ENTRY_BEAM, level, min(start, self.sizes[level]))
+                entry = ids
             if not len(here):
                 continue
             mates = self.x[here] @ self.x[here].T
@@ -141,13 +142,19 @@ class Graph:
             adjacency[heads] = self._select(heads, ids, sims, most)
 
     def _beam(self, q: np.ndarray, entry: np.ndarray, width: int, level: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per query, the width best nodes that a beam meets on a layer among its first upto nodes; id -1 and -inf where there are fewer."""
+        """Per query, the width best nodes that a beam meets on a layer among its first upto nodes, from the entries on (a row of nodes, -1 for none); id -1 and -inf where there are fewer."""
         adjacency, b = self.adjacency[level], len(q)
         ids, sims, done = np.full((b, width), -1, np.int64), np.full((b, width), -np.inf, np.float32), np.ones((b, width), bool)
         seen = np.zeros((b, upto), bool)
         live = np.arange(b)
-        ids[:, 0], sims[:, 0], done[:, 0] = entry, np.einsum("ij,ij->i", q, self.x[entry]), False
-        seen[live, entry] = True
+        first = np.where(entry >= 0, np.einsum("ijk,ik->ij", self.x[entry], q), -np.inf).astype(np.float32)
+        if entry.shape[1] > width:
+            best = np.argpartition(-first, width - 1, axis=1)[:, :width]
+            entry, first = np.take_along_axis(entry, best, 1), np.take_along_axis(first, best, 1)
+        m = entry.shape[1]
+        ids[:, :m], sims[:, :m], done[:, :m] = entry, first, entry < 0
+        row, col = np.nonzero(entry >= 0)
+        seen[row, entry[row, col]] = True
         step = min(4, width)
         while True:
             waiting = np.where(done[live], -np.inf, sims[live])
@@ -187,9 +194,9 @@ class Graph:
                     sims = q[some] @ self.x.T
                     row, node = np.nonzero(sims >= least)
                 else:
-                    entry = np.zeros(len(some), np.int64)
+                    entry = np.zeros((len(some), 1), np.int64)
                     for level in range(len(self.sizes) - 1, 0, -1):
-                        entry = self._beam(q[some], entry, 1, level, self.sizes[level])[0][:, 0]
+                        entry = self._beam(q[some], entry, ENTRY_BEAM, level, self.sizes[level])[0]
                     ids, sims = self._beam(q[some], entry, width, 0, n)
                     more = sims.min(axis=1) >= least
                     again.append(some[more])
@@ -311,7 +318,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     place = ["label", "dim", "shard", "slice"]
     queries = placed.select("label", "dim", each.alias("shard"), "slice", "node", "vector")
     # a graph goes to each slice of a label's queries, a slice is large and streams past it
-    sent = graphs.join(sizes, ["label", "dim"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("shards", "slices")
+    sent = graphs.join(sizes, ["label", "dim"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("shards", "slices").withColumn("node", F.lit(0).cast("long"))  # a null would make pandas read ids as floats
     stream = sent.unionByName(queries, allowMissingColumns=True)
     parts = max(sizes.agg(F.sum(F.col("shards") * F.col("slices"))).first()[0] or 1, rows.sparkSession.sparkContext.defaultParallelism)
     stream = stream.repartition(int(min(parts, MOST_PARTS)), *place).sortWithinPartitions(*place, F.col("nodes").isNull())

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from logweir.llm import exact_dedup
+from logweir.llm import bloom, exact_dedup
 
 
 def slow(rows):
@@ -37,7 +37,7 @@ def test_filter_misses_no_repeat(spark):
     once, twice = rng.integers(-(2**63), 2**63, 40_000), rng.integers(-(2**63), 2**63, 500)
     keys = spark.createDataFrame([(int(x),) for x in [*once, *twice, *twice]], "h long").repartition(7)
     for size in (64, 1):
-        may_repeat = exact_dedup.suspects(keys, 41_000, size)
+        may_repeat = bloom.seen(keys, 41_000, size, 2)
         suspects = {r.h for r in keys.where(may_repeat("h")).distinct().collect()}
         assert set(map(int, twice)) <= suspects
         assert len(suspects) < 2500

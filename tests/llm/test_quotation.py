@@ -32,7 +32,7 @@ def slow(rows):
         body = "\n".join(b for a, b in p if a == 0).strip() if quoting else x
         parts.append((p, body))
         if c is not None and t is not None and body is not None:
-            for s in {body, *re.split(r"\r\n|\r|\n", body), *re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", body)}:
+            for s in {body, *(b for a, b in p if a == 0), *re.split(r"\r\n|\r|\n", body), *re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", body)}:
                 said.append((norm(s), c, t))
     out = []
     up = {}
@@ -44,7 +44,7 @@ def slow(rows):
                 continue
             n += 1
             best = None
-            for rank, s in [(0, text), *((1, s) for s in text.split("\n") if len(norm(s).split(" ")) >= 5)]:
+            for rank, s in [(0, text), *((1, s) for s in text.split("\n"))]:
                 s = norm(s)
                 if not s or c is None or t is None:
                     continue
