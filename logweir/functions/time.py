@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from datetime import timezone
+
+import pandas as pd
+from dateutil import parser as free_parser
+from pyspark.sql import Column, functions as F, types as T
 
 from .text import let, strip
 
@@ -86,6 +90,20 @@ def isoformat(instant: Column) -> Column:
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
 
 
+@F.pandas_udf(T.StringType())
+def free_form(text: pd.Series) -> pd.Series:
+    """ISO text of a time in any usual wording, UTC where it names no zone, or null. For what the shapes don't know: rows that are null cost nothing."""
+
+    def told(x: str) -> str | None:
+        try:
+            at = free_parser.parse(x.strip())
+        except (ValueError, OverflowError):
+            return None
+        return (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).isoformat()
+
+    return text.map(told, na_action="ignore")
+
+
 def standardise_timestamp(text: Column) -> tuple[Column, Column]:
     """ISO text and whether it was readable: ISO stays, epochs of ten digits or more, then the known shapes; what fails stays as it is."""
     def known(s: Column) -> Column:

@@ -48,6 +48,11 @@ def describe(df: DataFrame) -> list[dict]:
     return [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable, "numeric": isinstance(f.dataType, T.NumericType)} for f in df.schema]
 
 
+def health(view: DataFrame) -> dict[str, DataFrame]:
+    """All that a registry page shows, by name."""
+    return {"totals": registry_totals(view), "formats": registry_formats(view), "signals": registry_signals(view), "coverage": registry_coverage(view), "recent": recent_activity(view), "watchlist": watchlist(view)}
+
+
 def chart(df: DataFrame, dimension: str, aggregation: str = "count", metric: str | None = None, limit: int = 25) -> DataFrame:
     """(label, value) of the groups with the greatest values, ties by label; limit is held between 1 and 100, and a missing metric counts rows."""
     if aggregation not in AGGREGATES:
@@ -147,14 +152,23 @@ def watchlist(view: DataFrame) -> DataFrame:
     return told.select("signature", "format", "confidence", "hit_count", F.array_join(F.slice("reasons", 1, 2), ", ").alias("reason"))
 
 
-# Views that the canonical records are read by.
-VIEWS = {
-    "anomalies": ("anomaly_score < -0.5", "anomaly_score"),
-    "alarms": ("alarm_code is not null", "timestamp desc"),
-    "low_confidence": ("mapping_confidence < 0.7", "mapping_confidence"),
+# The listings by which the stored tables are read: table, condition, columns and order.
+LISTINGS = {
+    "anomalies": ("parsed_logs", "anomaly_score < -0.5", "timestamp, tool_id, temperature, pressure, rf_power, anomaly_score", "anomaly_score asc"),
+    "alarms": ("parsed_logs", "alarm_code is not null", "timestamp, tool_id, alarm_code, alarm_severity, event_description", "timestamp desc"),
+    "low_confidence": ("parsed_logs", "mapping_confidence < 0.7", "tool_id, raw_line, mapping_confidence, parse_flags", "mapping_confidence asc"),
+    "parse_failures": ("parse_failures", "true", "*", "failed_at desc"),
+    "learned_names": ("field_mappings", "true", "*", "created_at desc"),
+    "provider_failures": ("llm_failures", "true", "signature, raw_line, error, attempts", "signature asc"),
+    "mappings": ("registry", "true", "signature, format_type, confidence, hit_count", "hit_count desc"),
 }
 
 
-def canned(parsed_logs: DataFrame, name: str) -> DataFrame:
-    condition, order = VIEWS[name]
-    return parsed_logs.where(condition).orderBy(F.expr(order.split()[0]).desc() if order.endswith("desc") else F.expr(order))
+def listing(table: DataFrame, name: str) -> DataFrame:
+    """A listing over its table; ties follow the first column."""
+    _, condition, columns, order = LISTINGS[name]
+    key, way = order.split()
+    told = table.where(condition)
+    first = F.col((table.columns if columns == "*" else columns.split(", "))[0])
+    ordered = told.orderBy(F.col(key).desc_nulls_last() if way == "desc" else F.col(key).asc_nulls_last(), first)
+    return ordered.select(*(table.columns if columns == "*" else columns.split(", ")))

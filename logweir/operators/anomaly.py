@@ -94,10 +94,12 @@ def score_records(records: DataFrame, forest: Forest | None, features: Sequence[
     if forest is None:
         return records.withColumn("anomaly_score", F.lit(0.0))
     held = records.sparkSession.sparkContext.broadcast(forest)  # a hundred small trees
+    found = records.agg(*[F.avg(f).alias(f) for f in features]).first()
+    means = [found[f] if found[f] is not None else 0.0 for f in features]
 
     @F.pandas_udf(T.DoubleType())
     def scored(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.fillna(m).to_numpy(float) for c, m in zip(columns, held.value.means)])
+        x = np.column_stack([c.fillna(m).to_numpy(float) for c, m in zip(columns, means)])
         return pd.Series(held.value.score(x))
 
     return records.withColumn("anomaly_score", F.when(F.coalesce(*features).isNotNull(), scored(*features)).otherwise(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def stage(sources: Sequence[DataFrame], order: Sequence[str] = ("source", "line_number")) -> DataFrame:
@@ -94,6 +94,10 @@ def preview(records: DataFrame, width: int = 1000) -> DataFrame:
     return records.withColumn("raw", F.substring("raw", 1, width))
 
 
-def first_of(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """One row of each key by a window, where rows are few for each key."""
-    return rows.withColumn("rank__", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("rank__ = 1").drop("rank__")
+def report(staged: DataFrame) -> DataFrame:
+    """(section, name, n): the totals in their order, then levels, formats and corruption reasons, the most frequent first."""
+    whole = totals(staged)
+    names = ("total_seen", "clean", "corrupted", "duplicates")
+    first = whole.select(F.explode(F.array(*[F.struct(F.lit(0).alias("part"), F.lit(-i).cast("long").alias("place"), F.lit("totals").alias("section"), F.lit(n).alias("name"), F.col(n).cast("long").alias("n")) for i, n in enumerate(names)])).alias("x")).select("x.*")
+    rest = distribution(staged).select(F.lit(1).alias("part"), F.col("n").alias("place"), F.col("kind").alias("section"), F.col("value").alias("name"), "n")
+    return first.unionByName(rest).orderBy("part", "section", F.col("place").desc(), "name").select("section", "name", "n")

@@ -300,3 +300,36 @@ c as (select *, row_number() over (order by root) - 1 as label from g where n >
 select label::int as label, n, first from c
 union all select -1, lone.n, lone.first from (select (select count(*) from part) - coalesce(sum(n), 0) as n, (select min(p_partkey) from part where p_partkey not in (select id from r join c using (root) where i = 12)) as first from c) lone where lone.n > 0
 """
+
+ORACLES["vendor_documents"] = f"""
+with {FACTS}
+select event_id as id, ['xml', 'csv', 'tsv', 'yaml', 'keyvalue', 'plaintext'][event_id % 6 + 1] as format, case when event_id % 6 < 5 then "user"::varchar end as who, message as what from f
+"""
+
+ORACLES["stage_report"] = f"""
+with {_STAGED},
+t as (select (count(*) + sum(duplicates))::bigint as total_seen, count(*) filter (where not corrupted) as clean, count(*) filter (where corrupted) as corrupted, sum(duplicates)::bigint as duplicates from s)
+select 'totals' as section, unnest(['total_seen', 'clean', 'corrupted', 'duplicates']) as name, unnest([total_seen, clean, corrupted, duplicates]) as n from t
+union all select 'level', level, count(*) from s where not corrupted group by 2
+union all select 'format', 'key_value', count(*) from s where not corrupted
+union all select 'corruption_reason', reason, count(*) from s where corrupted group by 2
+"""
+ORACLES["stage_errors"] = f"with {FACTS} select 'bad-f' || unnest(range((select n from files))) as source, 'Error' as error"
+ORACLES["stage_levels"] = f"""
+with {FACTS}
+select level, count(*) as n from f where level in ('ERROR', 'WARN') group by 1 union all select 'logfmt', count(*) from f
+"""
+ORACLES["registry_lookup"] = f"with {_REGISTRY} select signature, len(keys)::int as patterns, case when list_contains(keys, 'tool_id') then 'tool_id' end as tool_id from v where signature = 'sig000123'"
+ORACLES["registry_signatures"] = f"with {_REGISTRY} select distinct signature from v"
+ORACLES["listing_mappings"] = f"with {_REGISTRY} select signature, case when format <> 'unknown' then format end as format_type, confidence, hit_count from v"
+ORACLES["listing_alarms"] = f"with {FACTS} select iso as timestamp, 'T' || (event_id % 5) as tool_id, event_type as alarm_code, null::varchar as alarm_severity, null::varchar as event_description from f where event_id % 2 = 0"
+ORACLES["learned_names"] = "select lower(n_name) as vendor_field, case when n_nationkey % 5 = 0 then 'tool_id' else ['temperature', 'pressure', 'voltage'][n_nationkey % 3 + 1] end as canonical_field from nation"
+ORACLES["provider_failures"] = "select distinct substr(sha256('user <NUM> did ' || event_type), 1, 16) as signature, 'events' as log_source, 'llm_failed' as error, 2 as attempts from events"
+ORACLES["validated_rows"] = """
+select event_id::varchar as record_id, concat_ws(',', 'unknown_top_level_field:cents', 'parse_flags_not_list', case when event_id % 7 = 0 then 'mapping_confidence_not_float:high' end, case when event_id % 2 = 1 then 'missing_required:raw_line' end,
+  case when event_id % 3 = 0 then 'invalid_log_type:odd' end, case when event_id % 5 = 0 then 'invalid_alarm_severity:loud' end, case when event_id % 7 = 1 then 'mapping_confidence_out_of_range:1.5' end) as errors from events
+"""
+ORACLES["cluster_representatives"] = """
+with l as (select p_partkey as id, (p_size % 7 - 1)::int as label, list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type || ' ' || p_brand || ' the 12', '[=:_./\\[\\]{}@#]'))) as marks from part)
+select min(id) as id, label from l where label >= 0 group by label, marks union all select id, label from l where label < 0
+"""

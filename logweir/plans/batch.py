@@ -7,14 +7,15 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import similar
 from ..operators.anomaly import Forest, fit_forest, score_records
 from ..operators.staging import stage
-from ..operators.templates import as_table, discover_templates
-from ..schema import PARSE_FAILURES, PARSED_LOGS, REGISTRY, TEMPLATES
+from ..operators.templates import as_table, discover_templates, match_templates
+from ..schema import CANONICAL, FIELD_MAPPINGS, LLM_FAILURES, PARSE_FAILURES, PARSED_LOGS, REGISTRY, TEMPLATES
 from ..sources.readers import ingest, read_files
-from ..sources.sinks import insert_or_ignore, new_rows, read_ndjson, read_table, replace_table
+from ..sources.sinks import add_hits, drop_table, insert_or_ignore, new_rows, read_ndjson, read_table, replace_table, upsert
 from ..tables import cut
-from .semantic import MappingProvider, failures, from_log_records, learn, map_records
+from .semantic import MappingProvider, failures, from_log_records, learn, map_records, read_free_times
 
 
 @dataclass
@@ -43,17 +44,72 @@ class Store:
         row = self.table("anomaly_model", "model string").first()
         return Forest.from_json(row.model) if row else None
 
+    def learned(self) -> dict[str, str]:
+        """The learnt vendor names, a vocabulary small enough for the driver."""
+        return {r.vendor_field: r.canonical_field for r in self.table("field_mappings", FIELD_MAPPINGS).collect()}
+
+    def learn_names(self, names: dict[str, str]) -> None:
+        """Stores vendor names, in place of what they stood for, and mirrors all of them as JSON. ValueError if one stands for no canonical field."""
+        wrong = sorted(set(names.values()) - set(CANONICAL))
+        if wrong:
+            raise ValueError(f"no canonical field: {', '.join(wrong)}")
+        now = _now()
+        fresh = self.spark.createDataFrame([(v.lower().strip(), c, now) for v, c in names.items()], FIELD_MAPPINGS)
+        replace_table(upsert(self.table("field_mappings", FIELD_MAPPINGS), fresh, "vendor_field"), self.at("field_mappings"))
+        self.table("field_mappings", FIELD_MAPPINGS).coalesce(1).write.mode("overwrite").json(self.at("field_mappings_json"))
+
+    def load_names(self, path: str) -> int:
+        """Adds the names of a JSON file (one object, or one a line) that stand for canonical fields; learnt ones stay. How many were new."""
+        given = self.spark.read.option("multiLine", "true").schema("mappings map<string,string>").json(path).select(F.explode("mappings").alias("v", "c"))
+        had = self.learned()
+        new = {r.v: r.c for r in given.collect() if r.c in CANONICAL and r.v.lower().strip() not in had}
+        if new:
+            self.learn_names(new)
+        return len(new)
+
+    def build_pool(self, lines: DataFrame) -> int:
+        """The candidate pool: the representatives of clusters of past lines (id, line), with their labels."""
+        replace_table(similar.representatives(lines, similar.cluster(lines)), self.at("candidates"))
+        return self.pool().count()
+
+    def pool(self) -> DataFrame:
+        return self.table("candidates", "id long, line string, label int")
+
+    def alike(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        """The k lines of the pool nearest to each query (id, line)."""
+        pool = self.pool()
+        return similar.nearest(queries, pool, similar.fit(pool)[0], k).join(pool.select(F.col("id").alias("candidate"), F.col("line").alias("example")), "candidate")
+
+    def match(self, lines: DataFrame) -> DataFrame:
+        """The stored template of each line (id, line); each match is counted."""
+        stored = self.table("templates", TEMPLATES)
+        matched = cut(match_templates(lines, stored))
+        replace_table(add_hits(stored, matched), self.at("templates"))
+        return matched
+
+    def reset(self, *names: str) -> list[str]:
+        """Drops tables; which of them were there."""
+        return [n for n in names if drop_table(self.spark, self.at(n))]
+
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
+def unmapped(signed: DataFrame, made: DataFrame, attempts: int, now: str) -> DataFrame:
+    """Rows of llm_failures: each signature for which the provider failed for good, with its first line."""
+    failed = made.select("signature", F.get(F.filter("map_flags", lambda f: f.isin("llm_failed", "llm_quota_exceeded")), F.lit(0)).alias("error")).where("error is not null")
+    first = signed.groupBy("signature").agg(F.min_by(F.struct("raw_line", "log_source"), "record_id").alias("x"))
+    return failed.join(first, "signature").select("signature", "x.raw_line", "x.log_source", "error", F.lit(attempts).alias("attempts"), F.lit(now).alias("failed_at"))
+
+
 def run_records(store: Store, raw: DataFrame, provider: MappingProvider | None = None, learned: dict[str, str] | None = None, may_fit: bool = True) -> Result:
     """Vendor records (record_id, log_source, format, record) into parsed_logs; the registry learns, and with may_fit a first anomaly model is fitted."""
     registry = store.table("registry", REGISTRY)
-    rows, signed, made = map_records(raw, registry, provider, learned)
+    rows, signed, made = map_records(raw, registry, provider, {**store.learned(), **(learned or {})})
     now = _now()
     rows = cut(rows.withColumn("ingested_at", F.lit(now)))
+    rows = cut(read_free_times(rows))
     made, signed = cut(made), cut(signed)
     forest = store.model()
     if forest is None and may_fit:
@@ -64,6 +120,7 @@ def run_records(store: Store, raw: DataFrame, provider: MappingProvider | None =
     total = rows.count()
     added, skipped = insert_or_ignore(scored, store.at("parsed_logs"), PARSED_LOGS, "dedup_key", ["record_id"])
     misses = signed.join(made.select("signature"), "signature", "left_semi").count()
+    unmapped(signed, made, getattr(provider, "attempts", 1), now).write.mode("append").parquet(store.at("llm_failures"))
     replace_table(learn(registry, signed, made, now), store.at("registry"))
     return Result(total=total, inserted=added, skipped=skipped, cache_hits=total - misses, provider_batches=-(-made.count() // 20))
 

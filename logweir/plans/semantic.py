@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.signature import generate_signature
 from ..functions.text import dict_to_line, last_wins
-from ..functions.time import standardise_timestamp
+from ..functions.time import free_form, standardise_timestamp
 from ..functions.units import normalise_units
 from ..schema import CANONICAL, LOG_TYPES, MEASUREMENTS, PARSED_LOGS, SEVERITIES, VENDOR_NAMES
 from ..sources.sinks import add_hits, upsert
@@ -170,6 +170,45 @@ def validation_errors(raw_line: Column, log_type: Column, severity: Column, conf
     ))
 
 
+def validate(rows: DataFrame) -> DataFrame:
+    """rows with ``errors``: columns that aren't canonical, what is required and missing, values outside their lists and ranges, and shapes that don't fit."""
+    kinds, there = dict(rows.dtypes), set(rows.columns)
+    text = lambda c: F.col(c).cast("string") if c in there else F.lit(None).cast("string")
+    given = text("mapping_confidence")
+    confidence = given.try_cast("double")
+    tests = [F.lit(f"unknown_top_level_field:{c}") for c in rows.columns if c not in CANONICAL]
+    tests += [F.when(F.col("extra_fields").isNotNull(), "extra_fields_not_dict")] if not kinds.get("extra_fields", "map").startswith(("map", "struct")) else []
+    tests += [F.when(F.col("parse_flags").isNotNull(), "parse_flags_not_list")] if not kinds.get("parse_flags", "array").startswith("array") else []
+    tests.append(F.when(given.isNotNull() & confidence.isNull(), F.concat(F.lit("mapping_confidence_not_float:"), given)))
+    return rows.withColumn("errors", F.concat(F.array_compact(F.array(*tests)), validation_errors(text("raw_line"), text("log_type"), text("alarm_severity"), confidence)))
+
+
+def registry_row(registry: DataFrame, signature: str) -> DataFrame:
+    """The row of a signature, its patterns as a map: JSON text is decoded, and what isn't JSON is an empty one."""
+    row = registry.where(F.col("signature") == signature)
+    if dict(registry.dtypes)["regex_patterns"] == "string":
+        read = F.when(F.try_parse_json("regex_patterns").isNotNull(), F.from_json("regex_patterns", "map<string,string>"))
+        row = row.withColumn("regex_patterns", F.coalesce(read, F.create_map().cast("map<string,string>")))
+    return row
+
+
+def signatures(registry: DataFrame) -> DataFrame:
+    return registry.select("signature").distinct()
+
+
+def dedup_key(tool_id: Column, timestamp: Column, raw_line: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in (tool_id, timestamp, raw_line))), 256)
+
+
+def read_free_times(rows: DataFrame) -> DataFrame:
+    """Rows of parsed_logs, stored ones, with the timestamps that no known shape fits read from free wording; flag and key follow. Only these cross to Python."""
+    unread = F.array_contains(F.coalesce("parse_flags", F.array().cast(_NO_STRINGS)), "timestamp_parse_error")
+    told = rows.withColumn("free__", free_form(F.when(unread, F.col("timestamp"))))
+    free = F.col("free__")
+    changed = {"timestamp": F.coalesce(free, "timestamp"), "parse_flags": F.when(free.isNull(), F.col("parse_flags")).otherwise(F.array_remove("parse_flags", "timestamp_parse_error")), "dedup_key": F.when(free.isNull(), F.col("dedup_key")).otherwise(dedup_key(F.col("tool_id"), free, F.col("raw_line")))}
+    return told.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def canonicalise(mapped: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
     """record_id, log_source, raw_line, record, values, flags and confidence to rows of parsed_logs: names, type, units, timestamp, flags and dedup_key."""
     shown = F.filter(F.map_entries("record"), lambda e: ~e["key"].startswith("_"))
@@ -185,8 +224,9 @@ def canonicalise(mapped: DataFrame, learned: dict[str, str] | None = None) -> Da
     timestamp, readable = standardise_timestamp(value("timestamp"))
     told = told.select("*", *[v.alias(f) for f, v in values.items()], unit_flags.alias("unit_flags"), timestamp.alias("timestamp"), readable.alias("readable"), infer_log_type(value).alias("log_type"), raw_line.alias("line__"))
     errors = F.transform(validation_errors(F.col("line__"), F.col("log_type"), value("alarm_severity"), F.col("confidence")), lambda e: F.concat(F.lit("schema_error:"), e))
-    cleaned = F.array_compact(F.array(F.when(~F.col("readable"), "timestamp_parse_error"), F.when(F.coalesce("line__", F.lit("")) == "", "missing_required:raw_line")))
-    key = F.sha2(F.concat_ws("|", F.coalesce(value("tool_id"), F.lit("")), F.coalesce("timestamp", F.lit("")), F.coalesce("line__", F.lit(""))), 256)
+    one = lambda test, flag: F.when(test, F.array(F.lit(flag))).otherwise(F.array().cast(_NO_STRINGS))
+    cleaned = F.concat(one(~F.col("readable"), "timestamp_parse_error"), one(F.coalesce("line__", F.lit("")) == "", "missing_required:raw_line"))
+    key = dedup_key(value("tool_id"), F.col("timestamp"), F.col("line__"))
     own = {
         "record_id": F.coalesce(value("record_id"), F.col("record_id")), "log_source": F.coalesce(value("log_source"), F.col("log_source")), "raw_line": F.col("line__"), "mapping_confidence": F.col("confidence"),
         "parse_flags": F.concat(F.coalesce("flags", F.array().cast(_NO_STRINGS)), "unit_flags", cleaned, errors), "anomaly_score": F.lit(None).cast("double"), "dedup_key": key,

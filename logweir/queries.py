@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import level as lv, numeric as nm, signature as sg, text as tx, time as tm, transforms as tr, units as un
 from .operators import analyze, anomaly, detect, similar, staging, templates
-from .plans import semantic
-from .schema import FORMATS, REGISTRY
+from .plans import batch, semantic
+from .plans.provider import TextModel
+from .schema import FIELD_MAPPINGS, FORMATS, REGISTRY
 from .sources import generator, raw_records, readers, sinks
 from .streaming.ingest import windowed_counts
-from .tables import cut
+from .tables import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +120,21 @@ def stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("id", "format", got("a.b[0]", "user", "hostname", "field_0").alias("who"), got("m", "msg", "message", "field_1").alias("what"), got("severity", "level").alias("level"))
 
 
+@query
+def vendor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor records of texts whose format is told."""
+    e = facts(spark, sf_dir)
+    user, kinds = F.col("user").cast("string"), ("xml", "csv", "tsv", "yaml", "keyvalue", "plaintext")
+    forms = (
+        F.format_string("<logs><log><user>%s</user><msg>%s</msg></log></logs>", user, "message"), F.format_string("user,msg\n%s,%s", user, "message"), F.format_string("user\tmsg\n%s\t%s", user, "message"),
+        F.format_string("user: %s\nmsg: %s", user, "message"), F.format_string('user=%s msg: "%s"', user, "message"), F.col("message"),
+    )
+    pick = lambda xs: F.get(F.array(*xs), (F.col("event_id") % len(kinds)).cast("int"))
+    parsed = raw_records.parse_texts(e.select(F.col("event_id").alias("id"), pick(map(F.lit, kinds)).alias("kind"), pick(forms).alias("text")), "kind")
+    got = lambda *ks: F.coalesce(*[F.try_element_at("record", F.lit(k)) for k in ks])
+    return parsed.select("id", "format", got("user", "log.user").alias("who"), got("msg", "log.msg", "raw_text").alias("what"))
+
+
 @query
 def fn_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts(spark, sf_dir)
@@ -219,6 +236,25 @@ def stage_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.per_source(_staged(spark, sf_dir))
 
 
+@query
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.report(_staged(spark, sf_dir))
+
+
+@query
+def stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files that break off among good ones: told by file, and the job goes on."""
+    good = files(spark, sf_dir, "csv")
+    bad = good.select(F.concat(F.lit("bad-"), "source").alias("source"), F.encode(F.lit("a,b\n2,a\rb\n"), "UTF-8").alias("content"))
+    return readers.errors(readers.ingest(good.unionByName(bad), "csv")).select("source", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query
+def stage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _logfmt_records(spark, sf_dir)
+    return staging.by_level(records, "error", "Warn").groupBy("level").agg(F.count("*").alias("n")).unionByName(staging.by_format(records, "logfmt").groupBy(F.col("format").alias("level")).agg(F.count("*").alias("n")))
+
+
 @query
 def stage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = staging.select_records(_logfmt_records(spark, sf_dir), corrupted=False, level="error", fmt="logfmt", search="USER 1", where=F.col("line_number") % 2 == 0)
@@ -281,6 +317,28 @@ def _viewed(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(analyze.registry_view(_registry(spark, sf_dir)))
 
 
+@query
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.registry_row(_registry(spark, sf_dir), "sig000123").select("signature", F.size("regex_patterns").alias("patterns"), F.try_element_at("regex_patterns", F.lit("tool_id")).alias("tool_id"))
+
+
+@query
+def registry_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _registry(spark, sf_dir)
+    return semantic.signatures(r.unionByName(r))
+
+
+@query
+def listing_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.listing(_registry(spark, sf_dir), "mappings")
+
+
+@query
+def listing_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = semantic.map_records(_vendor(spark, sf_dir), spark.createDataFrame([], REGISTRY))
+    return analyze.listing(rows, "alarms")
+
+
 QUERIES["registry_totals"] = _viewed(lambda v: analyze.registry_totals(v).withColumn("avg_confidence", F.round("avg_confidence", 6)))
 QUERIES["registry_formats"] = _viewed(analyze.registry_formats)
 QUERIES["registry_signals"] = _viewed(analyze.registry_signals)
@@ -295,6 +353,43 @@ def lookup_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select(keys.alias("vendor")).withColumn("canonical", semantic.canonical_name(F.col("vendor"))).groupBy("vendor", "canonical").agg(F.count("*").alias("n"))
 
 
+@query
+def learned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as vendor names, stored, then some of them stored anew."""
+    store = batch.Store(spark, f"{shared_dir(spark)}/names-{uuid.uuid4().hex}")
+    nations = [(r.n_name, r.n_nationkey) for r in table(spark, sf_dir, "nation").collect()]  # a vocabulary
+    store.learn_names({n: ("temperature", "pressure", "voltage")[k % 3] for n, k in nations})
+    store.learn_names({n.lower(): "tool_id" for n, k in nations if k % 5 == 0})
+    return store.table("field_mappings", FIELD_MAPPINGS).select("vendor_field", "canonical_field")
+
+
+@query
+def provider_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of signatures for which the model failed for good."""
+    provider = TextModel(call=_no_model, attempts=2, wait=_no_wait)
+    _, signed, made = semantic.map_records(_vendor(spark, sf_dir), spark.createDataFrame([], REGISTRY), provider)
+    return batch.unmapped(signed, made, provider.attempts, "now").select("signature", "log_source", "error", "attempts")
+
+
+def _no_model(prompt: str) -> str:
+    raise ConnectionError("no model here")
+
+
+def _no_wait(seconds: float) -> None:
+    return None
+
+
+@query
+def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = facts(spark, sf_dir)
+    k = F.col("event_id")
+    rows = e.select(
+        k.cast("string").alias("record_id"), F.when(k % 2 == 0, F.col("message")).alias("raw_line"), F.when(k % 3 == 0, "odd").otherwise("alarm").alias("log_type"), F.when(k % 5 == 0, "loud").otherwise("info").alias("alarm_severity"),
+        F.when(k % 7 == 0, "high").when(k % 7 == 1, "1.5").otherwise("0.5").alias("mapping_confidence"), F.lit("x").alias("parse_flags"), F.col("cents").alias("cents"),
+    )
+    return semantic.validate(rows).select("record_id", F.array_join("errors", ",").alias("errors"))
+
+
 @query
 def insert_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -355,6 +450,13 @@ def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
+@query
+def cluster_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _texts(spark, sf_dir)
+    labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 7 - 1).cast("int").alias("label"))
+    return similar.representatives(lines, labels).select("id", "label")
+
+
 def _vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts(spark, sf_dir)
     id_ = F.col("event_id")

@@ -50,10 +50,10 @@ def header_like(cells: list[str]) -> bool:
     return bool(cells) and words / len(cells) >= 0.5 and not any(c.replace(".", "").replace("-", "").isdigit() for c in bare)
 
 
-def read_csv(text: str, has_header: bool | None = None) -> Iterator[Record]:
+def read_csv(text: str, has_header: bool | None = None, delimiter: str = ",", quote: str = '"') -> Iterator[Record]:
     csv.field_size_limit(CELL_LIMIT)
     header: list[str] | None = None
-    for number, row in enumerate(csv.reader(io.StringIO(text)), 1):
+    for number, row in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=quote), 1):
         raw = ",".join(row)
         if header is None:
             if header_like(row) if has_header is None else has_header:
@@ -92,7 +92,8 @@ def load(text: str):
         return json.loads(re.sub(r",\s*+([}\]])", r"\1", text))
 
 
-def read_json(text: str, depth: int = 5) -> Iterator[Record]:
+def read_json(text: str, depth: int = 5, flat: bool = True) -> Iterator[Record]:
+    depth = depth if flat else 1  # nested objects stay whole
     whole = text.strip()
     one = None
     if whole.startswith("[") or whole.startswith("{") and "\n{" not in whole:

@@ -134,8 +134,9 @@ def finish(records: DataFrame, normalise: bool, reference_year: int | None = Non
 
 def assemble(parsed: DataFrame, fmt: str, reference_year: int | None = None) -> DataFrame:
     """What a parser of one format made, as log records."""
-    if fmt in ROLES:
-        told = assign_roles(parsed, ROLES[fmt], reference_year)
+    roles = ROLES.get(fmt) or (None if "timestamp_raw" in parsed.columns else ROLES["key_value"])  # a caller's parser may leave the roles to the names
+    if roles:
+        told = assign_roles(parsed, roles, reference_year)
         blank = F.col("corrupted")
         told = told.select("source", "format", "line_number", "raw", "corrupted", "corruption_reason", *[F.when(~blank, F.col(c)).alias(c) for c in ("timestamp_raw", "ts", "level")], F.when(blank, "").otherwise(F.col("message")).alias("message"), "fields")
         return finish(told, True, reference_year)

@@ -8,6 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.staging import keep_first
+from ..tables import cut
+
+
+MOST_COLUMNS = 10_000
 
 
 def to_dicts(records: DataFrame):
@@ -21,9 +25,11 @@ def write_ndjson(records: DataFrame, path: str, include_corrupted: bool = False)
     kept.drop("raw").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def pivot_fields(records: DataFrame) -> DataFrame:
-    """The fixed columns and one column field.<key> for each key of fields, sorted. The distinct keys come to the driver: they are the columns of the result."""
-    keys = [r[0] for r in records.select(F.explode(F.map_keys("fields")).alias("k")).distinct().orderBy("k").collect()]
+def pivot_fields(records: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
+    """The fixed columns and one column field.<key> for each key of fields, sorted. The distinct keys come to the driver: they are the columns of the result. ValueError beyond ``most`` of them."""
+    keys = sorted(r[0] for r in records.select(F.explode(F.map_keys("fields")).alias("k")).distinct().limit(most + 1).collect())
+    if len(keys) > most:
+        raise ValueError(f"more than {most} keys would be columns")
     fixed = ("record_id", "source", "line_number", "format", "timestamp", "level", "message", "corrupted", "corruption_reason")
     return records.select(*fixed, *[F.try_element_at("fields", F.lit(k)).alias(f"field.{k}") for k in keys])
 
@@ -44,24 +50,43 @@ def read_ndjson(spark: SparkSession, path: str, schema: str, bad_column: str = "
     return spark.read.schema(f"{schema}, {bad_column} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad_column).json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _recover(spark: SparkSession, path: str) -> bool:
+    """Whether the table is there; a swap that was cut short between its two renames is undone."""
+    fs, at = _files(spark, path)
+    if fs.exists(at):
+        return True
+    for old in fs.globStatus(_files(spark, f"{path.rstrip('/')}-old-*")[1]) or []:
+        return fs.rename(old.getPath(), at)
+    return False
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one if nothing was written yet."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if _recover(spark, path) else spark.createDataFrame([], schema)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and swaps, so the rows may come from the table itself."""
+    """Writes beside the table, renames the table aside and the new one into its place, so the rows may come from the table itself and at each moment one of both is whole."""
     spark = rows.sparkSession
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.parquet(aside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    mark = uuid.uuid4().hex
+    (fs, at), (_, new), (_, old) = (_files(spark, p) for p in (path, f"{path.rstrip('/')}-{mark}", f"{path.rstrip('/')}-old-{mark}"))
+    rows.write.parquet(f"{path.rstrip('/')}-{mark}")
+    there = _recover(spark, path)
+    if there:
+        fs.rename(at, old)
+    fs.rename(new, at)
+    if there:
+        fs.delete(old, True)
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.delete(at, True)
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -71,11 +96,9 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str, order: Sequence[str])
 
 def insert_or_ignore(rows: DataFrame, path: str, schema: str, key: str, order: Sequence[str]) -> tuple[int, int]:
     """Appends new_rows; how many went in and how many were skipped."""
-    spark = rows.sparkSession
-    before = read_table(spark, path, schema)
-    stored = before.count()
-    new_rows(rows, before, key, order).write.mode("append").parquet(path)
-    added = spark.read.schema(schema).parquet(path).count() - stored
+    fresh = cut(new_rows(rows, read_table(rows.sparkSession, path, schema), key, order))
+    fresh.write.mode("append").parquet(path)
+    added = fresh.count()
     return added, rows.count() - added
 
 

@@ -12,12 +12,6 @@ from logweir.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = [
-    "parse_key_value", "parse_json", "parse_binary", "fn_timestamps", "fn_numbers", "fn_units", "fn_signatures", "dedup_keep_first", "stage_totals", "stage_select", "chart_sum", "profile_customer", "registry_watchlist", "upsert_rows",
-    "discover_templates", "match_templates", "tfidf_vectors", "semantic_records", "event_windows",
-]
-
-
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else f"{v:.9g}"
@@ -25,7 +19,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
