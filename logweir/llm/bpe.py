@@ -23,7 +23,7 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .scratch import Sealed, small_batches, trim
+from .scratch import Sealed, hold_batches, trim
 
 LEAF = 256
 CACHE = 3 << 17
@@ -168,9 +168,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     Each match of pattern is encoded by itself, special tokens are plain text, a
     null text is empty: no ids, and the hashes of nothing. Texts of any length
-    are encoded whole. Input columns named like the added ones are replaced.
+    are encoded whole. Input columns named like the added ones are replaced. The session's Arrow batches are held to 512
+    rows from here on, as the result is computed later.
     """
-    small_batches(docs.sparkSession)
+    hold_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:  # the driver's copy; a vocabulary file has a fixed size
         held = docs.sparkSession.sparkContext.broadcast(f.read())
     sealed = Sealed(docs, *OWN, "ids")

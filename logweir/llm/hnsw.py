@@ -312,7 +312,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     )
     sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.greatest(F.lit(shards), F.ceil(F.col("n") / shard_rows)).cast("int").alias("shards"), F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("slices")))
     placed = scratch.keep(nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")))
-    graphs = placed.select("label", "dim", "shard", "node", "vector", "weight").groupBy("label", "dim", "shard").applyInPandas(_built(threshold), _GRAPH.format(nodes.schema["label"].dataType.simpleString()))
+    n_shards, n_streams = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("slices"))).first()
+    spread = [max(n or 1, rows.sparkSession.sparkContext.defaultParallelism) for n in (n_shards, n_streams)]  # a graph is a task's work, so small ones aren't put together
+    graphs = placed.select("label", "dim", "shard", "node", "vector", "weight").repartition(min(spread[0], MOST_PARTS), "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(_built(threshold), _GRAPH.format(nodes.schema["label"].dataType.simpleString()))
     graphs = scratch.keep(graphs)
     each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     place = ["label", "dim", "shard", "slice"]
@@ -320,8 +322,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # a graph goes to each slice of a label's queries, a slice is large and streams past it
     sent = graphs.join(sizes, ["label", "dim"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("shards", "slices").withColumn("node", F.lit(0).cast("long"))  # a null would make pandas read ids as floats
     stream = sent.unionByName(queries, allowMissingColumns=True)
-    parts = max(sizes.agg(F.sum(F.col("shards") * F.col("slices"))).first()[0] or 1, rows.sparkSession.sparkContext.defaultParallelism)
-    stream = stream.repartition(int(min(parts, MOST_PARTS)), *place).sortWithinPartitions(*place, F.col("nodes").isNull())
+    stream = stream.repartition(min(spread[1], MOST_PARTS), *place).sortWithinPartitions(*place, F.col("nodes").isNull())
     found = scratch.keep(stream.select(F.xxhash64(*place).alias("place"), "nodes", "weights", "vectors", "sizes", "adjacency", "beam", "node", "vector").mapInPandas(_searched(threshold), _FOUND))
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     centre = components(found.where("v is not null").select("u", "v"), scratch)

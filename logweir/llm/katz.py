@@ -34,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, quoted, small_batches
+from .scratch import Scratch, quoted
 
 K = 5
 COUNTS = 64
@@ -358,11 +358,10 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are counted and scored each. Columns of docs other than id and text aren't
     carried along.
     """
-    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "katz")
     key = F.col(quoted(id_col))
     held = (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == held_fold).alias("held")
-    blocks = scratch.keep(docs.select(key.cast("long").alias("id"), held, F.col(quoted(text_col)).alias("text")).mapInArrow(_packed_arrow, _BLOCKS))
+    blocks = scratch.keep(docs.select(key.cast("long").alias("id"), held, F.col(quoted(text_col)).alias("text")).mapInArrow(_packed_arrow, _BLOCKS), texts=True)
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     parts = [int((n or 0) // PART_ENTRIES + 1) for n in (size.words, *[size.tokens] * (order - 1))]
     packed = blocks.select("block", "ids", "held", "sizes", "tokens", "words")

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .scratch import Scratch, Sealed, quoted, small_batches
+from .scratch import Scratch, Sealed, quoted
 from .url_filter import domain_of, host_of, suffix_of
 
 BUCKETS = 1 << 15
@@ -137,7 +137,6 @@ def identify(
     declaration is a value of its own, so it weighs as little as it tells. Repeated
     rows get the same answer, and all rows of a table without labelled text are unknown.
     """
-    small_batches(rows.sparkSession)
     scratch = Scratch(rows.sparkSession, "language")
     names, logs = model
     names = [*names, UNKNOWN]
@@ -153,7 +152,7 @@ def identify(
     ll, share = [f"ll{k}__" for k in range(len(names))], [f"p{k}__" for k in range(len(names))]
     given = T.StructType([f for f in facts.schema if f.name != "text__"])
     schema = T.StructType([*given, *(T.StructField(c, T.DoubleType()) for c in ["grams__", *ll, *share])])
-    scored = scratch.keep(facts.mapInArrow(_likelihoods(held, markup), schema))
+    scored = scratch.keep(facts.mapInArrow(_likelihoods(held, markup), schema), texts=True)
     first = scored.withColumn("domain__", domain_of(F.col("host")))
 
     def summed(keys: list[str], tag: str) -> DataFrame:
@@ -180,13 +179,15 @@ def declared_in(html: Column) -> Column:
 def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The documents in a known language: lang_col is what they declare, source_col their host. All columns stay as they are.
 
-    A language is known if LEAST_ROWS rows of the table declare it. Rows of one text, lang and source are judged alike.
+    A language is known if LEAST_ROWS rows of the table declare it. A text with letters that declares a rarer one stays
+    unjudged: nothing is known against it. Rows of one text, lang and source are judged alike.
     """
     scratch, sealed = Scratch(docs.sparkSession, "known"), Sealed(docs)
     model = train(docs, lang_col, text_col, id_col=id_col)
     text, lang, source = (F.col(sealed[c]) for c in (text_col, lang_col, source_col))
     told_apart = [x for c in (text, lang, source) for x in (c, c.isNull())]  # hashes skip nulls
     keyed = sealed.rows.withColumns({"a": F.xxhash64(*told_apart), "b": F.xxhash64(F.lit(1), *told_apart)})
-    told = identify(keyed.select("a", "b", text.alias("text"), lang.alias("lang"), source.alias("source")), model, ["a", "b"], "text", host=F.col("source"), declared=F.col("lang"))
+    rare = F.coalesce(lang.isNotNull() & ~lang.isin(model[0]) & text.rlike(r"\p{L}"), F.lit(False))
+    told = identify(keyed.where(~rare).select("a", "b", text.alias("text"), lang.alias("lang"), source.alias("source")), model, ["a", "b"], "text", host=F.col("source"), declared=F.col("lang"))
     gone = scratch.keep(told.where("not accepted").select("a", "b").distinct())
     return keyed.join(gone, ["a", "b"], "left_anti").select(*sealed.restored())

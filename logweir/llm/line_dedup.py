@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
-from .scratch import Scratch, Sealed, small_batches
+from .scratch import Scratch, Sealed
 
 MIN_WORDS = 50
 OWN = ("n_lines", "n_removed", "removed")
@@ -89,7 +89,7 @@ def _positions(least: int):
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, version, spans): for each document with later repeats, their windows' first and last lines, counted from 0."""
     keyed = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    places = scratch.keep(keyed.mapInArrow(_positions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())))
+    places = scratch.keep(keyed.mapInArrow(_positions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())), texts=True)
     shared = scratch.keep(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
     extended = scratch.keep(places.join(shared, "fp", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*"))
     scratch.drop(places, shared)
@@ -116,7 +116,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     returned as it is and cuts nothing; a null text stays null with no lines.
     Columns named like the added ones are replaced. Ids may be of any type that has an order.
     """
-    small_batches(docs.sparkSession)
     scratch, sealed = Scratch(docs.sparkSession, "lines"), Sealed(docs, *OWN)
     key, text = F.col(sealed[id_col]), F.col(sealed[text_col])
     found = repeats(sealed.rows, scratch, sealed[id_col], sealed[text_col], min_words)

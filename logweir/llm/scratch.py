@@ -11,6 +11,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,9 +50,10 @@ class Scratch:
         writer.parquet(path)
         return path
 
-    def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        """df, computed now, and read from its table from here on."""
-        path = self.write(df, *partition_by)
+    def keep(self, df: DataFrame, *partition_by: str, texts: bool = False) -> DataFrame:
+        """df, computed now, and read from its table from here on. texts: its rows go through Python as whole documents, in small batches."""
+        with small_batches(self.spark) if texts else nullcontext():
+            path = self.write(df, *partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -104,11 +107,24 @@ class Sealed:
         return [changed.get(c, F.col(c)).alias(self.names[int(c[2:])]) for c in self.kept]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Holds this session's Arrow batches to so many rows: a row here is a whole document, and a batch of them lies in the JVM and in Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Holds Arrow batches to so many rows for the jobs run inside: a row is a whole document, and a batch of them lies in the JVM and in Python at once."""
+    before = spark.conf.get(BATCH)
+    hold_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def hold_batches(spark: SparkSession, rows: int = 512) -> None:
+    """The same for a result that is computed later: the session's setting is lowered, if it is above, and stays so."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
 
 
 def trim() -> None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components, roots
-from .scratch import Scratch, Sealed, small_batches
+from .scratch import Scratch, Sealed
 
 MAX_BITS = 3
 FAN_OUT = 8
@@ -231,14 +231,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the same answer. Columns named like the added ones are replaced. near.near_components
     links by similarity instead, over the same index.
     """
-    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     sealed = Sealed(docs, *OWN)
     key, text = sealed[id_col], sealed[text_col]
     sealed.kept = [c for c in sealed.kept if c != text]
     inner = [*sealed.kept, *({key} - set(sealed.kept))]
     schema = T.StructType([*(sealed.rows.schema[c] for c in inner), T.StructField("code", T.LongType())])
-    coded = scratch.keep(sealed.rows.select(*inner, text).mapInArrow(_fingerprints(width), schema))
+    coded = scratch.keep(sealed.rows.select(*inner, text).mapInArrow(_fingerprints(width), schema), texts=True)
     codes = scratch.keep(coded.groupBy("code").agg(F.min(key).alias("least")))
     routed = _routed(codes, most, scratch)
     parts = codes.count() * (most + 1) // ROUTES + docs.sparkSession.sparkContext.defaultParallelism

@@ -1,8 +1,12 @@
 """Language identification on held-out invented text, and odd rows."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logweir.llm import language_id
@@ -63,3 +67,76 @@ def test_rare_language_is_learnt_at_any_size(spark):
     rows = [(i, text(rng, "aa", 4), "aa") for i in range(4000)] + [(10_000 + i, text(rng, "bb", 4), "bb") for i in range(15)] + [(None, text(rng, "cc", 4), "cc") for _ in range(200)] + [(20_000 + i, text(rng, "cc", 4), "dd") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
     assert language_id.train(docs, rows=100)[0] == ["aa", "bb", "cc"]
+
+
+def plain_model(docs):
+    """Languages and the log probability of each hashed trigram, by dictionaries."""
+    counts = {}
+    for text_, lang in docs:
+        counts.setdefault(lang, Counter()).update(plain_grams(text_))
+    return {lang: [math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 32768)) for b in range(32768)] for lang, c in sorted(counts.items())}
+
+
+def plain_grams(text_):
+    letters = re.sub(r"[\W\d_]+", " ", text_.lower()).strip()
+    b = f" {letters} ".encode() if letters else b""
+    return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 17 for i in range(len(b) - 2)]
+
+
+def plain_posteriors(rows, model):
+    """rows (id, text, host, domain, suffix, declared) to their posteriors by language, und last."""
+    names = [*model, "und"]
+    soft = lambda logs: [math.exp(x - max(logs)) / sum(math.exp(y - max(logs)) for y in logs) for x in logs]
+    ll, share = [], []
+    for _, t, *_ in rows:
+        grams = plain_grams(t or "")
+        weight = min(1.0, 200 / len(grams)) if grams else 0.0
+        logs = [weight * sum(model[n][g] if n in model else -math.log(32768) for g in grams) for n in names]
+        ll.append(logs)
+        share.append(soft(logs))
+    out = []
+    for i, row in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i]  # each row's own share is left out
+
+        def near(place, k):
+            same = [j for j in others if rows[j][place] == row[place]]
+            return sum(share[j][k] for j in same), len(same)
+
+        logs = []
+        for k in range(len(names)):
+            rest = sum(share[j][k] for j in others)
+            everywhere = (rest + 1) / (len(others) + len(names))
+            (in_host, n_host), (in_domain, n_domain) = near(2, k), near(3, k)
+            domain = (in_domain + 20 * everywhere) / (n_domain + 20)
+            prior = (in_host + 20 * domain) / (n_host + 20)
+            said = (near(5, k)[0] + 1) / (rest + len({r[5] for r in rows}))
+            suffix = (near(4, k)[0] + 1) / (rest + len({r[4] for r in rows}))
+            logs.append(ll[i][k] + math.log(prior) + math.log(said) + math.log(suffix))
+        out.append(dict(zip(names, soft(logs))))
+    return out
+
+
+def test_fusion_equals_the_plain_version(spark):
+    rng = random.Random(21)
+    docs = [(text(rng, lang, 8), lang) for lang in SYLLABLES for _ in range(15)]
+    model = language_id.train(spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string"))
+    told = plain_model(docs)
+    assert model[0] == list(told) and np.allclose(model[1], list(told.values()))
+    rows = []
+    for i in range(60):
+        lang, host = rng.choice(list(SYLLABLES)), rng.choice(["a", "b"])
+        rows.append((i, text(rng, rng.choice((lang, "aa")), rng.choice((0, 1, 1, 2, 5))), f"{host}.{lang}.example", f"{lang}.example", "example", rng.choice((lang, "", "bb"))))
+    frame = spark.createDataFrame([(i, t, f"http://{h}/", d) for i, t, h, _, _, d in rows], "id long, html string, url string, d string").repartition(3)
+    got = {r.id: r for r in language_id.identify(frame, model, ["id"], "html", url=F.col("url"), declared=F.col("d")).collect()}
+    for row, want in zip(rows, plain_posteriors(rows, told)):
+        r = got[row[0]]
+        best = max(want, key=want.get)
+        assert r.posterior == pytest.approx(want[best], abs=1e-9)
+        assert r.language == (best if plain_grams(row[1]) else "und")
+
+
+def test_rare_languages_stay_unjudged(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "aa"), "aa", "h") for i in range(30)] + [(100, "ЖЩЪ ФЫЭЮ ЦХЖ " * 9, "zz", "h"), (101, "12 !!", "zz", "h"), (102, "ЖЩЪ ФЫЭЮ ЦХЖ " * 9, None, "h"), (103, None, "zz", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in language_id.keep_known(docs).collect()) == [*range(30), 100]

@@ -8,7 +8,7 @@ import pytest
 
 from logweir.llm import bpe, mixing
 from tests.llm.test_line_dedup import slow as slow_lines
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near import slow_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"aa": "ka lo mi tu ne so ra".split(), "bb": "sch ung eit ver ch ein".split()}
@@ -47,7 +47,7 @@ def test_stages_against_plain_versions(spark, folder):
     assert {r.doc_id: r.text for r in cut.collect()} == {i: t for i, t in want.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in cut.collect())
     rows = sorted((r.doc_id, r.text) for r in cut.collect())
-    label = slow_components([slow_fingerprint(t) for _, t in rows])
+    label = slow_components([t for _, t in rows])
     one = corpus_pipeline.drop_near_duplicates(spark, cut, folder)
     assert sorted(r.doc_id for r in one.collect()) == [rows[k][0] for k in sorted(set(label))]
     mixed = corpus_pipeline.mix_sources(spark, one, folder)
@@ -65,6 +65,22 @@ def test_stages_against_plain_versions(spark, folder):
         assert codec.decode(r.ids).decode() == texts[r.doc_id]
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids, a very long text, columns with odd names and of the stages' own."""
+    rng = random.Random(2)
+    make = lambda n: " ".join("".join(rng.choice(SYLLABLES["aa"]) for _ in range(3)) for _ in range(n))
+    once = make(80)
+    texts = [(i, make(30)) for i in range(12)] + [(None, make(30)), (None, make(30)), (20, once), (20, once), (21, once), (22, make(30)), (22, make(30)), (23, make(30_000))]
+    frame = spark.createDataFrame([(i, t, "aa", rng.choice(["s", None]), len(t)) for i, t in texts], SCHEMA).selectExpr("*", "1 as `meta.x`", "2 as row", "3 as copies", "4 as n_removed", "5 as language")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, frame = frame, stage(spark, frame, "")
+        assert frame.columns == before.columns
+        if stage is corpus_pipeline.drop_near_duplicates:
+            left = [(r.doc_id, r.text) for r in frame.collect()]
+            assert len(left) == 18 and [i for i, t in left if t == once] == [20]
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count()
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
