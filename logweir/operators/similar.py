@@ -40,16 +40,32 @@ def transform(counted: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.join(norms, "id").select("id", "term", "df", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, of vectors with cosine least or more. A vector is looked up by its rarest terms only: the rest, once it is shorter than least, can't make a pair by itself."""
+def cosines(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs whose vectors have a cosine of least or more."""
+    x, y = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    dots = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return dots.where(F.col("cosine") >= least).select("a", "b")
+
+
+def near_roots(vectors: DataFrame, least: float) -> DataFrame:
+    """(id, root): the smallest id reachable by links of cosine least or more.
+
+    A vector is looked up by its rarest terms only: the rest, once it is shorter than least, can't
+    make a pair by itself. The vectors of a term are compared with the first of them; pairs of others only where these links
+    leave them in different components, so a dense cluster costs as much as it has vectors.
+    """
+    nodes = vectors.select("id").distinct()
     rarest = W.partitionBy("id").orderBy(F.col("df").desc(), F.col("term"))  # the terms of one line
     rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(rarest))
-    keys = vectors.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9).select("id", "term")
-    a, b = keys.select(F.col("id").alias("a"), "term"), keys.select(F.col("id").alias("b"), "term")
-    candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
-    x, y = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dots = candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.where(F.col("cosine") >= least)
+    keys = cut(vectors.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9).select("id", "term"))
+    first = keys.groupBy("term").agg(F.min("id").alias("a"))
+    star = cut(cosines(keys.join(first, "term").where("id > a").select("a", F.col("id").alias("b")).distinct(), vectors, least))
+    placed = cut(keys.join(connect(nodes, star), "id"))
+    split = placed.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("term")
+    open_ = placed.join(split, "term")
+    x, y = (open_.select("term", F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    others = x.join(y, "term").where("root_a < root_b").select("a", "b").distinct()
+    return connect(nodes, star.unionByName(cosines(others, vectors, least)))
 
 
 def connect(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -80,8 +96,7 @@ def cluster(lines: DataFrame, id_col: str = "id", line_col: str = "line", radius
     idf = counted.join(sizes, "id").groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") <= MAX_SHARE * n)
     idf = cut(idf.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     vectors = cut(transform(counted, idf))
-    pairs = cut(near_pairs(vectors, 1.0 - radius).select("a", "b"))
-    roots = connect(vectors.select("id").distinct(), pairs)
+    roots = near_roots(vectors, 1.0 - radius)
     crowd = roots.join(sizes, "id").groupBy("root").agg(F.sum("n").alias("n")).where("n > 1")
     labelled = crowd.select("root", (F.row_number().over(W.orderBy("root")) - 1).alias("label"))  # one row a cluster
     by_rep = roots.join(labelled, "root").select(F.col("id").alias("rep"), "label")

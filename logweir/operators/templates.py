@@ -51,14 +51,15 @@ def build_position_map(template: str, names: list[str]) -> dict[int, str]:
 def match_templates(lines: DataFrame, templates: DataFrame, id_col: str = "id", line_col: str = "line") -> DataFrame:
     """id, signature, template and position_map of the best template of each line that has one: with most exact tokens, then the one that is exact and short earliest.
 
-    A <*> takes one to five tokens. Lines meet templates by their first token or by <*>, and only then by pattern.
+    A <*> takes one to five tokens. Lines meet templates by their first token or by <*>, then by their number of tokens, and only then by pattern. An id names one line.
+    The lines' side of the join may be split where many begin alike or templates begin with <*>.
     """
     t = templates.select("signature", "template", "position_map", tokenise(F.col("template")).alias("t"))
     quoted = F.transform("t", lambda x: F.when(x == ANY, F.lit(rf"\S+(?: \S+){{0,{SPAN - 1}}}")).otherwise(F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))))
-    t = t.select("signature", "template", "position_map", F.get("t", F.lit(0)).alias("head"), F.concat(F.lit("^"), F.array_join(quoted, " "), F.lit("$")).alias("pattern"), F.size(F.filter("t", lambda x: x != ANY)).alias("exact"), F.transform("t", lambda x: F.when(x == ANY, "￿").otherwise("")).alias("shape"))
+    t = t.select("signature", "template", "position_map", F.get("t", F.lit(0)).alias("head"), F.concat(F.lit("^"), F.array_join(quoted, " "), F.lit("$")).alias("pattern"), F.size("t").alias("least"), F.size(F.filter("t", lambda x: x != ANY)).alias("exact"), F.transform("t", lambda x: F.when(x == ANY, "￿").otherwise("")).alias("shape"))
     told = lines.select(F.col(id_col).alias("id"), tokenise(F.col(line_col)).alias("l")).where(F.size("l") > 0)
-    told = told.select("id", F.array_join("l", " ").alias("joined"), F.explode(F.array(F.get("l", F.lit(0)), F.lit(ANY))).alias("head"))
-    met = told.join(t, "head").where(F.expr("joined rlike pattern"))
+    told = told.select("id", F.size("l").alias("tokens"), F.array_join("l", " ").alias("joined"), F.explode(F.array(F.get("l", F.lit(0)), F.lit(ANY))).alias("head"))
+    met = told.join(t, "head").where(F.col("tokens").between(F.col("least"), F.col("exact") + SPAN * (F.col("least") - F.col("exact")))).where(F.expr("joined rlike pattern"))
     best = met.groupBy("id").agg(F.min_by(F.struct("signature", "template", "position_map"), F.struct((-F.col("exact")).alias("e"), "shape", "template")).alias("m"))
     return best.select(F.col("id").alias(id_col), "m.*")
 
