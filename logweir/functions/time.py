@@ -6,7 +6,7 @@ from datetime import timezone
 
 import pandas as pd
 from dateutil import parser as free_parser
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from .text import let, strip
 
@@ -83,6 +83,14 @@ DAY_MON_YEAR = rf"^(\d{{1,2}})-{_MONTH}-(\d{{4}})\s+{_CLOCK}$"
 ANY_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 
 
+def need_utc(spark: SparkSession) -> None:
+    """ValueError unless the session's time zone is UTC: texts without a zone would be read in another one."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rules = spark.sparkContext._jvm.java.time.ZoneId.of(zone).getRules()
+    if not rules.isFixedOffset() or rules.getOffset(spark.sparkContext._jvm.java.time.Instant.EPOCH).getTotalSeconds():
+        raise ValueError(f"spark.sql.session.timeZone has to be UTC, not {zone}")
+
+
 def isoformat(instant: Column) -> Column:
     """With +00:00, and with microseconds only where there are any."""
     whole = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")

@@ -333,3 +333,9 @@ ORACLES["cluster_representatives"] = """
 with l as (select p_partkey as id, (p_size % 7 - 1)::int as label, list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type || ' ' || p_brand || ' the 12', '[=:_./\\[\\]{}@#]'))) as marks from part)
 select min(id) as id, label from l where label >= 0 group by label, marks union all select id, label from l where label < 0
 """
+
+ORACLES["fn_shown"] = r"""
+select p_partkey, regexp_replace(format('{:,.2f}', p_retailprice * 1000), '\.?0+$', '') as number, case when p_size > 3 then regexp_replace(format('{:.1f}', p_size / 1000.0 * 100), '\.?0+$', '') || '%' else '--' end as percent,
+  case when p_size % 5 = 0 then '(blank)' when len(repeat(p_brand, p_size % 5)) > 28 then substr(repeat(p_brand, p_size % 5), 1, 27) || '...' else repeat(p_brand, p_size % 5) end as label from part
+"""
+ORACLES["search_first"] = "select least(1000, count(*)) as shown, count(*) as found from part where p_brand ilike '%brand%' or p_name ilike '%brand%' or p_type ilike '%brand%'"

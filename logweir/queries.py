@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions import level as lv, numeric as nm, signature as sg, text as tx, time as tm, transforms as tr, units as un
+from .functions import level as lv, numeric as nm, show as sh, signature as sg, text as tx, time as tm, transforms as tr, units as un
 from .operators import analyze, anomaly, detect, similar, staging, templates
 from .plans import batch, semantic
 from .plans.provider import TextModel
@@ -209,6 +209,12 @@ def fn_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def fn_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", sh.number_text(F.col("p_retailprice") * 1000).alias("number"), sh.percent_text(F.when(F.col("p_size") > 3, F.col("p_size") / 1000)).alias("percent"), sh.label_text(F.when(F.col("p_size") % 5 > 0, F.repeat("p_brand", F.col("p_size") % 5))).alias("label"))
+
+
 @query
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
@@ -296,6 +302,12 @@ def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.search(table(spark, sf_dir, "part"), "brand#1")[1]
 
 
+@query
+def search_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, every = analyze.search(table(spark, sf_dir, "part"), "brand", 5000)
+    return first.agg(F.count("*").alias("shown")).crossJoin(every.agg(F.count("*").alias("found")))  # a row each
+
+
 @query
 def blob_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.level import LEVELS, SYSLOG, extract_level, level_name
 from ..functions.numeric import coerce_value, remove_units, try_numeric
 from ..functions.text import clean_text, normalize_whitespace, strip
-from ..functions.time import extract_timestamp, parse_timestamp, to_iso8601
+from ..functions.time import extract_timestamp, need_utc, parse_timestamp, to_iso8601
 
 # Key names by role, in order of priority.
 TIME = ("timestamp", "time", "datetime", "date", "ts", "@timestamp", "log_time")
@@ -134,6 +134,7 @@ def finish(records: DataFrame, normalise: bool, reference_year: int | None = Non
 
 def assemble(parsed: DataFrame, fmt: str, reference_year: int | None = None) -> DataFrame:
     """What a parser of one format made, as log records."""
+    need_utc(parsed.sparkSession)
     roles = ROLES.get(fmt) or (None if "timestamp_raw" in parsed.columns else ROLES["key_value"])  # a caller's parser may leave the roles to the names
     if roles:
         told = assign_roles(parsed, roles, reference_year)
