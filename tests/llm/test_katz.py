@@ -86,7 +86,7 @@ def corpus(seed, n=150):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choice(words[: rng.choice((3, 10, 60))]) for _ in range(rng.randint(0, 60)))) for i in range(n)]
-    return docs + [(9001, None), (9002, ""), (9003, "never\x0bSEEN Never\x1cseen"), (None, "w1 w2"), (7, docs[7][1]), (9004, "hot cold " * 300), (9005, "hot odd hot w1")]
+    return docs + [(9001, None), (9002, ""), (9003, "never\x0bSEEN Never\x1cseen"), (None, "w1 w2"), (7, docs[7][1]), (9004, "hot cold " * 300), (9005, "hot odd hot w1"), (9006, "long " * 30_000)]
 
 
 @pytest.mark.parametrize("order,part", [(2, 1 << 20), (2, 40), (3, 40), (1, 1 << 20), (4, 1 << 20)])

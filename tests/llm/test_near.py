@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from logweir.llm import near, simhash
+from logweir.llm.components import roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,9 +40,10 @@ def family(rng, n_words, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("common", [5, 10**6])
-def test_components(spark, monkeypatch, common):
+@pytest.mark.parametrize("common,block", [(5, 4096), (10**6, 4)])
+def test_components(spark, monkeypatch, common, block):
     monkeypatch.setattr(near, "COMMON", common)
+    monkeypatch.setattr(near, "BLOCK", block)  # of four: groups become cells
     rng = random.Random(common)
     texts = [None, "", " ", "one", "One", "a b c d e", "a b c d e f"]
     for n, copies, edits in [(100, 12, 6), (60, 9, 4), (400, 6, 20), (30, 8, 2), (12, 5, 1)]:
@@ -79,3 +82,39 @@ def test_stage_decides_by_row(spark):
     assert sorted((i for i, _ in kept), key=str) == [1, 2, 3, 4, None, None, None]
     assert {t for i, t in kept if i is None} == {b[0], c[0], "alone and twice here"}
     assert (3, e[0]) in kept
+
+
+def test_index_of_wide_codes_equals_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    codes = base[rng.integers(0, 40, 400)]
+    for _ in range(12):
+        at = rng.integers(0, 256, 400)
+        codes[np.arange(400), at // 64] ^= np.uint64(1) << (at % 64).astype(np.uint64)
+    group = rng.integers(0, 3, 400)
+    index = simhash.GrayIndex(group, codes)
+    differ = np.bitwise_count(index.codes[:, None] ^ index.codes[None]).sum(axis=2)
+    want = {(a, b) for a, b in zip(*np.nonzero((differ <= 20) & (index.group[:, None] == index.group[None]))) if a > b}
+    every = lambda a, b: np.ones(len(a), bool)
+    got = [(int(x), int(y)) for a, b in index.pairs(20, np.arange(400), every) for x, y in zip(a, b)]
+    assert len(got) == len(set(got)) and {(max(p), min(p)) for p in got} == want
+    tree = [(int(x), int(y)) for a, b in index.pairs(20, None, every) for x, y in zip(a, b)]
+    assert {(max(p), min(p)) for p in tree} <= want
+    edges = np.array(list(want))
+    label = roots(edges[:, 0], edges[:, 1], 400)
+    few = np.array(tree)
+    assert np.array_equal(roots(few[:, 0], few[:, 1], 400), label) and len(tree) == 400 - len(set(label))
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = random.Random(4)
+    for n, edits in [(9, 1), (30, 1), (200, 8), (3000, 120)]:
+        a, *others = (near.shingles(t) for t in family(rng, n, 12, edits))
+        for b in others:
+            same = len(np.intersect1d(a, b))
+            if same >= 0.8 * (len(a) + len(b) - same):
+                x, y = (np.frombuffer(near.sketch(s), np.uint64) for s in (a, b))
+                assert np.bitwise_count(x[:4] ^ y[:4]).sum() <= near.radius(0.8)
+                assert np.bitwise_count(x[4:] ^ y[4:]).sum() <= (len(a) + len(b)) / 9 + 1e-6
+                none = np.zeros(0, np.uint64)
+                assert len(np.intersect1d(near.keys(a, none, none, 0.8), near.keys(b, none, none, 0.8)))

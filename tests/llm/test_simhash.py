@@ -50,7 +50,7 @@ def test_gray_index(seed):
     codes = np.array(sorted(codes), np.uint64)
     index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes)
     got = index.linked()
-    want = slow_components([int(c) for c in index.codes])
+    want = slow_components([int(c) for c in index.codes[:, 0]])
     assert list(got) == want
     assert len(np.unique(simhash.gray_rank(codes))) == len(codes)
     ordered = [int(i) ^ (int(i) >> 1) for i in range(64)]
@@ -76,7 +76,9 @@ def test_components(spark):
     assert components(edges.where("false"), Scratch(spark, "t")).count() == 0
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 1])
+def test_documents(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)  # of one: every shared route is split further
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(400)]
     rows = []
