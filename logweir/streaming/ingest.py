@@ -42,3 +42,14 @@ def windowed_counts(events: DataFrame, time_col: str, key_col: str, length: str
     """Counts by tumbling window and key, with late rows up to the watermark; works on streams and tables."""
     timed = events.withWatermark(time_col, late) if events.isStreaming else events
     return timed.groupBy(F.window(time_col, length).alias("w"), F.col(key_col).alias("key")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "key", "n")
+
+
+def flush(query: StreamingQuery) -> None:
+    """Waits until all that is there is processed."""
+    query.processAllAvailable()
+
+
+def health(query: StreamingQuery) -> dict:
+    """Whether the stream runs, its last batch and rows, and what stopped it."""
+    last, failed = query.lastProgress, query.exception()
+    return {"active": query.isActive, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else 0, "error": str(failed) if failed else None}

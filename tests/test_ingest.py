@@ -167,3 +167,17 @@ def test_report_and_means(spark):
     told = {r.id: r.anomaly_score for r in anomaly.score_records(rows, forest).collect()}
     want = forest.score(np.array([[0.5, 0, 0, 9.0], [1.5, 0, 0, 11.0]]))
     assert [told[1], told[2]] == pytest.approx(list(want)) and told[3] == 0.0
+
+
+def test_row_stores(spark):
+    rows = spark.createDataFrame([("1", {"a": "b"}, ["x"], 0.0), ("2", None, [], 0.0)], "record_id string, extra map<string,string>, flags array<string>, anomaly_score double")
+    flat = sinks.serialised(rows, F.lit("now")).orderBy("record_id").collect()
+    assert [(r.extra, r.flags, r.ingested_at) for r in flat] == [('{"a":"b"}', '["x"]', "now"), (None, "[]", "now")]
+    scored = sinks.set_scores(rows, spark.createDataFrame([("2", -0.7)], "record_id string, anomaly_score double"))
+    assert {r.record_id: r.anomaly_score for r in scored.collect()} == {"1": 0.0, "2": -0.7}
+
+
+def test_folder_is_listed_in_order(spark, tmp_path):
+    for name, text in (("b.json", '{"a": 1, "b": "x y"}'), ("a.csv", "level,msg\nINFO,x\nWARN,y")):
+        (tmp_path / name).write_text(text)
+    assert [(r.source.rsplit("/", 1)[1], r.format) for r in readers.list_files(spark, str(tmp_path)).collect()] == [("a.csv", "csv"), ("b.json", "json")]

@@ -135,7 +135,8 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "1.log").write_text("TOOL=T1 temp=5C\n<34>2024-04-15T12:03:20Z h p[1]: ALARM E334\n")
     q = stream.start(store, stream.read_lines(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/cp", available_now=True)
     q.awaitTermination(240)
-    assert q.exception() is None
+    told = stream.health(q)
+    assert not told["active"] and told["error"] is None and told["batch"] is not None
     rows = store.table("parsed_logs", PARSED_LOGS).collect()
     assert len(rows) == 2 and {r.tool_id for r in rows} == {"T1", None} and {r.temperature for r in rows} == {5.0, None}
 
