@@ -276,10 +276,12 @@ select distinct substr(sha256('user <NUM> did ' || event_type), 1, 16) as signat
 ORACLES["event_windows"] = "select date_trunc('hour', ts) as start, event_type as key, count(*) as n from events group by 1, 2"
 
 #: What the votes are worth: the head of a long XML file has no closing tag, and single odd bytes don't make a file binary.
-_DETECTED = {"json": "json", "xml": "key_value", "yaml": "yaml", "binary": "plain_text", "syslog": "plain_text", "logfmt": "logfmt", "csv": "csv", "tsv": "tsv", "key_value": "logfmt", "delimiter": "yaml", "plain_text": "yaml"}
+_DETECTED = {"json": "json", "yaml": "yaml", "binary": "plain_text", "syslog": "plain_text", "logfmt": "logfmt", "csv": "csv", "tsv": "tsv", "key_value": "logfmt", "delimiter": "yaml", "plain_text": "yaml"}
 ORACLES["detect_formats"] = f"""
-with {FACTS}
+with {FACTS},
+x as (select event_id % (select n from files) as file, 10 + sum(len({_LINES['xml']}) + 1) as size from f group by 1)
 select unnest({list(_DETECTED)}) as rendered, unnest({list(_DETECTED.values())}) as detected, (select n from files)::bigint as n
+union all select 'xml', case when size <= 16384 then 'xml' else 'key_value' end, count(*) from x group by 2
 """
 
 #: By format: records a row, and whether its time and lot are read back. A delimiter row alone is a header; the syslog rows have no version, so they are faulty lines; XML attributes are no timestamp.
