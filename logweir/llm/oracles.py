@@ -89,4 +89,35 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op4_url_filter": OP4, "op5_hnsw": OP5, "op7_mixing": OP7, "op10_exact_dedup": OP10}
+
+
+def _op13(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds unrolled: c0, then a1 (nearest entry and distance in one number), c1, a2 and so on."""
+    steps = [
+        f"""with v as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where embedding is not null and list_sum(list_transform(embedding, lambda x: case when x is null or not isfinite(x) then 1 else 0 end)) = 0),
+p as materialized (select vec_id, label, k, e[k * (len(e) // {parts}) + 1 : (k + 1) * (len(e) // {parts})] as x from v, range({parts}) t(k)),
+c0 as materialized (select k, n - 1 as entry, x as c from (select *, row_number() over (partition by k order by vec_id) as n from p) where n <= {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} as materialized (select vec_id, label, p.k, any_value(x) as x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::bigint * {entries} + entry) as best
+  from p join c{r} on p.k = c{r}.k group by 1, 2, 3)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} as (select k, best % {entries} as entry, count(*) as n, j, sum(x[j]::bigint)::bigint as s from a{r}, range(1, 1 + (select len(x) from p limit 1)) t(j) group by 1, 2, 4),
+n{r} as (select k, entry, list(((s - ((s % n) + n) % n) // n)::double order by j) as c from m{r} group by 1, 2),
+c{r + 1} as materialized (select k, entry, coalesce(n{r}.c, c{r}.c) as c from c{r} left join n{r} using (k, entry))"""
+            )
+    last = f"a{rounds}"
+    return (
+        ", ".join(steps)
+        + f""",
+w as (select vec_id, any_value(label) as label, string_agg(lpad(lower(to_hex(best % {entries})), 2, '0'), '' order by k) as code, sum(best // {entries})::bigint as error from {last} group by vec_id),
+h as (select sha256(string_agg(list_aggregate(list_transform(c, lambda x: x::bigint), 'string_agg', ','), ',' order by k, entry)) as codebooks_sha256 from c{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from w, h"""
+    )
+
+
+ORACLES = {"op1_line_dedup": OP1, "op4_url_filter": OP4, "op5_hnsw": OP5, "op7_mixing": OP7, "op10_exact_dedup": OP10, "op13_vector_codes": _op13()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter
+from . import bpe, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter, vector_codes
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +71,15 @@ def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link_quotes(_table(spark, sf_dir, "conversations")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    books = coded.books.orderBy("part", "entry").collect()  # 256 entries of the vector's width
+    sha = hashlib.sha256(",".join(str(x) for r in books for x in r.vector).encode()).hexdigest()
+    rows = Scratch(spark, "op13").keep(coded.rows.select("vec_id", "label", "code", "error"))
+    by_label = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    told = rows.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return told.select("vec_id", code.alias("code"), "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup, op13_vector_codes)}
