@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter, vector_codes
+from . import bpe, conversation_repair, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter, vector_codes
 from .scratch import Scratch
 
 
@@ -71,6 +71,26 @@ def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link_quotes(_table(spark, sf_dir, "conversations")).drop("text")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations as op12 mends them: crc32 of ``conv_id:turn``, modulo 20, drops a row (0), empties it (1), takes its closing marks (2), repeats it (3) or makes it the user's (4). Nulls are one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat_ws(":", said("conv_id"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    rows = turns.withColumn("fate", fate).where("fate <> 0")
+    return rows.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1)))).drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    told = conversation_repair.repair(damaged(turns))
+    all_ids = turns.select("conv_id").distinct()
+    reports = told.reports.withColumnRenamed("conv_id", "of")
+    shas = conversation_repair.digests(told.turns).withColumnRenamed("conv_id", "whose")
+    found = all_ids.join(reports, F.col("conv_id").eqNullSafe(F.col("of")), "left").join(shas, F.col("conv_id").eqNullSafe(F.col("whose")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     books = coded.books.orderBy("part", "entry").collect()  # 256 entries of the vector's width
@@ -82,4 +102,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("vec_id", code.alias("code"), "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup, op12_conversation_repair, op13_vector_codes)}
