@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversation_repair, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, quotation, simhash, url_filter, vector_codes
+from . import bpe, conversation_repair, exact_dedup, hnsw, katz, language_id, line_dedup, mixing, personal_data, quotation, simhash, url_filter, vector_codes
 from .scratch import Scratch
 
 
@@ -71,6 +71,16 @@ def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.link_quotes(_table(spark, sf_dir, "conversations")).drop("text")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = personal_data.find(docs, personal_data.train(docs), keep_text=False)
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return told.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """conversations as op12 mends them: crc32 of ``conv_id:turn``, modulo 20, drops a row (0), empties it (1), takes its closing marks (2), repeats it (3) or makes it the user's (4). Nulls are one space."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -102,4 +112,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("vec_id", code.alias("code"), "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup, op12_conversation_repair, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_language_id, op4_url_filter, op5_hnsw, op6_simhash, op7_mixing, op8_quotation, op9_byte_bpe, op10_exact_dedup, op11_personal_data, op12_conversation_repair, op13_vector_codes)}
