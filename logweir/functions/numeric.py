@@ -8,11 +8,12 @@ from .text import let, strip
 
 # The units that are taken off values, and what reads as a number.
 UNIT = (
-    r"(?i)(-?\d+(?:\.\d+)?)\s*(?:°)?(?:[KMGTPE]?[Bb](?:ytes?)?|[KMGTPE]?[Bb]ps?|[kmµunp]?(?:s|ms|us|ns)|[km]?Hz|[KMGT]?Hz|[kmMG]?W"
+    r"(?i)(-?(?<!\d)\d++(?:\.\d++)?)\s*+(?:°)?(?:[KMGTPE]?[Bb](?:ytes?)?|[KMGTPE]?[Bb]ps?|[kmµunp]?(?:s|ms|us|ns)|[km]?Hz|[KMGT]?Hz|[kmMG]?W"
     r"|[mMkKuU]?[aAvV]|[°℃℉]?[CF]|rpm|dB|lx|Pa|psi|bar|%)\b"
 )
-WHOLE = r"^[+-]?\d+(?:_\d+)*$"
-REAL = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?|inf(?:inity)?|nan)$"
+_DIGITS = r"\d++(?:_\d++)*+"
+WHOLE = rf"^[+-]?{_DIGITS}$"
+REAL = rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?\d+)?|inf(?:inity)?|nan)$"
 
 
 def remove_units(text: Column) -> Column:

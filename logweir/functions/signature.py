@@ -13,10 +13,10 @@ MASKS = (
     (r"\b\d{10,13}\b", "<TIME>"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IP>"),
     (r"\b0[xX][0-9a-fA-F]+\b", "<HEX>"),
-    (r"[A-Za-z]:\\(?:[\w.\- ]+\\?)+", "<PATH>"),
-    (r"(?:^|(?<=\s))(?:/[\w.\-]+){2,}", "<PATH>"),
+    (r"[A-Za-z]:\\(?:[\w.\- ]++\\?+)++", "<PATH>"),
+    (r"(?:^|(?<=\s))(?:/[\w.\-]++){2,}+", "<PATH>"),
     (r"(?:^|(?<=\s))\.{1,2}/[\w./\-]+", "<PATH>"),
-    (r"-?\d+\.\d+(?:[eE][+-]?\d+)?", "<NUM>"),
+    (r"-?(?<!\d)\d++\.\d++(?:[eE][+-]?\d++)?", "<NUM>"),
     (r"-?\b\d+\b", "<NUM>"),
 )
 SEPARATORS = r"""[\s,;|=:"'()\[\]{}]+"""

@@ -11,8 +11,8 @@ from pyspark.sql import Column, functions as F
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-SPACE = r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-KEY_VALUE = r"""(?<![\w.\-/])([\w.\-/]++)\s*+[:=]\s*+(?:"([^"]*?)"|'([^']*?)'|(\S+))"""
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+KEY_VALUE = r"""(?<![\w.\-/])([\w.\-/]++)\s*+[:=]\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++))"""
 DELIMITERS = r"[|;,\t]+"
 QUOTED_TEXT = r""""[^"]*"|'[^']*'"""
 
@@ -29,7 +29,7 @@ def decode_bytes(content: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def split_lines(text: Column) -> Column:

@@ -110,7 +110,7 @@ def run_records(store: Store, raw: DataFrame, provider: MappingProvider | None =
     now = _now()
     rows = cut(rows.withColumn("ingested_at", F.lit(now)))
     rows = cut(read_free_times(rows))
-    made, signed = cut(made), cut(signed)
+    signed = cut(signed)
     forest = store.model()
     if forest is None and may_fit:
         forest = fit_forest(rows)

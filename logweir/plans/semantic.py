@@ -15,6 +15,7 @@ from ..functions.time import free_form, standardise_timestamp
 from ..functions.units import normalise_units
 from ..schema import CANONICAL, LOG_TYPES, MEASUREMENTS, PARSED_LOGS, SEVERITIES, VENDOR_NAMES
 from ..sources.sinks import add_hits, upsert
+from ..tables import cut
 
 BATCH = 20
 _MAPPED = "signature string, patterns map<string,string>, confidence double, map_flags array<string>"
@@ -236,9 +237,9 @@ def canonicalise(mapped: DataFrame, learned: dict[str, str] | None = None) -> Da
 
 
 def map_records(raw: DataFrame, registry: DataFrame, provider: MappingProvider | None = None, learned: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Canonical rows of raw, with the signed records and the new mappings behind them. A mapping is made once for each new signature."""
+    """Canonical rows of raw, with the signed records and the new mappings behind them. The provider is asked once for each new signature: its answers are written, and rows and registry read them from there."""
     signed = sign(raw)
-    made = new_mappings(signed, registry, provider or Bypass())
+    made = cut(new_mappings(signed, registry, provider or Bypass()))
     known = registry.where(F.size("regex_patterns") > 0).select("signature", F.col("regex_patterns").alias("patterns"), "confidence", F.array().cast(_NO_STRINGS).alias("map_flags"))
     joined = signed.join(known.unionByName(made), "signature", "left")
     told = joined.withColumn("x", extract("raw_line", "patterns"))

@@ -28,25 +28,94 @@ MEASUREMENTS = ("temperature", "pressure", "rf_power", "flow_rate", "voltage", "
 LOG_TYPES = ("alarm", "sensor", "process", "event", "unknown")
 SEVERITIES = ("critical", "warning", "info")
 
-# Vendor names of the canonical fields.
-SYNONYMS = {
-    "temperature": "temp temp_c temperature_c tmp temp_celsius t_celsius celsius deg_c",
-    "pressure": "pres pres_pa pressure_pa press pres_torr chamber_pressure p",
-    "rf_power": "rf rfpower rf_pwr power rf_watts",
-    "flow_rate": "flow gas_flow mfc_flow flowrate flow_sccm",
-    "voltage": "volt volts v bias_voltage dc_bias",
-    "current": "amp amps ampere i",
-    "alarm_code": "alarm fault error_code err fault_code",
-    "alarm_severity": "severity level alarm_level",
-    "timestamp": "ts datetime time date_time log_time event_time created_at",
-    "tool_id": "tool toolid machine machine_id equipment equip_id tool_name",
-    "wafer_id": "wafer wfr wafer_num wfr_id",
-    "lot_id": "lot lot_number batch batch_id",
-    "chamber_id": "chamber chm chamber_num ch",
-    "process_step": "step proc_step step_name process_step",
-    "recipe_name": "recipe rcp process_recipe rcp_name",
-    "log_type": "type log_type category",
-    "status": "state tool_state op_status",
-    "event_description": "msg message description desc event detail",
+# Vendor names and the canonical fields that they stand for.
+VENDOR_NAMES = {
+    "temp": "temperature",
+    "temp_c": "temperature",
+    "temperature_c": "temperature",
+    "tmp": "temperature",
+    "temp_celsius": "temperature",
+    "t_celsius": "temperature",
+    "celsius": "temperature",
+    "deg_c": "temperature",
+    "pres": "pressure",
+    "pres_pa": "pressure",
+    "pressure_pa": "pressure",
+    "press": "pressure",
+    "pres_torr": "pressure",
+    "chamber_pressure": "pressure",
+    "p": "pressure",
+    "rf": "rf_power",
+    "rfpower": "rf_power",
+    "rf_pwr": "rf_power",
+    "power": "rf_power",
+    "rf_watts": "rf_power",
+    "flow": "flow_rate",
+    "gas_flow": "flow_rate",
+    "mfc_flow": "flow_rate",
+    "flowrate": "flow_rate",
+    "flow_sccm": "flow_rate",
+    "volt": "voltage",
+    "volts": "voltage",
+    "v": "voltage",
+    "bias_voltage": "voltage",
+    "dc_bias": "voltage",
+    "amp": "current",
+    "amps": "current",
+    "ampere": "current",
+    "i": "current",
+    "alarm": "alarm_code",
+    "fault": "alarm_code",
+    "error_code": "alarm_code",
+    "err": "alarm_code",
+    "fault_code": "alarm_code",
+    "severity": "alarm_severity",
+    "level": "alarm_severity",
+    "alarm_level": "alarm_severity",
+    "ts": "timestamp",
+    "datetime": "timestamp",
+    "time": "timestamp",
+    "date_time": "timestamp",
+    "log_time": "timestamp",
+    "event_time": "timestamp",
+    "created_at": "timestamp",
+    "tool": "tool_id",
+    "toolid": "tool_id",
+    "machine": "tool_id",
+    "machine_id": "tool_id",
+    "equipment": "tool_id",
+    "equip_id": "tool_id",
+    "tool_name": "tool_id",
+    "wafer": "wafer_id",
+    "wfr": "wafer_id",
+    "wafer_num": "wafer_id",
+    "wfr_id": "wafer_id",
+    "lot": "lot_id",
+    "lot_number": "lot_id",
+    "batch": "lot_id",
+    "batch_id": "lot_id",
+    "chamber": "chamber_id",
+    "chm": "chamber_id",
+    "chamber_num": "chamber_id",
+    "ch": "chamber_id",
+    "step": "process_step",
+    "proc_step": "process_step",
+    "step_name": "process_step",
+    "process_step": "process_step",
+    "recipe": "recipe_name",
+    "rcp": "recipe_name",
+    "process_recipe": "recipe_name",
+    "rcp_name": "recipe_name",
+    "type": "log_type",
+    "log_type": "log_type",
+    "category": "log_type",
+    "state": "status",
+    "tool_state": "status",
+    "op_status": "status",
+    "msg": "event_description",
+    "message": "event_description",
+    "description": "event_description",
+    "desc": "event_description",
+    "event": "event_description",
+    "detail": "event_description",
 }
-VENDOR_NAMES = {vendor: name for name, vendors in SYNONYMS.items() for vendor in vendors.split()}

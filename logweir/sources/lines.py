@@ -13,14 +13,15 @@ _MONTHS = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 PLAIN_SYSLOG = rf"^{_MONTHS}\s+(\d{{1,2}})\s+(\d{{2}}:\d{{2}}:\d{{2}})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s+(.+)$"
 ACCESS = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]+)"\s+(\d{3})\s+(\S+)'
 RFC3164 = rf"^(?:<(\d{{1,3}})>)?{_MONTHS}\s+(\d{{1,2}})\s+(\d{{2}}:\d{{2}}:\d{{2}})\s+(\S+)\s+([^\s:]+?)(?:\[(\d+)\])?:\s*(.+)$"
-RFC5424 = r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:-|\[[^\]]*\](?:\[[^\]]*\])*))\s*(.*)$"
-_VALUE = r"""(?:"([^"\\]*(?:\\.[^"\\]*)*)"|'([^'\\]*(?:\\.[^'\\]*)*)'|([^\s,;]+))"""
+RFC5424 = r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(-|(?:\[[^\]]*+\])++)\s*+(.*)$"
+# A group that repeats gives nothing back ("++", "*+"): Java walks such a group in a loop, any other by calls within calls, which a long line turns into a stack overflow.
+_VALUE = r"""(?:"([^"\\]*+(?:\\.[^"\\]*+)*+)"|'([^'\\]*+(?:\\.[^'\\]*+)*+)'|([^\s,;]++))"""
 _KEY = r"(?<![\w.\-/@])([\w.\-/@]++)"  # from the start of a run of its characters, so time is linear in the line
 KEY_VALUE = _KEY + r"\s*+(?:=|:)\s*+" + _VALUE
 LOGFMT = _KEY + r"\s*+=\s*+" + _VALUE
 CANDIDATES = ("|", ";", ":", "\t", ",")
-WORD_CELL = r"^(?:\p{L}|[_-])*\p{L}(?:\p{L}|[_-])*$"
-NUMBER_CELL = r"^[.-]*\d[\d.-]*$"
+WORD_CELL = r"^(?=[_-]*+\p{L})[\p{L}_-]++$"
+NUMBER_CELL = r"^[.-]*+\d[\d.-]*+$"
 
 
 def line_fault(line: Column) -> Column:
@@ -177,7 +178,7 @@ def _tabled(files: DataFrame, delimiter: Column, head: Column, first_number: int
 def parse_delimiter(files: DataFrame, delimiter: str | None = None) -> DataFrame:
     found = F.lit(delimiter) if delimiter else detect_delimiter(F.col("lines"))
     lines = _tabled(files, found, delimiter_header_like(F.col("first")), 1)
-    lines = lines.withColumn("parts", F.transform(_cells(clean_text(F.col("raw")), F.col("delimiter")), lambda c: F.regexp_replace(F.regexp_replace(strip(c), '^"+|"+$', ""), "^'+|'+$", "")))
+    lines = lines.withColumn("parts", F.transform(_cells(clean_text(F.col("raw")), F.col("delimiter")), lambda c: F.trim(F.trim(strip(c), F.lit('"')), F.lit("'"))))
     n = F.size("parts")
     reason = F.when(F.col("headed") & (n != F.size("header")), F.concat(F.lit("column_mismatch: expected "), F.size("header").cast("string"), F.lit(", got "), n.cast("string"))).when(n < 2, "too_few_columns")
     names = F.coalesce("header", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
