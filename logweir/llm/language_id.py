@@ -32,7 +32,9 @@ UNKNOWN = "und"
 ACCEPT = 0.5
 OWN = ("language", "posterior", "accepted")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
+_CODE = re.compile(r"(?i)<(script|style)\b")
+_CODE_END = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_ENTITY = re.compile(r"&[#\w]+;")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -46,20 +48,42 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def plain(text: str, markup: bool) -> str:
-    return _MARKUP.sub(" ", text) if markup else text
-
-
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """The text without markup: scripts, styles, comments, tags and entities are a blank each. What isn't closed is looked for once, so a broken page takes linear time."""
+    if not markup:
+        return text
+    out, at, open_ = [], 0, set()
+    while (start := text.find("<", at)) >= 0:
+        end, code = -1, _CODE.match(text, start)
+        if code and (name := code[1].lower()) not in open_:
+            closed = _CODE_END[name].search(text, code.end())
+            end = closed.end() if closed else -1
+            if end < 0:
+                open_.add(name)
+        elif text.startswith("<!--", start) and "!" not in open_:
+            end = text.find("-->", start + 4) + 3
+            if end < 3:
+                open_.add("!")
+                end = -1
+        if end < 0:
+            end = text.find(">", start) + 1
+            if not end:
+                break
+        out += [text[at:start], " "]
+        at = end
+    return _ENTITY.sub(" ", "".join(out) + text[at:])
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", least: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of each bucket, fitted on the ``rows`` labelled documents of each language with the least hashes of their id and text.
 
-    Every language with LEAST_ROWS labelled rows in the whole table is learnt, however
+    Every language with ``least`` labelled rows in the whole table is learnt, however
     large the table. A bound on the hash, from the language's number of rows, leaves little
     more than the sample to be sorted, so no task gets more of the texts than that.
     """
     sealed = Sealed(docs)
     lang, text = F.col(sealed[lang_col]), F.col(sealed[text_col])
     labelled = sealed.rows.where(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), text.alias("text"), F.xxhash64(sealed[id_col], text).alias("h"))
-    sizes = labelled.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()  # one row a language
+    sizes = labelled.groupBy("lang").count().where(F.col("count") >= least).collect()  # one row a language
     bounds = [(r.lang, min(2**63 - 1, int(-(2**63) + min(1.0, 1.2 * rows / r["count"]) * (2**64 - 1)))) for r in sizes]
     bounds = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
     near = labelled.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound"))
@@ -71,7 +95,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows:
             total += np.bincount(trigrams(text), minlength=BUCKETS)
         return pd.DataFrame([[frame["lang"].iloc[0], len(frame), total.tobytes()]], columns=["lang", "n", "counts"])
 
-    found = sample.groupBy("lang").applyInPandas(count, "lang string, n long, counts binary").where(F.col("n") >= LEAST_ROWS).collect()
+    found = sample.groupBy("lang").applyInPandas(count, "lang string, n long, counts binary").where(F.col("n") >= least).collect()
     found.sort(key=lambda r: r.lang)
     counts = np.array([np.frombuffer(r.counts, np.int64) for r in found], float).reshape(len(found), BUCKETS)
     return [r.lang for r in found], np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
@@ -176,14 +200,14 @@ def declared_in(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
 
 
-def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", least: int = LEAST_ROWS) -> DataFrame:
     """The documents in a known language: lang_col is what they declare, source_col their host. All columns stay as they are.
 
-    A language is known if LEAST_ROWS rows of the table declare it. A text with letters that declares a rarer one stays
+    A language is known if ``least`` rows of the table declare it. A text with letters that declares a rarer one stays
     unjudged: nothing is known against it. Rows of one text, lang and source are judged alike.
     """
     scratch, sealed = Scratch(docs.sparkSession, "known"), Sealed(docs)
-    model = train(docs, lang_col, text_col, id_col=id_col)
+    model = train(docs, lang_col, text_col, id_col=id_col, least=least)
     text, lang, source = (F.col(sealed[c]) for c in (text_col, lang_col, source_col))
     told_apart = [x for c in (text, lang, source) for x in (c, c.isNull())]  # hashes skip nulls
     keyed = sealed.rows.withColumns({"a": F.xxhash64(*told_apart), "b": F.xxhash64(F.lit(1), *told_apart)})

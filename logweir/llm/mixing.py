@@ -17,12 +17,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 OWN = ("size", "source_size", "target", "copies", "taken")
 
 
-def draw(id_col: str, seed: int) -> Column:
-    """A number in [0, 1) fixed by seed and id: the first 52 bits of an MD5."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+def draw(name: Column, seed: int) -> Column:
+    """A number in [0, 1) fixed by seed and name: the first 52 bits of an MD5."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def named(scratch: Scratch, rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """rows with name, what a row's draw depends on: its id; without one, its text's digest and its place among the rows of that text and source.
+
+    Equal rows may change places, as one stands for the other. They are numbered in
+    each task and moved on by the tasks' counts, so no task gets all of a large group.
+    """
+    id_, digest = F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    given = rows.where(id_.isNotNull()).withColumn("name", id_)
+    lone = scratch.keep(rows.where(id_.isNull()).withColumns({"digest": digest, "part": F.spark_partition_id()}))
+    same = [F.col(source_col).alias("of"), F.col("digest").alias("said")]
+    counts = lone.groupBy(*same, "part").count().withColumnRenamed("part", "at")
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("of", "said").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(W.partitionBy("part", "digest", source_col).orderBy("digest"))
+    met = lone.withColumn("place", place).join(before, F.col(source_col).eqNullSafe(F.col("of")) & (F.col("digest") == F.col("said")) & (F.col("part") == F.col("at")))
+    return given.unionByName(met.select(*rows.columns, F.concat_ws(":", F.lit("null"), "digest", F.col("place") + F.col("before")).alias("name")))
+
+
 def source_ranks(scratch: Scratch, sources: DataFrame, source_col: str) -> DataFrame:
     """sources with rank, from 0, by code point and null last; range partitions are numbered by their own counts."""
     part = F.spark_partition_id().alias("part")
@@ -65,7 +82,7 @@ def mix(
     or empty text has none. Sources weigh ``weights`` in turn, by code point and null
     last. Together they take ``share`` of all words, and no source more than
     ``cap`` times its own. A source without words has rate 0. Rows repeated with
-    the same id draw alike. Input columns named like the added ones are replaced.
+    the same id draw alike; rows without id draw each by itself, equal ones by their number. Input columns named like the added ones are replaced.
     """
     scratch, sealed = Scratch(docs.sparkSession, "mix"), Sealed(docs, *OWN)
     rows = sealed.rows.withColumn("size", F.coalesce(F.regexp_count(F.col(sealed[text_col]), F.lit(WORD)), F.lit(0)).cast("long"))
@@ -73,8 +90,8 @@ def mix(
     sums = scratch.keep(rows.groupBy(source.alias("key")).agg(F.sum("size").alias("source_size")))
     table = scratch.keep(targets(scratch, sums, "key", weights, share, cap))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    copies = F.floor("rate") + (draw(sealed[id_col], seed) < F.col("rate") - F.floor("rate")).cast("long")
-    told = rows.join(table, source.eqNullSafe(F.col("key"))).withColumn("rate", rate).withColumn("copies", copies)
+    copies = F.floor("rate") + (draw(F.col("name"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    told = named(scratch, rows, sealed[id_col], sealed[text_col], sealed[source_col]).join(table, source.eqNullSafe(F.col("key"))).withColumn("rate", rate).withColumn("copies", copies)
     return told.select(*sealed.restored(), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

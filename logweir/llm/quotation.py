@@ -92,7 +92,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     bodies = scratch.keep(
         pieces.groupBy("mid").agg(
             F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("passage", "text")))).alias("own"), F.count_if(F.col("level") > 0).alias("n_quotes"), F.max("level").alias("deepest")
-        ).select("mid", F.regexp_replace(F.array_join(F.transform("own", lambda x: x.text), "\n"), r"^\s+|\s+$", "").alias("body"), "n_quotes", "deepest")
+        ).select("mid", F.trim(F.array_join(F.transform("own", lambda x: x.text), "\n"), F.lit(" \t\n\x0b\x0c\r")).alias("body"), "n_quotes", "deepest")
     )
 
     quotes = pieces.where("level > 0").join(quoting.where("conv is not null and turn is not null").select("mid", "conv", "turn"), "mid")

@@ -140,3 +140,20 @@ def test_rare_languages_stay_unjudged(spark):
     rows = [(i, text(rng, "aa"), "aa", "h") for i in range(30)] + [(100, "ЖЩЪ ФЫЭЮ ЦХЖ " * 9, "zz", "h"), (101, "12 !!", "zz", "h"), (102, "ЖЩЪ ФЫЭЮ ЦХЖ " * 9, None, "h"), (103, None, "zz", "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert sorted(r.doc_id for r in language_id.keep_known(docs).collect()) == [*range(30), 100]
+
+
+def test_broken_markup_takes_linear_time():
+    import random
+    import re
+    import time
+
+    once = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
+    rng = random.Random(2)
+    bits = ["<", ">", "<!--", "-->", "<script>", "</script >", "<STYLE a>", "</style>", "a", "&amp;", "&", ";", " x ", "</script"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert language_id.plain(text, True) == once.sub(" ", text), text
+    for bit in ("<", "<!--", "<!-- >", "<script>", "<style ", "&a", "</script ", "<script></script "):
+        began = time.time()
+        language_id.plain(bit * (1_000_000 // len(bit)), True)
+        assert time.time() - began < 1, bit

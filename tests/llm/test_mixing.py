@@ -58,3 +58,19 @@ def test_empty(spark):
     assert mixing.mix(frame).count() == 0
     one = spark.createDataFrame([(1, "", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r.size, r.target, r.taken) for r in mixing.mix(one).collect()} == {(0, 0.0, 0)}
+
+
+def test_rows_without_ids_draw_each_by_itself(spark):
+    rng = random.Random(4)
+    text = lambda k: " ".join("w" for _ in range(rng.randint(5, 15))) + f" {k % 7}"
+    rows = [(k if s == "a" else None, "same words here" if s == "c" else text(k), s) for k, s in enumerate("abc" * 700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(frame).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert len(got) == len(rows)
+    for s in "abc":
+        assert taken[s] == pytest.approx(target[s], rel=0.06)
+    again = mixing.mix(frame.repartition(3)).collect()
+    assert sorted((r.source, r.text, r.taken) for r in again) == sorted((r.source, r.text, r.taken) for r in got)

@@ -114,3 +114,12 @@ def test_no_quotes_and_empty(spark):
     got = quotation.link_quotes(frame).collect()
     assert sorted((r.conv_id, r.position, r.body) for r in got) == [(1, 0, "hi"), (1, 1, "a > b"), (2, 0, None)]
     assert quotation.link_quotes(frame.where("false")).count() == 0
+
+
+def test_blanks_take_linear_time(spark):
+    import time
+
+    rows = [(1, 1, "a" + " " * 1_000_000 + "b\n> quoted words of another one here\n" + " " * 1_000_000 + "x"), (1, 2, "> a\n" + " \t" * 500_000 + "\nend")]
+    began = time.time()
+    got = quotation.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert len(got) == 2 and time.time() - began < 60
