@@ -70,13 +70,17 @@ def pairs(text: Column, pattern: str, groups: int = 3) -> Column:
 
 
 def last_wins(entries: Column) -> Column:
-    """(k, v) structs with each key once, at its first place with its last value."""
+    """(k, v) structs with each key once, at its first place with its last value. Sorted by key and place, so a line of a million keys takes no square of them."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v")))
 
     def kept(all_: Column) -> Column:
-        keys = F.array_distinct(F.transform(all_, lambda e: e["k"]))
-        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(all_, lambda e: e["k"] == k), -1)["v"].alias("v")))
+        other = lambda e, at: F.coalesce(~F.get(all_, at)["k"].eqNullSafe(e["k"]), F.lit(True))
+        first = F.filter(all_, lambda e, j: (j == 0) | other(e, j - 1))
+        last = F.filter(all_, lambda e, j: (j == F.size(all_) - 1) | other(e, j + 1))
+        runs = F.arrays_zip(first.alias("a"), last.alias("z"))
+        return F.array_sort(F.transform(runs, lambda r: F.struct(r["a"]["i"].alias("i"), r["a"]["k"].alias("k"), r["z"]["v"].alias("v"))))
 
-    return let(entries, kept)
+    return F.transform(let(F.array_sort(placed), kept), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
 
 
 def parse_kv_pairs(text: Column) -> Column:
