@@ -1,9 +1,17 @@
-"""Tables out: files of records, first-wins inserts, upserts, counters. A target is a folder of Parquet; what is new is appended, what changes is written beside and swapped."""
+"""Tables out: files of records, first-wins inserts, upserts, counters.
+
+What only grows is a folder of batches, each a partition that a rerun of the batch
+overwrites. What changes is a folder of parts and a small file for each version
+that names the parts in it; keyed tables have a part a bucket, and a batch
+writes anew the buckets that its keys fall in.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +20,7 @@ from ..tables import cut
 
 
 MOST_COLUMNS = 10_000
+BUCKETS = 64
 
 
 def to_dicts(records: DataFrame):
@@ -55,33 +64,137 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _recover(spark: SparkSession, path: str) -> bool:
-    """Whether the table is there; a swap that was cut short between its two renames is undone."""
-    fs, at = _files(spark, path)
-    if fs.exists(at):
-        return True
-    for old in fs.globStatus(_files(spark, f"{path.rstrip('/')}-old-*")[1]) or []:
-        return fs.rename(old.getPath(), at)
-    return False
+KEPT = 3
+
+
+@dataclass
+class Version:
+    """What a stored table is made of: number of the version, folder of each part, and the last batch of each writer that is in it."""
+
+    number: int = 0
+    parts: dict[str, str] = field(default_factory=dict)
+    done: dict[str, int] = field(default_factory=dict)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _files(spark, f"{path}/_versions")
+    return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
+
+
+def _version(spark: SparkSession, path: str, number: int) -> Version:
+    fs, at = _files(spark, f"{path}/_versions/{number:010d}.json")
+    stream = fs.open(at)
+    try:
+        return Version(**json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> Version:
+    """The last version of a table; version 0 is an empty one."""
+    path = path.rstrip("/")
+    numbers = _numbers(spark, path)
+    return _version(spark, path, numbers[-1]) if numbers else Version()
+
+
+def _commit(spark: SparkSession, path: str, version: Version) -> None:
+    """Makes a version the current one by a single rename: a reader sees the one before or this one, both whole. RuntimeError if another writer made this version first. Parts that none of the last KEPT versions has are deleted."""
+    path = path.rstrip("/")
+    name = f"{path}/_versions/{version.number:010d}.json"
+    (fs, final), (_, beside) = _files(spark, name), _files(spark, f"{path}/_versions/{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(json.dumps(version.__dict__).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(beside, final):
+        fs.delete(beside, False)
+        raise RuntimeError(f"{path}: another writer made version {version.number}")
+    numbers = _numbers(spark, path)
+    held = {p.split("/")[0] for n in numbers[-KEPT:] for p in _version(spark, path, n).parts.values()}
+    gone = {p.split("/")[0] for n in numbers[:-KEPT] for p in _version(spark, path, n).parts.values()} - held
+    for part in gone:
+        fs.delete(_files(spark, f"{path}/{part}")[1], True)
+    for n in numbers[:-KEPT]:
+        fs.delete(_files(spark, f"{path}/_versions/{n:010d}.json")[1], False)
+
+
+def _rows(spark: SparkSession, path: str, schema: str, parts: Sequence[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/{p}" for p in parts]) if parts else spark.createDataFrame([], schema)
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table, or an empty one if nothing was written yet."""
-    return spark.read.schema(schema).parquet(path) if _recover(spark, path) else spark.createDataFrame([], schema)
+    """The current version of a table, or an empty one if nothing was written yet."""
+    return _rows(spark, path, schema, sorted(current(spark, path).parts.values()))
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table, renames the table aside and the new one into its place, so the rows may come from the table itself and at each moment one of both is whole."""
-    spark = rows.sparkSession
-    mark = uuid.uuid4().hex
-    (fs, at), (_, new), (_, old) = (_files(spark, p) for p in (path, f"{path.rstrip('/')}-{mark}", f"{path.rstrip('/')}-old-{mark}"))
-    rows.write.parquet(f"{path.rstrip('/')}-{mark}")
-    there = _recover(spark, path)
-    if there:
-        fs.rename(at, old)
-    fs.rename(new, at)
-    if there:
-        fs.delete(old, True)
+    """Writes rows, which may come from the table itself, as its next version. Readers of the versions before go on undisturbed."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    before, mark = current(spark, path), f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{mark}")
+    _commit(spark, path, Version(before.number + 1, {"": mark}, before.done))
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def is_done(spark: SparkSession, path: str, batch: tuple[str, int] | None) -> bool:
+    """Whether a table holds a batch, named by its writer and number, already. A writer's numbers rise."""
+    return batch is not None and current(spark, path).done.get(batch[0], -1) >= batch[1]
+
+
+def touched(keys: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
+    return sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())  # ``buckets`` numbers at most
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, numbers: Sequence[int]) -> DataFrame:
+    """The rows of some buckets only; files of others aren't listed nor read."""
+    parts = current(spark, path).parts
+    return _rows(spark, path, schema, [parts[str(n)] for n in numbers if str(n) in parts])
+
+
+def update_buckets(
+    spark: SparkSession, path: str, schema: str, key: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, buckets: int = BUCKETS,
+) -> bool:
+    """Rewrites the buckets that keys fall in: change gets their stored rows and gives what they are from now on. Other buckets stay where they are.
+
+    The whole update is one version. A batch that the table holds already changes
+    nothing; returns whether it did.
+    """
+    path = path.rstrip("/")
+    before = current(spark, path)
+    if batch is not None and before.done.get(batch[0], -1) >= batch[1]:
+        return False
+    numbers, mark = touched(keys, key, buckets), f"data-{uuid.uuid4().hex}"
+    if numbers:
+        new = change(_rows(spark, path, schema, [before.parts[str(n)] for n in numbers if str(n) in before.parts]))
+        new.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{mark}")
+    parts = {k: p for k, p in before.parts.items() if k not in set(map(str, numbers))}
+    for n in numbers:
+        fs, at = _files(spark, f"{path}/{mark}/bucket={n}")
+        if fs.exists(at):
+            parts[str(n)] = f"{mark}/bucket={n}"
+    _commit(spark, path, Version(before.number + 1, parts, {**before.done, **({batch[0]: batch[1]} if batch else {})}))
+    return True
+
+
+def batch_label(batch: tuple[str, int] | None) -> str:
+    return f"{batch[0]}-{batch[1]}" if batch else uuid.uuid4().hex
+
+
+def append_batch(rows: DataFrame, path: str, label: str) -> None:
+    """Adds rows as the partition of a batch; a batch that runs again takes the place of what it wrote before."""
+    told = rows.withColumn("batch", F.lit(label))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, without: str | None = None) -> DataFrame:
+    """The rows of all batches, or of all but one."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at) or not fs.globStatus(_files(spark, f"{path.rstrip('/')}/batch=*")[1]):
+        return spark.createDataFrame([], schema)
+    told = spark.read.schema(f"{schema}, batch string").parquet(path)
+    return (told.where(F.col("batch") != without) if without else told).drop("batch")
 
 
 def drop_table(spark: SparkSession, path: str) -> bool:
@@ -94,10 +207,11 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str, order: Sequence[str])
     return keep_first(rows, key, order).drop("duplicates").join(stored.select(key), key, "left_anti").select(*rows.columns)
 
 
-def insert_or_ignore(rows: DataFrame, path: str, schema: str, key: str, order: Sequence[str]) -> tuple[int, int]:
-    """Appends new_rows; how many went in and how many were skipped."""
-    fresh = cut(new_rows(rows, read_table(rows.sparkSession, path, schema), key, order))
-    fresh.write.mode("append").parquet(path)
+def insert_or_ignore(rows: DataFrame, path: str, schema: str, key: str, order: Sequence[str], label: str | None = None) -> tuple[int, int]:
+    """Adds new_rows as a batch; how many went in and how many were skipped. What the same batch wrote before doesn't count as stored."""
+    label = label or batch_label(None)
+    fresh = cut(new_rows(rows, read_batches(rows.sparkSession, path, schema, label), key, order))
+    append_batch(fresh, path, label)
     added = fresh.count()
     return added, rows.count() - added
 

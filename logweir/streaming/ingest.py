@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.batch import Result, Store, run_records
 from ..plans.semantic import MappingProvider
 from ..sources.raw_records import parse_texts
+from ..sources.sinks import is_done
 from ..tables import cut
 
 # How many files a batch takes and how long it waits.
@@ -20,20 +21,22 @@ def read_lines(spark: SparkSession, path: str, max_files: int = FILES) -> DataFr
     return lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
 
 
-def process_batch(store: Store, lines: DataFrame, provider: MappingProvider | None = None) -> Result:
-    """(source, line): each line is routed and parsed by itself; one record_id from here to the table. A model is used but never fitted."""
+def process_batch(store: Store, lines: DataFrame, provider: MappingProvider | None = None, batch: tuple[str, int] | None = None) -> Result:
+    """(source, line): each line is routed and parsed by itself; one record_id from here to the table. A model is used but never fitted. A batch that the registry holds already isn't processed again."""
+    if is_done(store.spark, store.at("registry"), batch):
+        return Result()
     texts = cut(lines.where(F.length(F.trim("line")) > 0).withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("line", "text"))
     parsed = parse_texts(texts.select("id", "text")).join(texts, "id")
     whole = F.coalesce(F.nullif(F.try_element_at("record", F.lit("raw_text")), F.lit("")), F.col("text"))
     record = F.map_concat(F.map_filter("record", lambda k, v: k != "raw_line"), F.create_map(F.lit("raw_line"), whole))
     record_id = F.substring(F.sha1(F.concat_ws(":", "source", F.col("at").cast("string"), "text")), 1, 16)
     raw = parsed.select(record_id.alias("record_id"), F.col("source").alias("log_source"), "format", record.alias("record"))
-    return run_records(store, raw, provider, may_fit=False)
+    return run_records(store, raw, provider, may_fit=False, batch=batch)
 
 
-def start(store: Store, lines: DataFrame, checkpoint: str, provider: MappingProvider | None = None, available_now: bool = False, seconds: float = SECONDS) -> StreamingQuery:
-    """Runs process_batch on each micro-batch. A batch that runs again after a failure adds nothing: rows are kept once by dedup_key."""
-    writer = lines.writeStream.foreachBatch(lambda frame, _: process_batch(store, frame, provider) and None).option("checkpointLocation", checkpoint)
+def start(store: Store, lines: DataFrame, checkpoint: str, provider: MappingProvider | None = None, available_now: bool = False, seconds: float = SECONDS, name: str = "stream") -> StreamingQuery:
+    """Runs process_batch on each micro-batch, under ``name`` and the batch's number. A batch that runs again after a failure changes no table: what it had finished is skipped, what it had begun is overwritten."""
+    writer = lines.writeStream.foreachBatch(lambda frame, number: process_batch(store, frame, provider, (name, number)) and None).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
     return writer.trigger(**trigger).start()
 
