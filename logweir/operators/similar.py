@@ -110,12 +110,67 @@ def representatives(lines: DataFrame, labels: DataFrame, id_col: str = "id", lin
     return first.unionByName(told.where("label < 0").select("id", "line", "label"))
 
 
+def alike(lines: DataFrame, k: int, id_col: str = "id", line_col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Lines of the same words as one: (id, term, tf) of the first of each, and (id, ids) with its k smallest ids."""
+    counted = terms(lines, id_col, line_col)
+    bags = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("bag"))  # one line's terms
+    first = bags.withColumn("place", F.row_number().over(W.partitionBy("bag").orderBy("id"))).where(F.col("place") <= k)
+    groups = cut(first.groupBy("bag").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    return groups.select(F.col("ids")[0].alias("id"), F.explode("bag").alias("x")).select("id", "x.term", "x.tf"), groups.select(F.col("ids")[0].alias("id"), "ids")
+
+
+def bounded_pairs(q: DataFrame, c: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """(q, c, cosine): every pair that can be among the k best of its query, and few others.
+
+    q and c are vectors (id, term, df, w). A query's rarest terms come first; what the
+    terms from one on can give at most is the sum of its weights times the terms'
+    greatest. The k heaviest candidates of each term give each query a k-th best to
+    beat; terms from which on the rest stays below it don't look up anybody, and a
+    pair found by the others goes on only if it can still reach it.
+    """
+    most = c.groupBy("term").agg(F.max("w").alias("most"))
+    heavy = W.partitionBy("term").orderBy(F.col("w").desc(), "id")
+    champions = c.withColumn("place", F.row_number().over(heavy)).where(F.col("place") <= k).select("term", F.col("id").alias("c"))  # k a term, limited in each task first
+    after = W.partitionBy("q").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)  # the terms of one line
+    asked = q.select(F.col("id").alias("q"), "term", "df", F.col("w").alias("wq")).join(most, "term").withColumn("rest", F.sum(F.col("wq") * F.col("most")).over(after))
+    asked = cut(asked.drop("most"))
+    of_q = cut(asked.groupBy("q").agg(F.collect_list(F.struct("term", "wq")).alias("terms")))
+    of_c = cut(c.groupBy(F.col("id").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights")).join(ids.select(F.col("id").alias("c"), F.size("ids").alias("n")), "c"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        dot = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["wq"] * F.coalesce(F.try_element_at("weights", t["term"]), F.lit(0.0)))
+        return pairs.join(of_c, "c").join(of_q, "q").select("q", "c", "n", dot.alias("cosine"))
+
+    seeds = scored(asked.select("q", "term").join(champions, "term").select("q", "c").distinct())
+    best = F.sort_array(F.flatten(F.collect_list(F.array_repeat("cosine", F.col("n").cast("int")))), asc=False)  # k a term and query at most, k times each
+    beat = seeds.groupBy("q").agg(F.coalesce(F.get(best, F.lit(k - 1)), F.lit(0.0)).alias("beat"))
+    told = cut(asked.join(beat, "q").withColumn("beat", F.col("beat") - 1e-9))
+    rest = told.where("rest < beat").groupBy("q").agg(F.max("rest").alias("left"))
+    met = told.where("rest >= beat").select("q", "term", "wq", "beat").join(c.select("term", F.col("id").alias("c"), "w"), "term")
+    found = met.groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("w")).alias("part"), F.first("beat").alias("beat"))
+    can = found.join(rest, "q", "left").where(F.col("part") + F.coalesce("left", F.lit(0.0)) >= F.col("beat")).select("q", "c")
+    return scored(can).select("q", "c", "cosine")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, idf: DataFrame, k: int = 3, id_col: str = "id", line_col: str = "line") -> DataFrame:
-    """(id, rank, candidate, cosine): for each query the k candidates with the greatest cosine, ties by id. A query without known words gets the first k; others fill up with cosine 0."""
-    q = cut(transform(terms(queries, id_col, line_col), idf).select(F.col("id").alias("q"), "term", F.col("w").alias("wq")))
-    c = transform(terms(candidates, id_col, line_col), idf).select(F.col("id").alias("c"), "term", F.col("w").alias("wc"))
-    dots = q.join(c, "term").groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
+    """(id, rank, candidate, cosine): for each query the k candidates with the greatest cosine, ties by id. A query without known words gets the first k; others fill up with cosine 0.
+
+    Lines of the same words are looked up once and stand for their k smallest ids.
+    """
+    q_terms, _ = alike(queries, 1, id_col, line_col)
+    c_terms, members = alike(candidates, k, id_col, line_col)
+    c = cut(transform(c_terms, idf))
+    pairs = bounded_pairs(cut(transform(q_terms, idf)), c, k, members)
+    ranked = W.partitionBy("q").orderBy(F.col("cosine").desc(), "c")
+    found = pairs.where("cosine > 0").join(members.select(F.col("id").alias("c"), "ids"), "c").select("q", F.explode("ids").alias("c"), "cosine")
+    best = cut(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"))
+
+    bag = lambda lines: terms(lines, id_col, line_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("bag"))
+    bags = bag(queries)
+    same = bags.join(bags.groupBy("bag").agg(F.min("id").alias("q")), "bag").select("id", "q")
+    dots = best.join(same, "q").select(F.col("id").alias("q"), "c", "cosine")
     first = candidates.select(F.col(id_col).alias("c")).orderBy("c").limit(k).withColumn("cosine", F.lit(0.0))
-    filled = queries.select(F.col(id_col).alias("q")).join(F.broadcast(first)).join(dots.select("q", "c"), ["q", "c"], "left_anti")  # k rows
-    ranked = dots.unionByName(filled.select("q", "c", "cosine")).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "c")))
-    return ranked.where(F.col("rank") <= k).select(F.col("q").alias(id_col), "rank", F.col("c").alias("candidate"), "cosine")
+    short = queries.select(F.col(id_col).alias("q")).join(dots.groupBy("q").agg(F.count("*").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k).select("q")
+    filled = short.join(F.broadcast(first)).join(dots.select("q", "c"), ["q", "c"], "left_anti")  # k rows
+    told = dots.unionByName(filled.select("q", "c", "cosine")).withColumn("rank", F.row_number().over(ranked))
+    return told.where(F.col("rank") <= k).select(F.col("q").alias(id_col), "rank", F.col("c").alias("candidate"), "cosine")
