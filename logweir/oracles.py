@@ -341,3 +341,12 @@ select p_partkey, regexp_replace(format('{:,.2f}', p_retailprice * 1000), '\.?0+
   case when p_size % 5 = 0 then '(blank)' when len(repeat(p_brand, p_size % 5)) > 28 then substr(repeat(p_brand, p_size % 5), 1, 27) || '...' else repeat(p_brand, p_size % 5) end as label from part
 """
 ORACLES["search_first"] = "select least(1000, count(*)) as shown, count(*) as found from part where p_brand ilike '%brand%' or p_name ilike '%brand%' or p_type ilike '%brand%'"
+
+ORACLES["csv_in_splits"] = """
+select event_id::varchar as number, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as timestamp, case event_type when 'error' then 'ERROR' when 'signup' then 'WARN' when 'purchase' then 'NOTICE' else 'INFO' end as level,
+  'user ' || user_id || ' did "' || event_type || '",' || chr(10) || 'then left' as message, floor(value * 100)::bigint::varchar as cents, false as corrupted, true as below_head from events
+"""
+
+ORACLES["registry_batches"] = """
+select substr(sha256('user <NUM> did ' || event_type), 1, 16) as signature, 'json' as format_type, 3 as n_patterns, case when event_type in ('error', 'signup') then count(*) else 0 end as hit_count from events group by event_type
+"""

@@ -12,7 +12,7 @@ from .operators import analyze, anomaly, detect, similar, staging, templates
 from .plans import batch, semantic
 from .plans.provider import TextModel
 from .schema import FIELD_MAPPINGS, FORMATS, REGISTRY
-from .sources import generator, raw_records, readers, sinks
+from .sources import generator, raw_records, readers, sinks, splits
 from .streaming.ingest import windowed_counts
 from .tables import cut, shared_dir
 
@@ -94,6 +94,31 @@ def parse_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("source", "line_number", "record_id", F.try_element_at("fields", F.lit("hex")).alias("hex"), F.try_element_at("fields", F.lit("offset")).alias("at"))
 
 
+@query
+def csv_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as real CSV files, with line breaks, commas and quotes in cells, read back in splits."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    message = F.format_string('user %s did "%s",\nthen left', F.col("user").cast("string"), "event_type")
+    facts(spark, sf_dir).select(F.col("iso").alias("timestamp"), "level", F.col("event_id").alias("number"), "cents", message.alias("message")).write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    records = splits.ingest_csv(spark, path, "*.csv")
+    field = lambda k: F.try_element_at("fields", F.lit(k))
+    return records.select(field("number").alias("number"), "timestamp", "level", "message", field("cents").alias("cents"), "corrupted", (F.col("line_number") > 1).alias("below_head"))
+
+
+@query
+def registry_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after a batch of the errors and sign-ups, one of all events, and the second once more."""
+    store = batch.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    raw = _vendor(spark, sf_dir).withColumn("x", F.try_element_at("record", F.lit("raw_text")))
+    few = raw.where(F.col("x").rlike("did (error|signup)$"))
+    for number, rows in ((0, few), (1, raw), (1, raw)):
+        if not sinks.is_done(spark, store.at("registry"), ("queries", number)):
+            _, signed, made = semantic.map_records(rows.drop("x"), store.table("registry", REGISTRY), Actions())
+            signed = cut(signed)
+            store.update("registry", REGISTRY, signed, lambda stored: semantic.learn(stored, signed, made, "now"), ("queries", number))  # noqa: B023
+    return store.table("registry", REGISTRY).select("signature", "format_type", F.size("regex_patterns").alias("n_patterns"), "hit_count")
+
+
 @query
 def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = [files(spark, sf_dir, f).select(F.lit(f).alias("rendered"), detect.detect_format(F.col("content"), F.lit("x")).alias("detected")) for f in FORMATS]

@@ -50,24 +50,38 @@ def header_like(cells: list[str]) -> bool:
     return bool(cells) and words / len(cells) >= 0.5 and not any(c.replace(".", "").replace("-", "").isdigit() for c in bare)
 
 
-def read_csv(text: str, has_header: bool | None = None, delimiter: str = ",", quote: str = '"') -> Iterator[Record]:
+def csv_rows(text: str, delimiter: str = ",", quote: str = '"') -> Iterator[list[str]]:
     csv.field_size_limit(CELL_LIMIT)
+    return csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=quote)
+
+
+def csv_header(row: list[str], has_header: bool | None = None) -> tuple[list[str], bool]:
+    """The column names that a file's first row gives, and whether it is a header, not a record."""
+    headed = header_like(row) if has_header is None else has_header
+    return ([c.strip().lower() for c in row] if headed else [f"col_{i}" for i in range(len(row))]), headed
+
+
+def csv_record(number: int, row: list[str], header: list[str]) -> Iterator[Record]:
+    """What a row that isn't the header says; nothing if it is blank."""
+    raw = ",".join(row)
+    if not any(c.strip() for c in row):
+        return
+    if len(row) != len(header):
+        yield number, raw, f"column_mismatch: expected {len(header)}, got {len(row)}", {}, None
+    elif sum(c.count("�") / max(len(c), 1) > 0.3 for c in row) / len(row) > 0.5:
+        yield number, raw, "cell_encoding_error", {}, None
+    else:
+        yield number, raw, "", {h: c.strip() for h, c in zip(header, row)}, row[-1]
+
+
+def read_csv(text: str, has_header: bool | None = None, delimiter: str = ",", quote: str = '"') -> Iterator[Record]:
     header: list[str] | None = None
-    for number, row in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=quote), 1):
-        raw = ",".join(row)
+    for number, row in enumerate(csv_rows(text, delimiter, quote), 1):
         if header is None:
-            if header_like(row) if has_header is None else has_header:
-                header = [c.strip().lower() for c in row]
+            header, headed = csv_header(row, has_header)
+            if headed:
                 continue
-            header = [f"col_{i}" for i in range(len(row))]
-        if not any(c.strip() for c in row):
-            continue
-        if len(row) != len(header):
-            yield number, raw, f"column_mismatch: expected {len(header)}, got {len(row)}", {}, None
-        elif sum(c.count("�") / max(len(c), 1) > 0.3 for c in row) / len(row) > 0.5:
-            yield number, raw, "cell_encoding_error", {}, None
-        else:
-            yield number, raw, "", {h: c.strip() for h, c in zip(header, row)}, row[-1]
+        yield from csv_record(number, row, header)
 
 
 def flatten(value: dict, depth: int = 5, prefix: str = "", separator: str = ".") -> dict:
@@ -228,6 +242,12 @@ def read_safely(read: Callable[[], Iterator[Record]]) -> Iterator[Record]:
         yield 0, "", f"file_error: {type(e).__name__}: {e}", {}, None
 
 
+def parsed_row(source: str, fmt: str, record: Record) -> dict:
+    number, raw, fault, found, fallback = record
+    entries = [{"k": k, "v": v, "text": t} for k, (v, t) in ((k, shown(v)) for k, v in found.items())]
+    return {"source": source, "format": fmt, "line_number": number, "raw": raw, "corrupted": bool(fault), "corruption_reason": fault, "entries": entries, "fallback": fallback}
+
+
 def parse_documents(files: DataFrame, **options) -> DataFrame:
     """Files whose format is csv, json, xml or yaml, with source, format and text; options go to the readers by format name.
 
@@ -239,9 +259,8 @@ def parse_documents(files: DataFrame, **options) -> DataFrame:
             for row in batch.to_pylist():
                 out: list[dict] = []
                 reader, given = READERS[row["format"]], options.get(row["format"], {})
-                for number, raw, fault, found, fallback in read_safely(lambda: reader(row["text"] or "", **given)):  # noqa: B023
-                    entries = [{"k": k, "v": v, "text": t} for k, (v, t) in ((k, shown(v)) for k, v in found.items())]
-                    out.append({"source": row["source"], "format": row["format"], "line_number": number, "raw": raw, "corrupted": bool(fault), "corruption_reason": fault, "entries": entries, "fallback": fallback})
+                for record in read_safely(lambda: reader(row["text"] or "", **given)):  # noqa: B023
+                    out.append(parsed_row(row["source"], row["format"], record))
                     if len(out) >= _CHUNK:
                         yield pa.RecordBatch.from_pylist(out, _PARSED)
                         out = []
