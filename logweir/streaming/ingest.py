@@ -10,9 +10,12 @@ from ..plans.semantic import MappingProvider
 from ..sources.raw_records import parse_texts
 from ..sources.sinks import is_done
 from ..tables import cut
+from .buffers import PROVIDER, flushed
 
 # How many files a batch takes and how long it waits.
 FILES, SECONDS = 50, 2.0
+#: How often timers of held lines are looked at.
+TICK = 0.5
 
 
 def read_lines(spark: SparkSession, path: str, max_files: int = FILES) -> DataFrame:
@@ -34,8 +37,14 @@ def process_batch(store: Store, lines: DataFrame, provider: MappingProvider | No
     return run_records(store, raw, provider, may_fit=False, batch=batch)
 
 
-def start(store: Store, lines: DataFrame, checkpoint: str, provider: MappingProvider | None = None, available_now: bool = False, seconds: float = SECONDS, name: str = "stream") -> StreamingQuery:
-    """Runs process_batch on each micro-batch, under ``name`` and the batch's number. A batch that runs again after a failure changes no table: what it had finished is skipped, what it had begun is overwritten."""
+def start(store: Store, lines: DataFrame, checkpoint: str, provider: MappingProvider | None = None, available_now: bool = False, seconds: float = SECONDS, name: str = "stream", size: int | None = None, shards: int = 1) -> StreamingQuery:
+    """Runs process_batch on each micro-batch, under ``name`` and the batch's number. A batch that runs again after a failure changes no table: what it had finished is skipped, what it had begun is overwritten.
+
+    With ``size``, a source's lines are held until so many are there or the first has waited for ``seconds``, whatever the trigger brings at once.
+    """
+    if size is not None:
+        store.spark.conf.set(*PROVIDER)
+        lines, seconds = flushed(lines, size, seconds, shards).select("source", "line"), min(seconds, TICK)
     writer = lines.writeStream.foreachBatch(lambda frame, number: process_batch(store, frame, provider, (name, number)) and None).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
     return writer.trigger(**trigger).start()
