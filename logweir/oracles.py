@@ -350,3 +350,38 @@ select event_id::varchar as number, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'
 ORACLES["registry_batches"] = """
 select substr(sha256('user <NUM> did ' || event_type), 1, 16) as signature, 'json' as format_type, 3 as n_patterns, case when event_type in ('error', 'signup') then count(*) else 0 end as hit_count from events group by event_type
 """
+
+_DEPTH = "case when {0} > 2 then 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / {0}::double when {0} = 2 then 1.0 else 0.0 end"
+#: Trees are grown level by level in one recursion over the sampled rows, then every row walks every tree in another.
+ORACLES["anomaly_scores"] = f"""
+with recursive p as (select p_partkey::varchar as record_id, [p_size::double, p_retailprice::double, 0.0, 0.0] as x from part where p_size is not null or p_retailprice is not null),
+pool as (select * from p order by md5(record_id), record_id limit 25600),
+drawn as (select t.tree, x from pool, (select unnest(range(100)) as tree) t qualify row_number() over (partition by t.tree order by md5(t.tree || ':' || record_id), record_id) <= 256),
+size as (select least(256, count(*)) as n, ceil(log2(greatest(least(256, count(*)), 2))) as deepest from p),
+grown as (
+  select tree, 1::bigint as node, 0 as depth, x from drawn
+  union all
+  select tree, 2 * node + (x[f] > low[f] + share * (high[f] - low[f]))::int, depth + 1, x from (
+    select *, spread[1 + pick % len(spread)] as f from (
+      select *, ('0x' || substr(h, 1, 8))::bigint as pick, ('0x' || substr(h, 9, 8))::bigint / 4294967296.0::double as share, list_filter([1, 2, 3, 4], lambda i: high[i] > low[i]) as spread from (
+        select *, md5('42:' || tree || ':' || node) as h, [min(x[1]) over w, min(x[2]) over w, min(x[3]) over w, min(x[4]) over w] as low, [max(x[1]) over w, max(x[2]) over w, max(x[3]) over w, max(x[4]) over w] as high
+        from grown window w as (partition by tree, node)
+      )
+    ) where len(spread) > 0 and depth < (select deepest from size)
+  )
+),
+bounds as (select tree, node, depth, count(*) as n, md5('42:' || tree || ':' || node) as h, [min(x[1]), min(x[2]), min(x[3]), min(x[4])] as low, [max(x[1]), max(x[2]), max(x[3]), max(x[4])] as high from grown group by tree, node, depth),
+nodes as (
+  select tree, node, f, low[f] + share * (high[f] - low[f]) as at, depth + {_DEPTH.format('n')} as length from (
+    select *, case when depth < (select deepest from size) and len(spread) > 0 then spread[1 + ('0x' || substr(h, 1, 8))::bigint % len(spread)] end as f, ('0x' || substr(h, 9, 8))::bigint / 4294967296.0::double as share
+    from (select *, list_filter([1, 2, 3, 4], lambda i: high[i] > low[i]) as spread from bounds)
+  )
+),
+walk as (
+  select p.record_id, p.x, n.tree, n.node, n.f, n.at, n.length from p, nodes n where n.node = 1
+  union all
+  select w.record_id, w.x, n.tree, n.node, n.f, n.at, n.length from walk w join nodes n on n.tree = w.tree and n.node = 2 * w.node + (w.x[w.f] > w.at)::int where w.f is not null
+),
+scored as (select record_id, greatest(-1.0, -2 * power(2.0, -sum(length) / 100 / (select {_DEPTH.format('n')} from size))) as s from walk where f is null group by record_id)
+select record_id, round(s, 6) as anomaly_score, (s < -0.5)::int as flags from scored
+"""

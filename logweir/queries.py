@@ -530,7 +530,7 @@ def semantic_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("record_id"), F.col("p_size").cast("double").alias("temperature"), F.col("p_retailprice").alias("pressure"), F.lit(None).cast("double").alias("rf_power"), F.lit(None).cast("double").alias("flow_rate"))
     told = anomaly.annotate(anomaly.score_records(p, anomaly.fit_forest(p)).withColumn("parse_flags", F.array().cast("array<string>")))
-    return told.select("record_id", "anomaly_score", F.size("parse_flags").alias("flags"))
+    return told.select("record_id", F.round("anomaly_score", 6).alias("anomaly_score"), F.size("parse_flags").alias("flags"))
 
 
 @query
