@@ -4,10 +4,15 @@ The windows are stretches of neighbouring lines that reach ``min_words`` words:
 from every line on, and back from every line. The line with the least hash in a
 window is its fingerprint. A run of lines of at least min_words words that
 stands in two places holds a window whole, and a window selects by its content alone,
-so both places have that fingerprint: none is missed. Fingerprints that occur once are
-dropped by a join on their positions. The rest are extended both ways to the windows
-they stand for, and each window is matched with its first place. A run of any length
-is the union of the windows inside it, so what lies in a later repeat, no more
+so both places have that fingerprint: none is missed.
+
+The minima are counted first, without anything beside them. Where a minimum stands in
+more than one place, each of its positions is extended both ways, line by line, until
+there are min_words words on each of the ways that it is least in; positions meet
+where what they were extended to is the same, and each meets its first place alone,
+not all others, so no pairs of a common passage's places are made. A longer match isn't
+walked from its seed on: all minima inside it are shared as well, and the stretches that
+they are extended to unite to the whole run. What lies in a later repeat, no more
 and no less, is deleted.
 """
 
@@ -25,7 +30,7 @@ from .scratch import Scratch, Sealed
 MIN_WORDS = 50
 OWN = ("n_lines", "n_removed", "removed")
 FILTER_MB = 32
-_FOUND = "fp long, id {}, version long, line int, windows array<struct<win:binary,start:int,stop:int>>"
+_FOUND = "fp long, id {}, version long, windows array<struct<win:binary,start:int,stop:int>>"
 _WINDOWS = pa.list_(pa.struct([("win", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -53,35 +58,62 @@ def windows(words: list[int], least: int) -> set[tuple[int, int]]:
     return found
 
 
+class Lines:
+    """The lines of a text that have words: their places, words and hashes. A line without words belongs to the one before."""
+
+    def __init__(self, text: str):
+        lines = text.encode("utf-8").split(b"\n")
+        counts = [len(x.split()) for x in lines]
+        self.place = [i for i, n in enumerate(counts) if n]
+        self.words = [n for n in counts if n]
+        self.digest = [xxhash.xxh3_128_digest(lines[i]) for i in self.place]
+        self.ends = [x - 1 for x in self.place[1:]] + [len(lines) - 1]
+
+    def minima(self, least: int) -> dict[int, list[tuple[int, int]]]:
+        """By the line that is least: the windows that it is least in."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for a, b in sorted(windows(self.words, least)):
+            held = self.digest[a : b + 1]
+            found.setdefault(a + held.index(min(held)), []).append((a, b))
+        return found
+
+    def hash_of(self, line: int) -> int:
+        return int.from_bytes(self.digest[line][:8], "little", signed=True)
+
+    def extended(self, a: int, b: int) -> tuple[bytes, int, int]:
+        """A window's digest, first and last line."""
+        held = self.digest[a : b + 1]
+        return xxhash.xxh3_128_digest(b"".join(held)) if a < b else held[0], self.place[a], self.ends[b]
+
+
 def fingerprints(text: str, least: int) -> dict[tuple[int, int], list[tuple[bytes, int, int]]]:
-    """By line and its hash: the windows whose fingerprint it is, each with its digest, first and last line. A line without words belongs to the one before."""
-    place, words, digest = [], [], []
-    lines = text.encode("utf-8").split(b"\n")
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if n:
-            place.append(i)
-            words.append(n)
-            digest.append(xxhash.xxh3_128_digest(line))
-    ends = [x - 1 for x in place[1:]] + [len(lines) - 1]
-    found: dict[int, list[tuple[bytes, int, int]]] = {}
-    for a, b in sorted(windows(words, least)):
-        held = digest[a : b + 1]
-        chosen = a + held.index(min(held))
-        found.setdefault(chosen, []).append((xxhash.xxh3_128_digest(b"".join(held)) if a < b else held[0], place[a], ends[b]))
-    return {(place[k], int.from_bytes(digest[k][:8], "little", signed=True)): v for k, v in found.items()}
-
-
-def _positions(least: int):
+    """By line and its hash: what the fingerprint is extended to, each with its digest, first and last line."""
+    lines = Lines(text)
+    return {(lines.place[k], lines.hash_of(k)): [lines.extended(a, b) for a, b in wins] for k, wins in lines.minima(least).items()}
+
+
+def _hashes(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[int] = []
+            for text in batch.column(0):
+                lines = Lines(text.as_py())
+                out.extend(map(lines.hash_of, lines.minima(least)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["fp"])
+
+    return run
+
+
+def _extensions(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for i, version, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                for (line, fp), wins in fingerprints(text, least).items():
-                    for to, x in zip(out, (fp, i, version, line, [{"win": w, "start": a, "stop": b} for w, a, b in wins])):
+                for (_, fp), wins in fingerprints(text, least).items():
+                    for to, x in zip(out, (fp, i, version, [{"win": w, "start": a, "stop": b} for w, a, b in wins])):
                         to.append(x)
-            kinds = (pa.int64(), batch.schema.types[0], pa.int64(), pa.int32(), _WINDOWS)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["fp", "id", "version", "line", "windows"])
+            kinds = (pa.int64(), batch.schema.types[0], pa.int64(), _WINDOWS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["fp", "id", "version", "windows"])
 
     return run
 
@@ -89,10 +121,13 @@ def _positions(least: int):
 def repeats(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, version, spans): for each document with later repeats, their windows' first and last lines, counted from 0."""
     keyed = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    places = scratch.keep(keyed.mapInArrow(_positions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())), texts=True)
-    shared = scratch.keep(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
-    extended = scratch.keep(places.join(shared, "fp", "left_semi").select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*"))
-    scratch.drop(places, shared)
+    minima = keyed.select("text").mapInArrow(_hashes(min_words), "fp long")
+    shared = scratch.keep(minima.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h")), texts=True)
+    # a filter of what is shared: positions of others aren't extended; one that passes by chance meets nothing below
+    shared_here = bloom.seen(shared, shared.count(), FILTER_MB, 1)
+    positions = keyed.mapInArrow(_extensions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())).where(shared_here(F.xxhash64("fp")))
+    extended = scratch.keep(positions.select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*"), texts=True)
+    scratch.drop(shared)
     at = F.struct("id", "version", "start", "stop")
     first = scratch.keep(extended.groupBy("win").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     same = (F.col("id") == F.col("first.id")) & (F.col("version") == F.col("first.version"))

@@ -74,3 +74,21 @@ def test_windows_are_shortest_and_cover():
     assert line_dedup.windows([60, 3], 50) == {(0, 0), (0, 1)}
     assert line_dedup.windows([10, 10], 50) == set()
     assert line_dedup.windows([], 50) == set()
+
+
+def test_only_shared_minima_are_extended(spark, monkeypatch):
+    """What is stored are extensions of minima that stand in more than one place."""
+    from logweir.llm.scratch import Scratch
+
+    own = ["\n".join(f"own {i} line {k} of words" for k in range(40)) for i in range(6)]
+    run = "\n".join(f"shared line {k} with some words" for k in range(30))
+    docs = spark.createDataFrame([(i, t if i < 4 else t + "\n" + run) for i, t in enumerate(own)], "doc_id long, text string")
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *by, **how: kept.append((df.columns, (out := keep(self, df, *by, **how)).count())) or out)
+    found = line_dedup.repeats(docs, Scratch(spark, "t"), "doc_id", "text", 20).collect()
+    assert [r.id for r in found] == [5]
+    assert sorted({k for s in found[0].spans for k in range(s.start, s.stop + 1)}) == list(range(40, 70))
+    stored = dict((tuple(c), n) for c, n in kept)
+    assert stored[("id", "version", "win", "start", "stop")] < 2 * 2 * 40  # the two that share, a window or two a line
+    assert all("text" not in c for c, _ in kept)
