@@ -385,3 +385,8 @@ walk as (
 scored as (select record_id, greatest(-1.0, -2 * power(2.0, -sum(length) / 100 / (select {_DEPTH.format('n')} from size))) as s from walk where f is null group by record_id)
 select record_id, round(s, 6) as anomaly_score, (s < -0.5)::int as flags from scored
 """
+
+ORACLES["page_far"] = """
+with o as (select o_custkey, o_orderkey, o_orderpriority, row_number() over (order by o_custkey, o_orderkey) - 1 as place, count(*) over () as total from orders)
+select o_custkey, o_orderkey, o_orderpriority, (place // 100)::int as page, total from o where place // 100 in (10, 11)
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import level as lv, numeric as nm, show as sh, signature as sg, text as tx, time as tm, transforms as tr, units as un
-from .operators import analyze, anomaly, detect, similar, staging, templates
+from .operators import analyze, anomaly, detect, pages, similar, staging, templates
 from .plans import batch, semantic
 from .plans.provider import TextModel
 from .schema import FIELD_MAPPINGS, FORMATS, REGISTRY
@@ -533,6 +533,19 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("record_id", F.round("anomaly_score", 6).alias("anomaly_score"), F.size("parse_flags").alias("flags"))
 
 
+@query
+def page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down the orders, read from its range, and the one that follows its last row."""
+    orders = spread(table(spark, sf_dir, "orders")).select("o_custkey", "o_orderkey", "o_orderpriority")
+    stored = pages.Pages.write(orders, f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}", ["o_custkey", "o_orderkey"], ranges=32)
+    far = stored.page(10, 100)
+    cursor = far.agg(F.max(F.struct("o_custkey", "o_orderkey")).alias("at")).first().at
+    told = far.withColumn("page", F.lit(10))
+    if cursor is not None:
+        told = told.unionByName(stored.after(cursor, 100).withColumn("page", F.lit(11)))
+    return told.withColumn("total", F.lit(stored.total()).cast("long"))
+
+
 @query
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
