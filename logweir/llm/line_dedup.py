@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
-from .scratch import Scratch, Sealed
+from .scratch import Scratch, Sealed, trim
 
 MIN_WORDS = 50
 OWN = ("n_lines", "n_removed", "removed")
@@ -100,6 +100,7 @@ def _hashes(least: int):
                 lines = Lines(text.as_py())
                 out.extend(map(lines.hash_of, lines.minima(least)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["fp"])
+        trim()
 
     return run
 
@@ -114,6 +115,7 @@ def _extensions(least: int):
                         to.append(x)
             kinds = (pa.int64(), batch.schema.types[0], pa.int64(), _WINDOWS)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["fp", "id", "version", "windows"])
+        trim()
 
     return run
 
