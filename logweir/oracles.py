@@ -390,3 +390,12 @@ ORACLES["page_far"] = """
 with o as (select o_custkey, o_orderkey, o_orderpriority, row_number() over (order by o_custkey, o_orderkey) - 1 as place, count(*) over () as total from orders)
 select o_custkey, o_orderkey, o_orderpriority, (place // 100)::int as page, total from o where place // 100 in (10, 11)
 """
+
+_GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+ORACLES["catalogue_tables"] = f"""
+with r as ({" union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in _GIVEN)}),
+c as ({" union all ".join(f"select '{t}' as table_name, count(*)::int as n_columns from (describe {t})" for t in _GIVEN)})
+select table_name, 'parquet' as format, n_columns, n_rows from r join c using (table_name)
+"""
+
+ORACLES["catalogue_chart"] = "select o_orderpriority as label, round(sum(o_totalprice), 2) as value from orders group by o_orderpriority order by value desc, label limit 25"

@@ -13,6 +13,7 @@ from .plans import batch, semantic
 from .plans.provider import TextModel
 from .schema import FIELD_MAPPINGS, FORMATS, REGISTRY
 from .sources import generator, raw_records, readers, sinks, splits
+from .sources.catalogue import Catalogue
 from .streaming.ingest import windowed_counts
 from .tables import cut, shared_dir
 
@@ -546,6 +547,24 @@ def page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("total", F.lit(stored.total()).cast("long"))
 
 
+@query
+def catalogue_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables as a store of the catalog: columns and rows of each from metadata."""
+    stores = Catalogue(spark, sf_dir, prefix=f"tables_{uuid.uuid4().hex}_")
+    told = stores.tables().select("table_name", "format", "n_columns", "n_rows")
+    stores.close()
+    return told
+
+
+@query
+def catalogue_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart of a table that is found by its store's and its own name."""
+    stores = Catalogue(spark, sf_dir, prefix=f"chart_{uuid.uuid4().hex}_")
+    told = analyze.chart(stores.table("orders", stores.add(sf_dir, "Second.db")), "o_orderpriority", "sum", "o_totalprice")
+    stores.close()
+    return told.select("label", F.round("value", 2).alias("value"))
+
+
 @query
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
