@@ -399,3 +399,10 @@ select table_name, 'parquet' as format, n_columns, n_rows from r join c using (t
 """
 
 ORACLES["catalogue_chart"] = "select o_orderpriority as label, round(sum(o_totalprice), 2) as value from orders group by o_orderpriority order by value desc, label limit 25"
+
+# The text columns of the given tables.
+_TEXTS = {
+    "region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name", "part": "p_name p_brand p_type", "orders": "o_orderstatus o_orderpriority", "lineitem": "l_returnflag l_linestatus",
+    "events": "event_type props", "documents": "text lang source", "pages": "url html", "benchmark": "text", "conversations": "role text",
+}
+ORACLES["catalogue_search"] = " union all ".join(f"select '{t}' as table_name, '{c}' as column_name, {c} as value from {t} where contains(lower({c}), 'the')" for t, cs in _TEXTS.items() for c in cs.split())

@@ -565,6 +565,15 @@ def catalogue_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("label", F.round("value", 2).alias("value"))
 
 
+@query
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text of all given tables that holds a word, with its table and column."""
+    stores = Catalogue(spark, sf_dir, prefix=f"search_{uuid.uuid4().hex}_")
+    told = stores.search("The")
+    stores.close()
+    return told
+
+
 @query
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..tables import shared_dir
 
 #: Formats whose files tell their own columns, by the ending of a table's file or folder.
 SELF_DESCRIBING = {".parquet": "parquet", ".orc": "orc"}
 TABLES = "table_name string, format string, location string, n_columns int, n_rows long, n_bytes long"
+FOUND = "table_name string, column_name string, value string"
 STORES = "store string, location string, is_default boolean, deletable boolean, n_tables int"
 
 
@@ -79,6 +81,23 @@ class Catalogue:
             raise ValueError(f"no table {name} in {entry.store}")
         return self.spark.table(self._quoted(entry.store, name))
 
+    def search(self, term: str, store: str | None = None) -> DataFrame:
+        """(table_name, column_name, value) of each text of a store's tables that holds term, without case; one row a cell, texts whole.
+
+        Each table is read once, its string columns only, and nothing is shuffled. term is plain text; an empty one is a ValueError. Nulls hold nothing.
+        """
+        if not term:
+            raise ValueError("an empty term is in every text")
+        entry, wanted = self.resolve(store), term.lower()
+        found = [self.spark.createDataFrame([], FOUND)]
+        for name in self._names(entry.store):
+            df = self.spark.table(self._quoted(entry.store, name))
+            texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+            if texts:
+                cells = F.array(*(F.struct(F.lit(c).alias("column_name"), df[f"`{c}`"].alias("value")) for c in texts))
+                found.append(df.select(F.lit(name).alias("table_name"), F.inline(F.filter(cells, lambda x: F.contains(F.lower(x["value"]), F.lit(wanted))))))
+        return reduce(DataFrame.unionByName, found)
+
     def refresh(self, store: str | None = None) -> None:
         """Takes in files that were added to the tables, and counts again."""
         entry = self.resolve(store)

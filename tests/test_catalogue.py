@@ -80,3 +80,17 @@ def test_refused(spark, folder, catalogue):
     os.mkdir(folder / "empty")
     assert catalogue.tables(catalogue.add(str(folder / "empty"))).count() == 0
     assert [r.store for r in catalogue.stores().collect()] == ["default", "empty"]
+
+
+def test_search(spark, folder, catalogue):
+    rows = [("a Valve", 1, None), (None, 2, "VALVE"), ("valve valve", 3, "valv"), ("", 4, "v%lve"), ("x" * 100_000 + "valve", 5, "")]
+    spark.createDataFrame(rows, "text string, value int, `column.name` string").repartition(3).write.parquet(str(folder / "texts" / "t.parquet"))
+    spark.createDataFrame(rows[:1] * 2, "text string, value int, note string").write.parquet(str(folder / "texts" / "same.parquet"))
+    spark.range(3).write.parquet(str(folder / "texts" / "numbers.parquet"))
+    store = catalogue.add(str(folder / "texts"))
+    brute = [("t", c, v) for r in rows for c, v in (("text", r[0]), ("column.name", r[2])) if v and "valve" in v.lower()] + [("same", "text", "a Valve")] * 2
+    assert sorted(tuple(r) for r in catalogue.search("vALve", store).collect()) == sorted(brute)
+    assert [r.value for r in catalogue.search("v%l", store).collect()] == ["v%lve"]  # % is a plain character
+    assert catalogue.search("nowhere", store).count() == 0
+    with pytest.raises(ValueError):
+        catalogue.search("", store)
