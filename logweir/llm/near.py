@@ -4,8 +4,9 @@ At 0.8 a fingerprint differs in some 15 of 100 bits, so no block of it is sure t
 whole, and the blocks of ``simhash`` can't route. Here fingerprints of 256 bits meet under
 shared shingles instead. Of each text ANCHORS shingles are the least under as many
 orders; two texts of similarity t choose none alike with a chance of (1 - t) ** ANCHORS, 1 in
-10 million at 0.8. Shingles that a sample finds common are no anchors. Texts with
-a fifth or more of such shingles are routed by a prefix besides: the first
+10 million at 0.8. Common shingles are no anchors: all shingles of all texts are counted, first
+by CELLS cells, then those in cells that could hold a common one by themselves, so each common one is known with
+its exact count. Texts with a fifth or more of such shingles are routed by a prefix besides: the first
 n - ceil(t n) + 1 of their n shingles, rare ones first; two texts of similarity t always share one
 of these. What is common decides the work, not the result.
 
@@ -20,22 +21,25 @@ component yet are. A group of more than BLOCK texts becomes cells of two blocks
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, small_batches, trim
 from .simhash import GrayIndex
 
 WIDTH = 5
 LEAST = 0.8
-SAMPLE_ROWS = 10_000
 COMMON = 5
 MOST_COMMON = 200_000
+CELLS = 1 << 20
+SLICE = 1 << 12
 MUCH_COMMON = 0.2
 ANCHORS = 10
 WORDS = 4  # of 64 bits, of a fingerprint
@@ -90,16 +94,72 @@ def keys(s: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) ->
     return np.unique(np.concatenate(found))
 
 
-def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that COMMON texts or more of a sample have, and how many have each."""
-    n = texts.count()
-    h = F.xxhash64("row__")
-    sample = texts.where(h <= int(-(2**63) + min(1.0, SAMPLE_ROWS / max(1, n)) * (2**64 - 1))) if n > SAMPLE_ROWS else texts
-    told = sample.mapInArrow(_sets(width), "row__ long, s array<long>")
-    counted = told.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (_mixed(s, 0) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _celled(width: int):
+    """Texts to how many of their shingles fall in each cell, a row a slice of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(total, _cell(shingles(t.as_py() or "", width)), 1)
+        cut = total.reshape(-1, SLICE)
+        held = np.flatnonzero(cut.any(axis=1))
+        packed = [zlib.compress(cut[i].tobytes(), 1) for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+        trim()
+
+    return run
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One slice of all tasks."""
+    total = np.zeros(SLICE, np.int64)
+    for packed in rows["counts"]:
+        total += np.frombuffer(zlib.decompress(packed), np.int64)
+    cells = np.flatnonzero(total)
+    return pd.DataFrame({"cell": rows["slice"].iloc[0] * SLICE + cells, "n": total[cells]})
+
+
+def _suspects(width: int, full):
+    """Texts to their shingles in full cells, counted by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(np.frombuffer(full.value, np.uint8)).astype(bool)
+        for batch in batches:
+            sets = [s[may[_cell(s)]] for s in (shingles(t.as_py() or "", width) for t in batch.column(0))]
+            s, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
+        trim()
+
+    return run
+
+
+def _common(texts: DataFrame, width: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles, sorted, and how many of all texts have each.
+
+    A shingle is common if COMMON texts or more have it, and one of MOST_COMMON of all texts'
+    shingles or more is it; so there are no more than MOST_COMMON, and none is left out. A cell counts no less than
+    any of its shingles.
+    """
+    sc = texts.sparkSession.sparkContext
+    text = texts.select("text__")
+    cells = scratch.keep(text.mapInArrow(_celled(width), "slice long, counts binary").groupBy("slice").applyInPandas(_summed, "cell long, n long"), texts=True)
+    least = max(COMMON, math.ceil((cells.agg(F.sum("n")).first()[0] or 0) / MOST_COMMON))
+    full = np.zeros(CELLS, bool)
     with small_batches(texts.sparkSession):
-        found = counted.orderBy(F.col("n").desc(), "s").limit(MOST_COMMON).toArrow()
-    s, n = np.asarray(found.column("s").to_numpy(), np.int64).view(np.uint64), np.asarray(found.column("n").to_numpy(), np.int64)
+        full[cells.where(F.col("n") >= least).select("cell").toArrow().column("cell").to_numpy()] = True
+    scratch.drop(cells)
+    if not full.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    counted = text.mapInArrow(_suspects(width, sc.broadcast(np.packbits(full).tobytes())), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = scratch.keep(counted, texts=True)
+    told = found.toArrow()
+    scratch.drop(found)
+    s, n = told.column("s").to_numpy().view(np.uint64), told.column("n").to_numpy()
     order = np.argsort(s)
     return s[order], n[order]
 
@@ -189,7 +249,7 @@ def near_components(docs: DataFrame, id_col: str, text_col: str = "text", width:
     scratch = Scratch(docs.sparkSession, "near")
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).alias("row__"), F.col(text_col).alias("text__"))
-    common = sc.broadcast(_common(texts, width))
+    common = sc.broadcast(_common(texts, width, scratch))
     coded = scratch.keep(texts.mapInArrow(_coded(width, least, common), _CODED), texts=True)
     sets = scratch.keep(coded.groupBy("set").agg(F.min("row__").alias("rep"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))))
     keyed = sets.select("set", F.explode("keys").alias("key"))

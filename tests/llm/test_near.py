@@ -1,6 +1,7 @@
 """Near-duplicates by five-word shingles against brute force, in the operator and in the pipeline's stage."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -58,6 +59,21 @@ def test_components(spark, monkeypatch, common, block):
     assert near.near_components(docs.where("false"), "row").count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 100])
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch, most):
+    seen, coded = [], near._coded
+    monkeypatch.setattr(near, "MOST_COMMON", most)
+    monkeypatch.setattr(near, "_coded", lambda width, least, common: seen.append(common.value) or coded(width, least, common))
+    texts = [f"t{i} u{i} v{i}" + " every text has these words" * (i % 2) + f" some {i % 2500} have them all" * (i % 3 == 0) for i in range(11_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(7)
+    near.near_components(docs, "row")
+    count = Counter(int(h) for t in texts for h in near.shingles(t))
+    least = max(near.COMMON, -(-count.total() // most))
+    want = {h: n for h, n in count.items() if n >= least}
+    found, counts = seen[0]
+    assert 0 < len(want) <= most and dict(zip(found.tolist(), counts.tolist())) == want and found.tolist() == sorted(want)
+
+
 def test_stage_finds_copies_beyond_three_bits(spark):
     rng = random.Random(5)
     texts = [t for _ in range(6) for t in family(rng, 150, 2, 3)]
