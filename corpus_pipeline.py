@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch, row = Scratch(spark, "near"), fresh(docs, "row")
     keyed = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(*map(quoted, docs.columns)).alias("all"), row)
-    told = scratch.keep(near.near_components(keyed, row).join(keyed.select(row, place.alias("place")), row))
+    told = scratch.keep(near.near_components(keyed, row).join(keyed.select(row, place.alias("place")), row), small=True)
     stays = told.groupBy("component_id").agg(F.min("place").alias("place")).select(f"place.{row}")
-    gone = scratch.keep(told.join(stays, row, "left_anti").select(row))
+    gone = scratch.keep(told.join(stays, row, "left_anti").select(row), small=True)
     return keyed.join(gone, row, "left_anti").select(*map(quoted, docs.columns))
 
 
@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and their digests. Decoding gives back the text."""
-    told = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    told = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, words=1 << 16)  # workers of the stages before lie beside this one's
     return told.drop("text")
 
 

@@ -54,6 +54,7 @@ class RankBpe:
         self.leaves = [0] * (size // LEAF + 1)
         self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         self.code = "H" if size <= 1 << 16 else "I"
+        self.words = CACHE
         self.cache: dict[str, bytes] = {}  # ids as packed bytes: half the memory of tuples
         self.old: dict[str, bytes] = {}
 
@@ -133,7 +134,7 @@ class RankBpe:
         if ids is None:
             ids = array(self.code, self.merge(word.encode("utf-8"))).tobytes()
         if len(word) <= 64:
-            if len(self.cache) >= CACHE:
+            if len(self.cache) >= self.words:
                 self.old = dict(self.cache)
                 self.cache.clear()
             self.cache[word] = ids
@@ -163,12 +164,12 @@ def codec(data: bytes, pattern: str) -> RankBpe:
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep_ids: bool = True, words: int = CACHE) -> DataFrame:
     """docs with ids (array), decoded text's SHA-256 and the ids' SHA-256; with keep_ids false the ids themselves are left out.
 
     Each match of pattern is encoded by itself, special tokens are plain text, a
     null text is empty: no ids, and the hashes of nothing. Texts of any length
-    are encoded whole. Input columns named like the added ones are replaced. The session's Arrow batches are held to 512
+    are encoded whole. A Python worker remembers two times so many words at most. Input columns named like the added ones are replaced. The session's Arrow batches are held to 512
     rows from here on, as the result is computed later.
     """
     hold_batches(docs.sparkSession)
@@ -202,6 +203,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         bpe = codec(held.value, pattern)
+        bpe.words = words
         gc.disable()  # nothing here makes cycles, and each collection would walk the cache
         try:
             for batch in batches:
@@ -209,6 +211,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         finally:
             gc.freeze()
             gc.enable()
+            trim()
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:

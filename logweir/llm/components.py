@@ -10,6 +10,7 @@ be split, and every round is a table in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -44,21 +45,22 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"u": nodes[own], "v": nodes[label[own]]})
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges (u, v) of longs to (u, v): every node that isn't the smallest of its component, with the smallest."""
-    found = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInPandas(_contract, "u long, v long"))
+def components(edges: DataFrame, scratch: Scratch, small: bool = False) -> DataFrame:
+    """edges (u, v) of longs to (u, v): every node that isn't the smallest of its component, with the smallest. small: as for scratch.keep."""
+    keep = partial(scratch.keep, small=small)
+    found = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInPandas(_contract, "u long, v long"))
     while True:
         # done when every node has one edge and no centre has an edge of its own
-        low = scratch.keep(found.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        low = keep(found.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         chained = low.join(found.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
         if not chained and not low.where("n > 1").limit(1).count():
             scratch.drop(low)
             return found
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         scratch.drop(low, least, found)
-        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        found = scratch.keep(small.select("e.u", "e.v").where("u <> v").distinct().mapInPandas(_contract, "u long, v long"))
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        stars = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        found = keep(stars.select("e.u", "e.v").where("u <> v").distinct().mapInPandas(_contract, "u long, v long"))
         scratch.drop(large, least)

@@ -180,14 +180,14 @@ def identify(
     first = scored.withColumn("domain__", domain_of(F.col("host")))
 
     def summed(keys: list[str], tag: str) -> DataFrame:
-        return scratch.keep(first.groupBy(*keys).agg(*[F.sum(c).alias(f"{tag}{k}") for k, c in enumerate(share)], F.count("*").alias(f"{tag}n")))
+        return scratch.keep(first.groupBy(*keys).agg(*[F.sum(c).alias(f"{tag}{k}") for k, c in enumerate(share)], F.count("*").alias(f"{tag}n")), small=True)
 
     hosts = summed(["host", "domain__"], "h")
-    domains = scratch.keep(hosts.groupBy("domain__").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(len(names))], F.sum("hn").alias("dn")))
+    domains = scratch.keep(hosts.groupBy("domain__").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(len(names))], F.sum("hn").alias("dn")), small=True)
     by_declared, by_suffix = summed(["declared"], "c"), summed(["suffix"], "s")
     whole = by_suffix.agg(*[F.sum(f"s{k}") for k in range(len(names))], F.sum("sn"), F.count("*")).first()
     n_all, n_suffix, n_declared = float(whole[len(names)] or 0), whole[len(names) + 1], by_declared.count()
-    placed = scratch.keep(hosts.join(domains, "domain__").drop("domain__"))
+    placed = scratch.keep(hosts.join(domains, "domain__").drop("domain__"), small=True)
     joined = first.drop("domain__").join(placed, "host").join(by_declared, "declared").join(by_suffix, "suffix")
     totals = np.array([float(whole[k] or 0) for k in range(len(names))])
     schema = T.StructType([*given, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -213,5 +213,5 @@ def keep_known(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     keyed = sealed.rows.withColumns({"a": F.xxhash64(*told_apart), "b": F.xxhash64(F.lit(1), *told_apart)})
     rare = F.coalesce(lang.isNotNull() & ~lang.isin(model[0]) & text.rlike(r"\p{L}"), F.lit(False))
     told = identify(keyed.where(~rare).select("a", "b", text.alias("text"), lang.alias("lang"), source.alias("source")), model, ["a", "b"], "text", host=F.col("source"), declared=F.col("lang"))
-    gone = scratch.keep(told.where("not accepted").select("a", "b").distinct())
+    gone = scratch.keep(told.where("not accepted").select("a", "b").distinct(), small=True)
     return keyed.join(gone, ["a", "b"], "left_anti").select(*sealed.restored())

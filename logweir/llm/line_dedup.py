@@ -124,18 +124,18 @@ def repeats(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_w
     """(id, version, spans): for each document with later repeats, their windows' first and last lines, counted from 0."""
     keyed = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     minima = keyed.select("text").mapInArrow(_hashes(min_words), "fp long")
-    shared = scratch.keep(minima.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h")), texts=True)
+    shared = scratch.keep(minima.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fp").alias("h")), texts=True, small=True)
     # a filter of what is shared: positions of others aren't extended; one that passes by chance meets nothing below
     shared_here = bloom.seen(shared, shared.count(), FILTER_MB, 1)
     positions = keyed.mapInArrow(_extensions(min_words), _FOUND.format(docs.schema[id_col].dataType.simpleString())).where(shared_here(F.xxhash64("fp")))
     extended = scratch.keep(positions.select("id", "version", F.explode("windows").alias("w")).select("id", "version", "w.*"), texts=True)
     scratch.drop(shared)
     at = F.struct("id", "version", "start", "stop")
-    first = scratch.keep(extended.groupBy("win").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = scratch.keep(extended.groupBy("win").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), small=True)
     same = (F.col("id") == F.col("first.id")) & (F.col("version") == F.col("first.version"))
     later = F.when(same, F.col("start") > F.col("first.stop")).otherwise(F.struct("id", "version") > F.struct("first.id", "first.version"))
     spans = extended.join(first, "win").where(later)
-    found = scratch.keep(spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))  # as many as the text has lines, at most twice
+    found = scratch.keep(spans.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), small=True)  # as many as the text has lines, at most twice
     scratch.drop(extended, first)
     return found
 

@@ -58,7 +58,7 @@ def targets(scratch: Scratch, sizes: DataFrame, source_col: str, weights: tuple[
     """Per source: source_size and target. Sources at their cap drop out and the rest is shared again, until none is above."""
     ranked = source_ranks(scratch, sizes, source_col)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = scratch.keep(ranked.select(source_col, "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")))
+    table = scratch.keep(ranked.select(source_col, "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), small=True)
     whole = table.agg(F.sum("source_size")).first()[0] or 0
     budget, spent, left, level = share * whole, 0.0, None, 0.0
     while True:  # each turn sends one row to the driver; the level only rises
@@ -87,8 +87,8 @@ def mix(
     scratch, sealed = Scratch(docs.sparkSession, "mix"), Sealed(docs, *OWN)
     rows = sealed.rows.withColumn("size", F.coalesce(F.regexp_count(F.col(sealed[text_col]), F.lit(WORD)), F.lit(0)).cast("long"))
     source = F.col(sealed[source_col])
-    sums = scratch.keep(rows.groupBy(source.alias("key")).agg(F.sum("size").alias("source_size")))
-    table = scratch.keep(targets(scratch, sums, "key", weights, share, cap))
+    sums = scratch.keep(rows.groupBy(source.alias("key")).agg(F.sum("size").alias("source_size")), small=True)
+    table = scratch.keep(targets(scratch, sums, "key", weights, share, cap), small=True)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     copies = F.floor("rate") + (draw(F.col("name"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     told = named(scratch, rows, sealed[id_col], sealed[text_col], sealed[source_col]).join(table, source.eqNullSafe(F.col("key"))).withColumn("rate", rate).withColumn("copies", copies)

@@ -147,7 +147,7 @@ def _common(texts: DataFrame, width: int, scratch: Scratch) -> tuple[np.ndarray,
     """
     sc = texts.sparkSession.sparkContext
     text = texts.select("text__")
-    cells = scratch.keep(text.mapInArrow(_celled(width), "slice long, counts binary").groupBy("slice").applyInPandas(_summed, "cell long, n long"), texts=True)
+    cells = scratch.keep(text.mapInArrow(_celled(width), "slice long, counts binary").groupBy("slice").applyInPandas(_summed, "cell long, n long"), texts=True, small=True)
     least = max(COMMON, math.ceil((cells.agg(F.sum("n")).first()[0] or 0) / MOST_COMMON))
     full = np.zeros(CELLS, bool)
     with small_batches(texts.sparkSession):
@@ -156,7 +156,7 @@ def _common(texts: DataFrame, width: int, scratch: Scratch) -> tuple[np.ndarray,
     if not full.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counted = text.mapInArrow(_suspects(width, sc.broadcast(np.packbits(full).tobytes())), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = scratch.keep(counted, texts=True)
+    found = scratch.keep(counted, texts=True, small=True)
     told = found.toArrow()
     scratch.drop(found)
     s, n = told.column("s").to_numpy().view(np.uint64), told.column("n").to_numpy()
@@ -253,7 +253,7 @@ def near_components(docs: DataFrame, id_col: str, text_col: str = "text", width:
     coded = scratch.keep(texts.mapInArrow(_coded(width, least, common), _CODED), texts=True)
     sets = scratch.keep(coded.groupBy("set").agg(F.min("row__").alias("rep"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))))
     keyed = sets.select("set", F.explode("keys").alias("key"))
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), small=True)
     # a group of one block is a cell of its own; of more blocks, every two make a cell
     blocks, own = F.ceil(F.col("texts") / BLOCK), F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("texts") / BLOCK))
     cells = keyed.join(shared, "key").select("set", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
@@ -263,24 +263,24 @@ def near_components(docs: DataFrame, id_col: str, text_col: str = "text", width:
     parts = met.count() // ROUTES + sc.defaultParallelism
 
     def candidates(rows: DataFrame, label: str | None) -> DataFrame:
-        return scratch.keep(rows.repartition(parts, "route").mapInArrow(_pairs(least, label), "u long, v long").distinct())
+        return scratch.keep(rows.repartition(parts, "route").mapInArrow(_pairs(least, label), "u long, v long").distinct(), small=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = whole.select(F.col("row__").alias("u"), F.col("s").alias("x")), whole.select(F.col("row__").alias("v"), F.col("s").alias("y"))
-        return scratch.keep(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verified(least), "u long, v long"), texts=True)
+        return scratch.keep(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_verified(least), "u long, v long"), texts=True, small=True)
 
     tree = candidates(met, None)
     asked = tree.select(F.explode(F.array("u", "v")).alias("set")).distinct()
     told = asked.join(sets.select("set", "rep"), "set").select("set", F.col("rep").alias("row__")).join(texts, "row__").select("set", "text__")
     whole = scratch.keep(told.mapInArrow(_sets(width), "row__ long, s array<long>"), texts=True)
     linked = verified(tree)
-    label = components(linked, scratch).withColumnsRenamed({"u": "set", "v": "label"})
+    label = components(linked, scratch, small=True).withColumnsRenamed({"u": "set", "v": "label"})
     placed = met.join(label, "set", "left").withColumn("label", F.coalesce("label", "set"))
     more = verified(candidates(placed, "label"))
     scratch.drop(met, whole)
     scratch.release()
-    centre = components(linked.unionByName(more), scratch).withColumnsRenamed({"u": "set", "v": "centre"})
-    placed = scratch.keep(sets.select("set", "rep", "rows").join(centre, "set", "left").withColumn("centre", F.coalesce("centre", "set")))
-    crowd = scratch.keep(placed.groupBy("centre").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows"))
-    answer = scratch.keep(placed.join(crowd, "centre").select("set", "component_id"))
+    centre = components(linked.unionByName(more), scratch, small=True).withColumnsRenamed({"u": "set", "v": "centre"})
+    placed = scratch.keep(sets.select("set", "rep", "rows").join(centre, "set", "left").withColumn("centre", F.coalesce("centre", "set")), small=True)
+    crowd = scratch.keep(placed.groupBy("centre").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows"), small=True)
+    answer = scratch.keep(placed.join(crowd, "centre").select("set", "component_id"), small=True)
     return coded.select(F.col("row__").alias(id_col), "set").join(answer, "set").select(id_col, "component_id")

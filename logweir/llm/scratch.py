@@ -50,8 +50,14 @@ class Scratch:
         writer.parquet(path)
         return path
 
-    def keep(self, df: DataFrame, *partition_by: str, texts: bool = False) -> DataFrame:
-        """df, computed now, and read from its table from here on. texts: its rows go through Python as whole documents, in small batches."""
+    def keep(self, df: DataFrame, *partition_by: str, texts: bool = False, small: bool = False) -> DataFrame:
+        """df, computed now, and read from its table from here on. texts: its rows go through Python as whole documents, in small batches.
+
+        small: its rows are small, so they are dealt anew to a file a core, however many tasks make them. On a local file
+        system Hadoop starts three processes a file, and each, until it has begun, counts with all memory of its executor.
+        """
+        if small:
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
         with small_batches(self.spark) if texts else nullcontext():
             path = self.write(df, *partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from logweir.llm import near, simhash
 from logweir.llm.components import roots
+from logweir.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,6 +76,22 @@ def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch, most):
     assert 0 < len(want) <= most and dict(zip(found.tolist(), counts.tolist())) == want and found.tolist() == sorted(want)
 
 
+def test_tables_of_links_are_few_files(spark, monkeypatch):
+    files, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, *by: files.append((df.columns, len(list(Path((path := write(self, df, *by)).removeprefix("file://")).glob("*.parquet"))))) or path)
+    for key, value in (("spark.sql.shuffle.partitions", "23"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        texts = family(random.Random(2), 60, 30, 4)
+        docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+        near.near_components(docs, "row")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    few = [n for columns, n in files if columns == ["u", "v"]]
+    assert len(few) > 3 and max(few) <= spark.sparkContext.defaultParallelism
+
+
 def test_stage_finds_copies_beyond_three_bits(spark):
     rng = random.Random(5)
     texts = [t for _ in range(6) for t in family(rng, 150, 2, 3)]
