@@ -15,10 +15,10 @@ def stage(sources: Sequence[DataFrame], order: Sequence[str] = ("source", "line_
 
 
 def keep_first(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row of each key, the first by order, with ``duplicates``. Grouped with partial aggregation, so a hot key costs one row a task."""
+    """One row of each key, the first by order (nulls last, as in SQL), with ``duplicates``. Grouped with partial aggregation, so a hot key costs one row a task."""
     others = [c for c in rows.columns if c != key]
-    least = F.min_by(F.struct(*others), F.struct(*order)) if len(order) > 1 else F.min_by(F.struct(*others), order[0])
-    told = rows.groupBy(key).agg(least.alias("r"), (F.count("*") - 1).alias("duplicates"))
+    place = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
+    told = rows.groupBy(key).agg(F.min_by(F.struct(*others), place).alias("r"), (F.count("*") - 1).alias("duplicates"))
     return told.select(key, *[F.col("r")[c].alias(c) for c in others], "duplicates")
 
 

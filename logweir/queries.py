@@ -244,7 +244,7 @@ def fn_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    return staging.keep_first(rows, "l_orderkey", ["l_shipdate", "l_linenumber"])
+    return staging.keep_first(rows, "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey"])
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
