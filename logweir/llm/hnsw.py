@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components, roots
-from .scratch import Scratch, Sealed
+from .scratch import Scratch, Sealed, trim
 
 THRESHOLD = 0.98
 DEGREE = 12
@@ -40,10 +40,10 @@ NEAR = 3
 MARGIN = 1e-4
 SHARDS = 1
 SHARD_ROWS = 1 << 18
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 3 << 24
 SLICE_ROWS = 1 << 14
 VISITORS = 1 << 15
-CELLS = 1 << 22
+CELLS = 1 << 21
 MOST_PARTS = 4096
 OWN = ("n_links", "component_id", "kept")
 _GRAPH = "label {}, dim int, hubs binary, sizes array<int>, adjacency array<binary>, beam int, room double, ranks binary, parts binary"
@@ -200,7 +200,7 @@ class Graph:
         todo = np.arange(len(q))
         while len(todo):
             again = []
-            for some in np.array_split(todo, math.ceil(len(todo) * max(width * 4, n // 4) / (1 << 20))):
+            for some in np.array_split(todo, math.ceil(len(todo) * max(width * 4, n // 4) / (1 << 18))):
                 if width >= n:  # the widest beam is the whole shard
                     sims = q[some] @ self.x.T
                     row, node = np.nonzero(sims >= self._floor(sims, least))
@@ -399,23 +399,30 @@ class Block:
     """Vectors of one shard: members by list, or visitors."""
 
     def __init__(self, parts: list[pa.RecordBatch], ordered: bool = False):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        one = lambda name: table.column(name).combine_chunks()
-        get = lambda name: one(name).to_numpy(zero_copy_only=False)
+        """Takes parts over: each is let go as soon as it is copied."""
+        get = lambda name: np.concatenate([p.column(name).to_numpy(zero_copy_only=False) for p in parts])
         self.node, self.weight, self.home = get("node"), get("weight"), get("home").astype(np.int64)
-        self.raw = matrix(one("vector"), int(table.column("dim")[0].as_py()))
-        lists = one("lists")
+        dim = int(parts[0].column("dim")[0].as_py())
+        lists = pa.concat_arrays([p.column("lists") for p in parts])
         ends = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4) // 4
         self.rank = np.frombuffer(lists.buffers()[2], np.int32)[ends[0] : ends[-1]].astype(np.int64)
         self.row = np.repeat(np.arange(len(lists)), np.diff(ends))
+        place = np.arange(len(lists))
         if ordered:
             order = np.lexsort((self.node, self.home))
-            place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            self.node, self.weight, self.home, self.raw, self.row = self.node[order], self.weight[order], self.home[order], self.raw[order], place[self.row]
-        self.x = np.empty(self.raw.shape, np.float32)
-        for at in range(0, len(self.x), 1 << 14):
-            self.x[at : at + (1 << 14)] = unit(self.raw[at : at + (1 << 14)].astype(np.float64))
+            self.node, self.weight, self.home, self.row = self.node[order], self.weight[order], self.home[order], place[self.row]
+        vectors = [p.column("vector") for p in parts]
+        parts.clear()
+        start = 0
+        for k in range(len(vectors)):
+            v = matrix(vectors[k], dim)
+            vectors[k] = None
+            if not k:
+                self.raw, self.x = np.empty((len(place), dim), v.dtype), np.empty((len(place), dim), np.float32)
+            at = place[start : start + len(v)]
+            self.raw[at], self.x[at] = v, unit(v.astype(np.float64))
+            start += len(v)
         self.links = np.zeros(len(self.node), np.int64)
 
 
@@ -542,6 +549,8 @@ def _matched(threshold: float):
                 yield from shard.add(batch.slice(start, stop - start), bool(visitor[start]))
         if shard:
             yield from shard.finish()
+        shard = None
+        trim()
 
     return run
 
